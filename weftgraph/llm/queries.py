@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, media, mixing, quality, sharding, urls
+from . import bpe, jaccard, language, media, mixing, quality, sharding, urls
 from ._common import held_out, table
 
 
@@ -50,13 +50,17 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_quality, op4_bpe, op7_language, op8_media, op10_urls)}
+    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_quality, op4_bpe, op7_language, op8_media, op9_jaccard, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.oracle(8), "op10_urls": urls.ORACLE}
+    return {"op2_sharding": sharding.oracle(8), "op9_jaccard": jaccard.ORACLE, "op10_urls": urls.ORACLE}
