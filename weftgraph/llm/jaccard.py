@@ -92,7 +92,7 @@ def _order(survey: DataFrame) -> np.ndarray:
     rows = survey.filter("block is not null").select("block", "counts", F.monotonically_increasing_id().alias("task"))
     n = max(1, rows.count() // _BLOCKS)
 
-    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros((1 << COUNTERS_LOG2) // _BLOCKS, np.uint32)
         for c in pdf["counts"]:
             total += np.frombuffer(zlib.decompress(c), np.uint32)
