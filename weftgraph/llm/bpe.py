@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import settle
+
 #: Words of the lexicon at most: bounds what is sent to the executors (some 4 MB).
 LEXICON = 50_000
 #: Bytes of a lexicon word at most.
@@ -369,7 +371,11 @@ def encoder(vocab: Vocabulary, block: bytes) -> Encoder:
 
 
 def frequent_words(docs: DataFrame, vocab: Vocabulary, text: str = "text", n: int = LEXICON) -> list[str]:
-    """The words used most in all texts, the more frequent first, then by code point."""
+    """The words used most in all texts, ``n`` at most, the more frequent first, then by code point.
+
+    Words enter by bands of like counts, so that no more than ``n`` of them
+    reach the driver; words used once are left to merging.
+    """
 
     def count(batches):
         cutter, seen = Cutter(vocab), Counter()
@@ -390,9 +396,19 @@ def frequent_words(docs: DataFrame, vocab: Vocabulary, text: str = "text", n: in
             seen.pop(w, None)
         yield rows()
 
+    # a word met once gains nothing; the others' counts fall into some thousand bands
     counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    best = counted.filter(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(n)
-    return [r[0] for r in best.collect() if r[0] not in vocab.special]
+    counted = settle(counted.filter((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)).withColumn("band", F.floor(F.log2("n") * 32)))
+    least, room = None, n
+    for r in counted.groupBy("band").count().orderBy(F.desc("band")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["band"]
+    if least is None:
+        return []
+    best = counted.filter(F.col("band") >= least).select("word", "n").collect()  # n words at most
+    return [w for w, _ in sorted(best, key=lambda r: (-r[1], r[0]))]
 
 
 def build(docs: DataFrame, path: str, text: str = "text", n: int = LEXICON) -> tuple[Vocabulary, bytes]:
