@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from ._common import lookup, settle
+from ._common import WORD, lookup, settle
 from .components import components
 
 #: Counters of the order: 4 bytes each, sent to every task.
@@ -334,6 +334,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), own.alias("component_id"))
 
 
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """One document of each component, that of the least id, with all its columns.
+
+    Of rows that agree in id and text one stays, and a row without an id stays
+    where no row with one has its text.  Texts without words are no one's copies
+    and all stay.
+    """
+    found = settle(near_duplicates(docs, doc_id, text, percent))
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, F.col(doc_id) == F.col("_gone"), "left_anti")
+    odd = found.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if odd.isEmpty():
+        return left
+    # ids that are null or repeated don't tell rows apart: texts must
+    same = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    blank = ~F.coalesce(F.col(text), F.lit("")).rlike(WORD)
+    named = docs.filter(F.col(doc_id).isNotNull()).select(same.alias("_same"), F.lit(True).alias("_named")).distinct()
+    left = left.withColumn("_same", same).withColumn("_blank", blank).join(named, "_same", "left")
+    left = left.filter(F.col("_blank") | F.col(doc_id).isNotNull() | F.col("_named").isNull())
+    return left.filter("_blank").unionByName(left.filter("not _blank").dropDuplicates([doc_id, "_same"])).select(*docs.columns)
+
+
 ORACLE = r"""
 with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
 sets as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]

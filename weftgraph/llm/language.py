@@ -14,6 +14,7 @@ import re
 import sys
 import types
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -260,19 +261,12 @@ def _pieces(text: str):
         at = end
 
 
-def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Language of each whole text.
-
-    Returns doc_id, lang_pred (``und`` for null texts and those without a
-    letter), score (0 to 1: how far the second-best is behind) and rejected: the
-    text is ``und`` or its cross-entropy is beyond what its language's texts
-    have.  Ties go to the language first by name.  A model that has learnt
-    nothing answers ``und``.  Each row stands for itself.
-    """
-    kind = dict(docs.select(F.col(doc_id).alias("k")).dtypes)["k"]
+def verdict(model: Model, text: Column) -> Column:
+    """What :func:`predict` says of a text, as a struct; the other columns stay in the JVM."""
     languages, normal = model.languages, model.normal
+    kinds = {"lang_pred": pa.string(), "score": pa.float64(), "rejected": pa.bool_()}
 
-    def run(batches):
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memory = _memory(model)
 
         def sums(texts: list[str]):
@@ -297,9 +291,9 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                     yield from sums(texts[at:end])
                     at = end
 
-        for b in batches:
+        for a in arrays:
             preds, scores, out = [], [], []
-            for s in totals([t or "" for t in b.column(1).to_pylist()]) if languages else [None] * len(b):
+            for s in totals([t or "" for t in a.to_pylist()]) if languages else [None] * len(a):
                 n = s[-1] if s is not None else 0
                 if not n:
                     preds.append(UNKNOWN), scores.append(0.0), out.append(True)
@@ -310,6 +304,24 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
                 preds.append(languages[k])
                 scores.append(float(1.0 / np.exp((ce[k] - ce) * min(n, EVIDENCE)).sum()))
                 out.append(bool((ce[k] - mean) > bound * np.sqrt(between + letter / n)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+            yield pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip((preds, scores, out), kinds.values(), strict=True)], list(kinds))
+
+    return F.arrow_udf(run, "lang_pred string, score double, rejected boolean")(text)
+
+
+def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Language of each whole text.
+
+    Returns doc_id, lang_pred (``und`` for null texts and those without a
+    letter), score (0 to 1: how far the second-best is behind) and rejected: the
+    text is ``und`` or its cross-entropy is beyond what its language's texts
+    have.  Ties go to the language first by name.  A model that has learnt
+    nothing answers ``und``.  Each row stands for itself.
+    """
+    return docs.select(F.col(doc_id).alias("doc_id"), verdict(model, F.col(text)).alias("v")).select("doc_id", "v.*")
+
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double, rejected boolean")
+def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with all their columns."""
+    mark = "_" + max(docs.columns, key=len)
+    return docs.withColumn(mark, verdict(model, F.col(text))).filter(~F.col(mark)["rejected"]).drop(mark)

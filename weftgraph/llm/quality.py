@@ -9,6 +9,7 @@ compiled into one Spark column expression.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -60,18 +61,20 @@ def statistics(text: str) -> list[float]:
     ]
 
 
-def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and the statistics of every text; a null text counts as empty."""
-    kind = dict(docs.select(F.col(doc_id).alias("k")).dtypes)["k"]
+def measure(text: Column) -> Column:
+    """The statistics of a text as a struct; a null text counts as empty."""
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in arrays:
+            x = np.array([statistics(t.as_py() or "") for t in a]).reshape(-1, len(STATS))
+            yield pa.StructArray.from_arrays([pa.array(x[:, k]) for k in range(len(STATS))], STATS)
+
+    return F.arrow_udf(run, ", ".join(f"{s} double" for s in STATS))(text)
 
-    def run(batches):
-        for b in batches:
-            for lo in range(0, len(b), 2048):
-                part = b.slice(lo, 2048)
-                x = np.array([statistics(t.as_py() or "") for t in part.column(1)]).reshape(-1, len(STATS))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x[:, k]) for k in range(len(STATS)))], ["doc_id", *STATS])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{s} double" for s in STATS))
+def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id and the statistics of every text."""
+    return docs.select(F.col(doc_id).alias("doc_id"), measure(F.col(text)).alias("s")).select("doc_id", "s.*")
 
 
 #: (statistic, above, threshold): the statistic is greater than the threshold, or not.
@@ -83,13 +86,14 @@ class RuleEnsemble:
     intercept: float = 0.0
     rules: list[tuple[tuple[Condition, ...], float]] = field(default_factory=list)
 
-    def column(self) -> Column:
-        """The score of a row of :func:`describe`."""
+    def column(self, of: str = "") -> Column:
+        """The score of a row of :func:`describe`, or of the struct named ``of``."""
+        stat = lambda k: F.col(of)[STATS[k]] if of else F.col(STATS[k])
         total = F.lit(float(self.intercept))
         for conditions, weight in self.rules:
             holds = None
             for k, above, at in conditions:
-                c = F.col(STATS[k]) > F.lit(float(at)) if above else F.col(STATS[k]) <= F.lit(float(at))
+                c = stat(k) > F.lit(float(at)) if above else stat(k) <= F.lit(float(at))
                 holds = c if holds is None else holds & c
             total = total + F.when(holds, F.lit(float(weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
@@ -216,3 +220,9 @@ def score(docs: DataFrame, model: RuleEnsemble, doc_id: str = "doc_id", text: st
     """
     s = describe(docs, doc_id, text).select("doc_id", model.column().alias("score"))
     return s.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: RuleEnsemble, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that :func:`score` predicts to be good, with all their columns."""
+    mark = "_" + max(docs.columns, key=len)
+    return docs.withColumn(mark, measure(F.col(text))).filter(model.column(mark) >= threshold).drop(mark)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, language, media, mixing, quality, sharding, urls
+from . import bpe, jaccard, language, licenses, media, mixing, neighbours, quality, sharding, urls
 from ._common import held_out, table
 
 
@@ -40,6 +40,14 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, bpe.build(docs, vocabulary_path()))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", 20)
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, ~held_out(F.col("doc_id")))
@@ -59,8 +67,8 @@ def op10_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_quality, op4_bpe, op7_language, op8_media, op9_jaccard, op10_urls)}
+    return {f.__name__: f for f in (op1_mixing, op2_sharding, op3_quality, op4_bpe, op5_neighbours, op6_licenses, op7_language, op8_media, op9_jaccard, op10_urls)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": sharding.oracle(8), "op9_jaccard": jaccard.ORACLE, "op10_urls": urls.ORACLE}
+    return {"op2_sharding": sharding.oracle(8), "op6_licenses": licenses.oracle(), "op9_jaccard": jaccard.ORACLE, "op10_urls": urls.ORACLE}
