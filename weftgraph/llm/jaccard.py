@@ -11,8 +11,9 @@ prefixes.
 threshold t share one of the first n - ceil(t n) + 1 of each.  The prefixes
 meet in one sort by shingle; those that meet nobody are dropped there.
 
-*Filters.*  Lengths must allow the threshold; the place of the common shingle
-in both sets bounds what they can share (positional filter); and the parities
+*Filters.*  Lengths must allow the threshold; the first shingle that two sets
+have in common leaves what follows it in each to share (positional filter: a
+pair that is a link passes it in the list of that shingle); and the parities
 of the shingles by hash bucket bound from below in how many they differ (the
 suffix filter's Hamming bound, taken on the whole set at once).
 
@@ -20,8 +21,8 @@ suffix filter's Hamming bound, taken on the whole set at once).
 links, not all pairs.  In every list of sets with a common shingle each set is
 first held against the list's leader, the one with the fewest rare shingles,
 and against its neighbour.  Then the pairs that are still in different
-components are filtered where they lie, in blocks of bounded size, and those
-that may be links are verified.  No pair is verified twice, and none that could
+components are filtered by length and place where they lie, in blocks of
+bounded size, and those that may be links are screened and verified.  No pair is verified twice, and none that could
 join two components is left out.
 """
 
@@ -141,33 +142,13 @@ def _prefixes(docs: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
 
 
 def _may_link(na, nb, pa_, pb, percent: int):
-    """Length and positional filters, for columns of Spark or of numpy alike (as SQL text)."""
+    """SQL of the length and positional filters for two sets in the list of one shingle."""
     share = f"(100 + {percent})"
     length = f"100L * least({na}, {nb}) >= {percent}L * greatest({na}, {nb})"
-    place = f"cast({share} as long) * (least({pa_}, {pb}) + least({na} - {pa_}, {nb} - {pb})) >= {percent}L * ({na} + {nb})"
+    place = f"cast({share} as long) * least({na} - {pa_}, {nb} - {pb}) >= {percent}L * ({na} + {nb})"
     return f"({length}) and ({place})"
 
 
-def _levels(maps: list[bytes]) -> tuple[np.ndarray, dict[int, np.ndarray]]:
-    """The width of each map in bytes, and for each width the maps of at least that, folded to it."""
-    width = np.array([len(m) for m in maps])
-    out: dict[int, np.ndarray] = {}
-    for w in sorted(set(width.tolist()), reverse=True):
-        full = np.zeros((len(maps), w), np.uint8)
-        same = np.flatnonzero(width == w)
-        full[same] = np.frombuffer(b"".join([maps[k] for k in same]), np.uint8).reshape(len(same), w)
-        out[w] = full
-    widths = sorted(out, reverse=True)
-    for wide in widths:
-        at, cur = wide, out[wide]
-        mine = width == wide
-        while at > widths[-1]:
-            cur, at = shingles.fold(cur), at // 2
-            if at in out:
-                out[at][mine] = cur[mine]
-    return width, {w: m.view(np.uint64) for w, m in out.items()}
-
-
 def _differ_little(x: np.ndarray, y: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
     """Whether parity maps x and y leave room for the threshold; total is the sum of both sizes."""
     bits = np.bitwise_count(x ^ y).sum(axis=-1).astype(np.int64)
@@ -227,18 +208,18 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, percent: int)
     return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "wa", "wb").mapInArrow(run, "a long, b long"))
 
 
-def _across(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets in one list and different components that pass all filters.
+def _across(lists: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets in one list and different components that pass the filters of length and place.
 
     A list of more than ``CHUNK`` sets is cut into chunks, and each two chunks
     are a unit of work, so a task holds two chunks at most.
     """
     per = Window.partitionBy("shingle")
-    rows = lists.withColumn("m", F.count("*").over(per)).join(classes.select("node", "map"), "node")
+    rows = lists.withColumn("m", F.count("*").over(per))
     chunks = F.ceil(F.col("m") / CHUNK).cast("int")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "pos", "map")
+    rows = rows.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "pos")
     rows = rows.repartition("shingle", "i", "j").sortWithinPartitions("shingle", "i", "j")
 
     def compare(unit: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -247,7 +228,6 @@ def _across(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         own, node, root, n, pos = col("own"), col("node"), col("root"), col("n").astype(np.int64), col("pos").astype(np.int64)
         if (root == root[0]).all():
             return
-        width, maps = _levels(unit["map"].to_pylist())
         first, second = [], []
         for k in range(len(node) - 1):
             rest = slice(k + 1, None)
@@ -255,17 +235,10 @@ def _across(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             if i != j:
                 ok &= own[rest] != own[k]
             ok &= 100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k])
-            total = n[rest] + n[k]
-            ok &= (100 + percent) * (np.minimum(pos[rest], pos[k]) + np.minimum(n[rest] - pos[rest], n[k] - pos[k])) >= percent * total
-            at = np.flatnonzero(ok)
-            if not len(at):
-                continue
-            level = np.minimum(width[k + 1 + at], width[k])
-            for w in set(level.tolist()):
-                some = at[level == w]
-                some = some[_differ_little(maps[w][k + 1 + some], maps[w][k], total[some], percent)]
-                first.append(np.full(len(some), node[k]))
-                second.append(node[k + 1 + some])
+            ok &= (100 + percent) * np.minimum(n[rest] - pos[rest], n[k] - pos[k]) >= percent * (n[rest] + n[k])
+            at = k + 1 + np.flatnonzero(ok)
+            first.append(np.full(len(at), node[k]))
+            second.append(node[at])
         if first:
             x, y = np.concatenate(first), np.concatenate(second)
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
@@ -321,7 +294,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     entries = lists.select("shingle", "node", "n", "pos").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = Window.partitionBy("shingle")
     entries = entries.withColumn("_lo", F.min("root").over(per)).withColumn("_hi", F.max("root").over(per)).filter("_lo <> _hi").drop("_lo", "_hi")
-    across = settle(_across(entries, classes, percent).join(tried, ["a", "b"], "left_anti"))
+    across = settle(_screen(_across(entries, percent).join(tried, ["a", "b"], "left_anti"), classes, percent))
     links = links.union(_verify(across, classes, docs, percent))
     label = components(links)
     named = classes.select("node", "rep").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
