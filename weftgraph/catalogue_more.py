@@ -1,0 +1 @@
+"""More registered queries: sources, documents, packing and sinks."""
