@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +39,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def kept(key: Any, make: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task: one model at a time, as workers outlive queries."""
+    here = sys.modules.setdefault("_weftgraph_worker", types.ModuleType("_weftgraph_worker")).__dict__
+    if here.get("key") != key:
+        here["key"] = here["value"] = None  # the old one goes before the new one is made
+        here["value"], here["key"] = make(), key
+    return here["value"]
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with files that every executor can read again.
 

@@ -21,9 +21,7 @@ import json
 import mmap
 import os
 import re
-import sys
 import tempfile
-import types
 from collections import Counter
 from collections.abc import Iterator
 
@@ -32,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import settle
+from ._common import kept, settle
 
 #: Words of the lexicon at most: bounds what is sent to the executors (some 4 MB).
 LEXICON = 50_000
 #: Bytes of a lexicon word at most.
 LONGEST = 64
-#: Words that a task counts or remembers before it starts anew: bounds its memory.
-REMEMBERED = 300_000
+#: Words that a task counts or remembers before it starts anew: bounds its memory (some 130 MB).
+REMEMBERED = 120_000
 #: Characters of a text cut into words at a time.
 PIECE = 1 << 20
 
@@ -363,11 +361,8 @@ class Encoder:
 
 def encoder(vocab: Vocabulary, block: bytes) -> Encoder:
     """This worker's encoder; the tasks that it runs one after the other share what it remembers."""
-    kept = sys.modules.setdefault("_weftgraph_encoders", types.ModuleType("_weftgraph_encoders")).__dict__
     key = hashlib.sha256(block + repr(vocab.tokens).encode()).hexdigest()
-    if kept.get("key") != key:
-        kept["key"], kept["encoder"] = key, Encoder(vocab, block)
-    return kept["encoder"]
+    return kept(key, lambda: Encoder(vocab, block))
 
 
 def frequent_words(docs: DataFrame, vocab: Vocabulary, text: str = "text", n: int = LEXICON) -> list[str]:

@@ -11,8 +11,6 @@ range calibrated on texts that the fit left aside.
 from __future__ import annotations
 
 import re
-import sys
-import types
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import kept
+
 ORDER = 4
 #: Texts of a language that a model learns from, at most about so many, and the longest of them.
 TEXTS, LONGEST = 300, 50_000
@@ -29,7 +29,7 @@ TEXTS, LONGEST = 300, 50_000
 ALPHABET = 120_000
 #: Letters' worth of evidence that the score counts at most.
 EVIDENCE = 40
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -243,11 +243,7 @@ class _Memory:
 
 
 def _memory(model: Model) -> _Memory:
-    kept = sys.modules.setdefault("_weftgraph_languages", types.ModuleType("_weftgraph_languages")).__dict__
-    key = (tuple(model.languages), model.normal.tobytes(), tuple(len(g) for g in model.grams))
-    if kept.get("key") != key:
-        kept["key"], kept["memory"] = key, _Memory(model)
-    return kept["memory"]
+    return kept((tuple(model.languages), model.normal.tobytes(), tuple(len(g) for g in model.grams)), lambda: _Memory(model))
 
 
 def _pieces(text: str):
