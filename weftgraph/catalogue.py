@@ -195,7 +195,7 @@ def impact_via(spark, d):
     return traverse.impact(graph(spark, d)[1], ids(spark, "nation:0"), "both", depth=2, via=True)
 
 
-@query(f"{GR}, adj as ({_IN} union {_OUT}), reach(id, depth) as (select 'customer:1', 0 union select a.nid, r.depth + 1 from reach r join adj a on a.id = r.id where r.depth < 4) select (min(depth) + 1)::bigint as n from reach where id = 'customer:2'")
+@query(f"{GR}, adj as ({_IN} union {_OUT}), reach(id, depth) as (select 'customer:1', 0 union select a.nid, r.depth + 1 from reach r join adj a on a.id = r.id where r.depth < 6) select (min(depth) + 1)::bigint as n from reach where id = 'customer:2'")
 def shortest_path_length(spark, d):
     return traverse.shortest_path(graph(spark, d)[1], "customer:1", "customer:2").agg(F.count("*").alias("n"))
 
@@ -220,7 +220,7 @@ def connected_components(spark, d):
 
 # --- resolution and search -------------------------------------------------
 
-_NAMES = ["nation:3", "FRANCE", "france", "Order#7", "ORDER#7", "Customer#000000001", "supplier#000000001", "nothing", "region:1", ""]
+_NAMES = ["nation:3", "NATION_3", "nation_3", "Order#7", "ORDER#7", "Customer#000000001", "supplier#000000001", "nothing", "region:1", ""]
 _names = lambda spark: spark.createDataFrame([(n,) for n in _NAMES], "name string")
 _NAMES_SQL = "names(name) as (values " + ", ".join(f"('{n}')" for n in _NAMES) + ")"
 _SYM = "regexp_extract(label, '^[^( \\t\\n]*')"
@@ -244,7 +244,7 @@ def kind_file_filter(spark, d):
     return search.substring_search(with_centrality(*graph(spark, d)), "00", "SUPPLIER", "Supp", 20)
 
 
-_ASK = ["callers of FRANCE", "Who calls nation:3?", "what does Order#7 call", "references to nothing", "GERMANY", "customer#000000002", "some words", "uses of  region:1 ", "importers of", "zzz"]
+_ASK = ["callers of NATION_6", "Who calls nation:3?", "what does Order#7 call", "references to nothing", "NATION_7", "customer#000000002", "some words", "uses of  region:1 ", "importers of", "zzz"]
 
 
 @query("select query, route, target from (values " + ", ".join(f"('{q}', '{r}', {t})" for q, r, t in zip(_ASK, ["structural", "structural", "structural", "search", "entity", "entity", "search", "structural", "search", "search"], ["'nation:6'", "'nation:3'", "'order:7'", "null", "'nation:7'", "'customer:2'", "null", "'region:1'", "null", "null"], strict=True)) + ") t(query, route, target)")
@@ -256,7 +256,7 @@ _TERMS = "list_distinct(list_transform(list_filter(regexp_split_to_array(lower({
 _STEM = "regexp_replace(t, '^(.{4,}?)(?:" + "|".join(fn.SUFFIXES) + ")$', '\\1')"
 
 
-@query(f"""{G}, q as (select item_id as qid, unnest({_TERMS.format('text', _STEM)}) as term from benchmark where item_id < 20),
+@query(f"""{G}, q as (select p_partkey as qid, unnest({_TERMS.format("p_name || ' ' || p_type", _STEM)}) as term from part where p_partkey < 20),
 n as (select n.id, label, centrality, ord, {_TERMS.format('label', _STEM)} as terms from nodes n join cent using (id) where kind = 'part' or kind = 'nation'),
 pages_n as (select count(*) as total from n), has as (select id, unnest(terms) as term from n),
 w as (select term, ln(1 + (select total from pages_n) / (1 + (select count(*) from has h where h.term = x.term))) as w from (select distinct term from q) x),
@@ -264,11 +264,11 @@ s as (select q.qid, h.id, round(sum(w) / (select sum(w2.w) from q q2 join w w2 u
 select qid, id, score, rank::int as rank from (select s.*, row_number() over (partition by qid order by score desc, centrality desc, label, ord) as rank from s join n using (id)) where rank <= 5""")
 def idf_search(spark, d):
     n = with_centrality(*graph(spark, d)).filter(F.col("kind").isin("part", "nation"))
-    q = table(spark, d, "benchmark").filter("item_id < 20").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    q = table(spark, d, "part").filter("p_partkey < 20").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_type").alias("query"))
     return search.idf_search(n, q)
 
 
-_TYPOS = ["FRANCEE", "GERMNY", "nation", "Ordr#12", "CHINE", "Customer#00000001"]
+_TYPOS = ["NATON_3", "AFRCA", "nation", "ASIAA", "MIDLE EST", "Customer#00000001"]
 
 
 @query(f"""{G}, q as (select unnest({_TYPOS}) as name), n as (select n.id, label, centrality, lower({_SYM}) as sym, lower(regexp_extract(n.id, '([^:/.]*)$', 1)) as tail from nodes n join cent using (id) where kind <> 'order' and kind <> 'part'),
@@ -362,10 +362,10 @@ def dangling_edges(spark, d):
 # --- resolution ------------------------------------------------------------
 
 
-@query("with need as (select distinct l_suppkey, l_partkey from lineitem where l_suppkey % 25 = 0 and l_partkey % 40 = 1), has as (select distinct l_orderkey % 300 as who, l_partkey from lineitem), size as (select l_suppkey, count(*) as n from need group by 1) select who, l_suppkey as grp from has join need using (l_partkey) join size using (l_suppkey) group by who, l_suppkey, n having count(*) = n")
+@query("with need as (select distinct l_suppkey, l_partkey from lineitem where l_suppkey % 5 = 0 and l_partkey % 400 < 3), has as (select distinct l_orderkey % 300 as who, l_partkey from lineitem), size as (select l_suppkey, count(*) as n from need group by 1) select who, l_suppkey as grp from has join need using (l_partkey) join size using (l_suppkey) group by who, l_suppkey, n having count(*) = n")
 def relational_division(spark, d):
     li = table(spark, d, "lineitem")
-    wants = li.filter("l_suppkey % 25 = 0 and l_partkey % 40 = 1").select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("item"))
+    wants = li.filter("l_suppkey % 5 = 0 and l_partkey % 400 < 3").select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("item"))
     return resolve.relational_division(li.select((F.col("l_orderkey") % 300).alias("who"), F.col("l_partkey").alias("item")), wants, "who", "grp", "item")
 
 

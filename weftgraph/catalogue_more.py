@@ -1 +1,214 @@
-"""More registered queries: sources, documents, packing and sinks."""
+"""More registered queries: sources, documents, packing, contracts, notes and sinks."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from .catalogue import G, graph, ids, query, table, with_centrality
+from .functions import scalar as fn
+from .operators.base import settle
+from .operators import context, extract, memory, resolve, seam, semantic
+from .plans import projection
+from .sources import exports, files
+
+# --- files -----------------------------------------------------------------
+
+#: Made-up paths from the pages' ids: every extension and directory comes up.
+_EXT = [e for es in files.EXTENSIONS.values() for e in es] + files.DOCUMENTS + files.MEDIA + [".zip", ""]
+_DIR = ["src", "lib/node_modules/x", "app/.claude", ".tool/worktrees/a", "worktrees", "pkg/vendor", "docs"]
+_PATH = "list_extract({d}, (page_id % {nd} + 1)::int) || '/f' || page_id || list_extract({e}, (page_id % {ne} + 1)::int)".format(d=_DIR, nd=len(_DIR), e=_EXT, ne=len(_EXT))
+
+
+def _paths(spark, d):
+    p = table(spark, d, "pages")
+    pick = lambda xs: F.element_at(fn.lit_array(xs), (F.col("page_id") % len(xs) + 1).cast("int"))
+    return p.select("page_id", F.concat(pick(_DIR), F.lit("/f"), "page_id", pick(_EXT)).alias("path"))
+
+
+_LANG = "case " + " ".join(f"when ext in ({', '.join(repr(e) for e in es)}) then '{k}'" for k, es in files.EXTENSIONS.items()) + " end"
+
+
+@query(f"with p as (select page_id, {_PATH} as path from pages), x as (select *, regexp_extract(path, '[^/](\\.[^./]*)$', 1) as ext from p) select path, {_LANG} as language, case when {_LANG} is not null then 'code' when ext in ({', '.join(map(repr, files.DOCUMENTS))}) then 'document' when ext in ({', '.join(map(repr, files.MEDIA))}) then 'media' end as kind from x")
+def language_detect(spark, d):
+    p = F.col("path")
+    return _paths(spark, d).select("path", files.language(p).alias("language"), files.kind_of_file(p).alias("kind"))
+
+
+@query(f"with p as (select page_id, {_PATH} as path from pages) select path from p where not regexp_matches(path, '(^|/)({'|'.join(s.replace('.', chr(92) + '.') for s in files.SKIPPED)})/') and not regexp_matches(path, '(^|/)\\.[^/]*/worktrees/') and not starts_with(path, 'docs/') and not contains(path, '/f7.')")
+def ignore_filter(spark, d):
+    rules = files.read_gitignore("# notes\n!keep\n/docs/\nsrc/f7\nf7.c\nf7.h\n")
+    kept = files.without_dependencies(_paths(spark, d).select("path"))
+    return kept.filter(~files.ignored(F.col("path"), rules) & ~F.col("path").contains("/f7."))
+
+
+@query("select path, case when old is null then 'New' when now is null then 'Deleted' when now = old then 'HashHit' else 'Stale' end as change from (select coalesce(a.path, b.path) as path, a.h as now, b.h as old from (select 'd/' || doc_id as path, sha256(text) as h from documents where doc_id % 10 <> 3) a full join (select 'd/' || doc_id as path, sha256(text || case when doc_id % 10 = 4 then 'x' else '' end) as h from documents where doc_id % 10 <> 5) b on a.path = b.path)")
+def file_changes(spark, d):
+    docs = table(spark, d, "documents")
+    side = lambda text: docs.select("doc_id", F.concat(F.lit("d/"), "doc_id").alias("path"), F.octet_length("text").cast("long").alias("size"), F.lit(0).cast("long").alias("mtime"), F.sha2(text, 256).alias("sha256"))
+    now = side(F.col("text")).filter("doc_id % 10 <> 3")
+    old = side(F.concat("text", F.when(F.col("doc_id") % 10 == 4, "x").otherwise(""))).filter("doc_id % 10 <> 5")
+    return files.classify_changes(now, old)
+
+
+@query()
+def content_root(spark, d):
+    docs = table(spark, d, "documents")
+    return files.content_root(docs.select(F.concat(F.lit("d/"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256")))
+
+
+@query("select doc_id::varchar as key, list_aggregate(list_slice(string_split(text, chr(10)), 2, 4), 'string_agg', chr(10)) as snippet from documents where len(string_split(text, chr(10))) >= 2 and length(list_aggregate(list_slice(string_split(text, chr(10)), 2, 4), 'string_agg', chr(10))) < 1990")
+def snippet_slice(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    wanted = docs.filter(F.size(F.split("text", "\n")) >= 2).select(F.col("path").alias("key"), "path", F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    out = context.snippets(wanted, docs)
+    whole = docs.select(F.col("path").alias("key"), F.char_length(F.array_join(F.slice(F.split("text", "\n"), 2, 3), "\n")).alias("n"))
+    return out.join(whole, "key").filter("n < 1990").select("key", "snippet")
+
+
+# --- extraction ------------------------------------------------------------
+
+
+@query()
+def extract_synthetic_python(spark, d):
+    tree = files.synthetic_tree(spark, 50).select("path", F.lit("python").alias("language"), F.col("content").alias("text"))
+    n, _, _, _ = extract.flatten(extract.extract(tree))
+    return n.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("select 'db/' || p_partkey || '.sql' as path, lower(replace(p_name, ' ', '_')) as label, 'sql_table' as kind from part union all select 'db/' || p_partkey || '.sql', p_partkey || '.sql', 'sql_file' from part")
+def extract_sql(spark, d):
+    p = table(spark, d, "part")
+    f = p.select(F.concat(F.lit("db/"), "p_partkey", F.lit(".sql")).alias("path"), F.lit("sql").alias("language"), F.concat(F.lit("CREATE TABLE IF NOT EXISTS public."), F.upper(F.replace("p_name", F.lit(" "), F.lit("_"))), F.lit(" (id int);")).alias("text"))
+    return extract.sql_entities(f)[0].select("path", "label", "kind")
+
+
+@query("select 'p' || p_partkey || '.csproj' as path, p_name as label, 'package_reference' as kind, 2::int as start_line from part")
+def extract_msbuild(spark, d):
+    p = table(spark, d, "part")
+    f = p.select(F.concat(F.lit("p"), "p_partkey", F.lit(".csproj")).alias("path"), F.lit("msbuild").alias("language"), F.concat(F.lit("<X>\n<PackageReference Include=\""), "p_name", F.lit("\" />")).alias("text"))
+    return extract.pattern_nodes(f).select("path", "label", "kind", "start_line")
+
+
+# --- documents and code ----------------------------------------------------
+
+
+@query("with sym as (select 'NATION_' || n_nationkey as name, 'nation:' || n_nationkey as id from nation), docs as (select o_orderkey as doc_id, 'see NATION_' || (o_custkey % 30) || ', nation_x and NATION_' || (o_orderkey % 30) as text from orders where o_orderkey < 2000), tok as (select distinct doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as name from docs) select doc_id as doc, name, id, rank::int as rank from (select doc_id, name, row_number() over (partition by doc_id order by length(name) desc, name) as rank from tok where name in (select name from sym)) join sym using (name)")
+def doc_links(spark, d):
+    n = projection.nodes(spark, d).filter("kind = 'nation'")
+    docs = table(spark, d, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("see NATION_"), F.col("o_custkey") % 30, F.lit(", nation_x and NATION_"), F.col("o_orderkey") % 30).alias("text"))
+    return semantic.doc_links(docs, semantic.symbol_index(n))
+
+
+@query("with recursive f as (select source as grp, doc_id, row_number() over (partition by source order by lpad(doc_id::varchar, 9, '0')) as r, n_chars as size from documents), go(grp, r, chunk, n, bytes) as (select grp, r, 0, 1, size from f where r = 1 union all select f.grp, f.r, case when go.n >= 8 or go.bytes + f.size > 1048576 then chunk + 1 else chunk end, case when go.n >= 8 or go.bytes + f.size > 1048576 then 1 else go.n + 1 end, case when go.n >= 8 or go.bytes + f.size > 1048576 then f.size else go.bytes + f.size end from go join f on f.grp = go.grp and f.r = go.r + 1) select grp, lpad(doc_id::varchar, 9, '0') as path, chunk::int as chunk from go join f using (grp, r)")
+def chunk_plan(spark, d):
+    docs = table(spark, d, "documents").select("source", F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("path"), F.col("n_chars").alias("size"))
+    return semantic.plan_chunks(docs, "source")
+
+
+@query("select event_id, case when event_id % 3 = 0 then 0 when event_id % 3 = 1 then 1 else 2 end::int as n_errors from events")
+def fragment_validation(spark, d):
+    e = table(spark, d, "events")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"nodes": [{"id": "a", "label": "b", "props": '), "props", F.lit('}], "edges": []}'))).when(F.col("event_id") % 3 == 1, "{torn").otherwise('{"nodes": [{"id": "a"}]}')
+    f = e.select(F.col("event_id").cast("string").alias("path"), text.alias("text"))
+    return semantic.validate_fragments(f).select(F.col("path").cast("long").alias("event_id"), F.size("errors").alias("n_errors"))
+
+
+@query("with r as (select doc_id, source as fragment, sha256(text) as now, case when doc_id % 97 = 0 then 'old' else sha256(text) end as was from documents) select 'd/' || doc_id as source, fragment, min(now = was) over (partition by fragment) as valid from r")
+def cache_reconcile(spark, d):
+    docs = table(spark, d, "documents")
+    path, h = F.concat(F.lit("d/"), "doc_id"), F.sha2("text", 256)
+    records = docs.select(path.alias("source"), F.when(F.col("doc_id") % 97 == 0, "old").otherwise(h).alias("sha256"), F.col("source").alias("fragment"), F.lit("n").alias("node_id"))
+    return semantic.cache_states(records, docs.select(path.alias("path"), h.alias("sha256")), ids(spark, "n"))
+
+
+# --- context ---------------------------------------------------------------
+
+
+def _packed(spark, d, packer):
+    n, e = graph(spark, d)
+    n = settle(with_centrality(n, e))
+    q = spark.createDataFrame([(1, "nation:3"), (2, "small ring"), (3, "customer:7")], "qid int, query string")
+    near = context.gather(n, e.filter("relation in ('IN_NATION', 'PART_OF')"), q, context.focal(n, q))
+    return context.pack(n, near, 600, packer)
+
+
+@query()
+def context_greedy(spark, d):
+    return _packed(spark, d, "greedy")
+
+
+@query()
+def context_knapsack(spark, d):
+    return _packed(spark, d, "knapsack")
+
+
+# --- contracts -------------------------------------------------------------
+
+SPEC = {
+    "provider": "ml-api", "api_version": "v3", "error_codes": [400, 500],
+    "services": [{"name": "ml-api", "role": "provider", "owned": False}, {"name": "backend", "role": "consumer", "owned": True}],
+    "schemas": [{"name": "ScoreResult", "canonical": "ml-api/src/schemas/score.ts"}],
+    "endpoints": [{"method": "POST", "path": "/v3/score", "response_schema": "ScoreResult", "path_params": ["modelId"], "query_params": ["verbose"]}],
+    "consumes": [{"service": "backend", "method": "POST", "path": "/v3/score", "call_site": {"graph": "backend", "file": "src/score.ts", "line": 42}}],
+    "mirrors": [{"schema": "ScoreResult", "graph": "backend", "file": "src/types.ts", "line": 10}],
+}
+
+
+def backend(spark):
+    rows = [
+        (0, "backend::module", "score module", "file", "backend/src/score.ts", (1, 0, 100, 0)), (1, "backend::outer", "outer", "function", "backend/src/score.ts", (1, 0, 100, 0)),
+        (2, "backend::scoreModel", "scoreModel", "function", "backend/src/score.ts", (40, 0, 50, 0)), (3, "backend::ScoreResult", "ScoreResult", "interface", "backend/src/types.ts", (8, 0, 12, 0)),
+    ]
+    return spark.createDataFrame(rows, "ord long, id string, label string, kind string, source_file string, loc struct<start_line: int, start_column: int, end_line: int, end_column: int>")
+
+
+@query("select * from (values ('endpoint:ml-api:POST /v3/score', 'service:ml-api', 'SERVED_BY'), ('endpoint:ml-api:POST /v3/score', 'schema:ml-api:v3:ScoreResult', 'RESPONDS_WITH'), ('service:backend', 'endpoint:ml-api:POST /v3/score', 'CONSUMES'), ('endpoint:ml-api:POST /v3/score', 'backend::scoreModel', 'CONSUMED_AT'), ('schema:ml-api:v3:ScoreResult', 'backend::ScoreResult', 'MIRRORED_BY')) t(source, target, relation)")
+def seam_edges(spark, d):
+    n, e = seam.generate(spark, SPEC, {"backend": backend(spark)})
+    _, e = seam.fuse((n, e), [(backend(spark).withColumn("properties", F.expr("cast(map() as map<string,string>)")), e.limit(0))])
+    return e.select("source", "target", "relation")
+
+
+# --- notes -----------------------------------------------------------------
+
+
+@query("select id, created_at, count(*) over ()::bigint as total from (select conv_id || ':' || turn as id, (conv_id * 100 + turn)::varchar as created_at, conv_id * 100 + turn as n from conversations where contains(lower(text), 'the')) qualify row_number() over (order by n desc, id desc) <= 10")
+def notes_recall(spark, d):
+    c = table(spark, d, "conversations")
+    id_ = F.concat_ws(":", "conv_id", "turn")
+    notes = c.select(id_.alias("id"), F.lit("").alias("title"), F.lit("").alias("tags"), F.col("text").alias("body"), (F.col("conv_id") * 100 + F.col("turn")).cast("string").alias("created_at"))
+    touches = c.select(id_.alias("source"), F.col("role").alias("target"))
+    hit = memory.recall(notes, touches, ids(spark, "user").withColumn("label", F.lit("User")), "THE")
+    all_ = c.filter(F.contains(F.lower("text"), F.lit("the"))).agg(F.count("*")).scalar()
+    return hit.select("id", "created_at", all_.alias("total"))
+
+
+# --- sinks -----------------------------------------------------------------
+
+
+@query(f"{G}, s as (select row_number() over (order by ord) - 1 as k, count(*) over () as n, ord from nodes where kind in ('region', 'nation')) select ord, round(240 + 120 * cos(2 * pi() * k / n), 6) as x, round(180 + 120 * sin(2 * pi() * k / n), 6) as y from s")
+def svg_positions(spark, d):
+    n = projection.nodes(spark, d).filter("kind in ('region', 'nation')")
+    return exports.svg_rows(n).select("ord", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"{G} select 'MERGE (n:Node {{id: ''' || id || '''}}) SET n.label = ''' || label || ''', n.kind = ''' || kind || ''';' as statement from nodes where kind in ('region', 'nation') union all select 'MATCH (a:Node {{id: ''' || source || '''}}), (b:Node {{id: ''' || target || '''}}) MERGE (a)-[:REL {{relation: ''' || relation || '''}}]->(b);' from edges where relation = 'PART_OF'")
+def cypher_statements(spark, d):
+    n, e = graph(spark, d)
+    return exports.cypher_statements(n.filter("kind in ('region', 'nation')"), e.filter("relation = 'PART_OF'").withColumn("ord", F.lit(0).cast("long"))).select("statement")
+
+
+@query(f"{G} select '## ' || label || chr(10) || '- kind: ' || kind || chr(10) || '- source: ' || source_file || chr(10) || '- links: ' || coalesce((select string_agg('[[' || t.label || ']]', ', ' order by t.ord) from edges e join nodes t on t.id = e.target where e.source = n.id), 'none') || chr(10) as block from nodes n where kind in ('region', 'nation')")
+def markdown_blocks(spark, d):
+    n, e = graph(spark, d)
+    n = n.filter("kind in ('region', 'nation')")
+    e = e.filter("relation = 'PART_OF'").join(n.select(F.col("id").alias("target"), "ord"), "target")
+    return exports.markdown_blocks(n, e).select("block")
+
+
+@query("select c_custkey as id, lower(c_mktsegment) as key, count(*) over (partition by c_mktsegment)::bigint as n from customer")
+def symbol_keys(spark, d):
+    c = table(spark, d, "customer").withColumn("label", F.col("c_mktsegment"))
+    keyed = resolve._keyed(c, "label", "key")
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n"))
+    return keyed.join(counts, "key").select(F.col("c_custkey").alias("id"), "key", "n")

@@ -122,7 +122,10 @@ def shingles(c: Column, n: int = 3) -> Column:
 
 
 def minhash(grams: Column, slots: int = 16) -> Column:
-    return F.array(*[F.array_min(F.transform(grams, lambda g, k=k: F.xxhash64(F.lit(k), g))) for k in range(slots)])
+    def slot(seed: int) -> Column:
+        return F.array_min(F.transform(grams, lambda g: F.xxhash64(F.lit(seed), g)))
+
+    return F.array(*[slot(k) for k in range(slots)])
 
 
 def lsh_bands(signature: Column, bands: int = 4, rows: int = 4) -> Column:

@@ -95,7 +95,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, longest: int = 64)
     start = spark.createDataFrame([(source,)], "id string")
     if source == target:
         return start.select(F.lit(0).alias("step"), "id")
-    adj = adjacency(edges, "both").select("id", "nid", "eord")
+    adj = settle(adjacency(edges, "both").select("id", "nid", "eord"))
     front = start.withColumn("rank", F.lit(0).cast("long"))
     visited, hops = start, []
     for _ in range(longest):
