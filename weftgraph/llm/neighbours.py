@@ -27,6 +27,8 @@ SAMPLE, SAMPLE_VALUES = 20_000, 4_000_000
 BRANCH, LEAF, LEAVES = 16, 256, 2048
 #: Queries that calibrate, and the recall that they must reach.
 CALIBRATE, RECALL = 100, 0.96
+#: Leaves that a query visits first; the k-th best of them bounds what the others need return.
+FIRST = 4
 #: Vectors and visiting queries of a unit of work, about.
 VECTORS, VISITS = 4096, 2048
 
@@ -122,13 +124,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1) if raw else np.zeros((0, 1))
 
 
-def _best(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int):
-    """For each query its ``k`` best of ``x``: (row of q, rows of x, scores), ties to the smaller id."""
+def _best(q_id: np.ndarray, q: np.ndarray, x_id: np.ndarray, x: np.ndarray, k: int, least: np.ndarray | None = None):
+    """For each query its ``k`` best of ``x``: (row of q, rows of x, scores), ties to the smaller id; those of at least ``least`` only."""
     for lo in range(0, len(q), 256):
         near = q[lo : lo + 256] @ x.T
         near[q_id[lo : lo + 256, None] == x_id[None]] = -np.inf
         at = max(near.shape[1] - k, 0)
         floor = np.partition(near, at, axis=1)[:, at]
+        if least is not None:
+            floor = np.maximum(floor, least[lo : lo + 256])
         # products of columns differ in the last bits from those of rows
         slack = 1e-12 * (1 + np.abs(np.where(np.isfinite(floor), floor, 0))) * x.shape[1]
         for j in range(len(near)):
@@ -230,9 +234,10 @@ def search(vectors: DataFrame, queries: str, k: int = 20, vec_id: str = "vec_id"
             leaves = [tree.visits(v, n_visits) for v in m]
             size = [len(x) for x in leaves]
             at = pa.array(np.repeat(np.arange(len(m)), size))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(leaves) if leaves else [], pa.int32())], ["query_id", "q", "leaf"])
+            place = pa.array(np.concatenate([np.arange(n) for n in size]) if size else [], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(leaves) if leaves else [], pa.int32()), place], ["query_id", "q", "leaf", "place"])
 
-    routed = settle(asking.mapInArrow(route, "query_id long, q binary, leaf int"))
+    routed = settle(asking.mapInArrow(route, "query_id long, q binary, leaf int, place int"))
     # a row for each leaf, of which there are LEAVES at most
     cx = {r["leaf"]: -(-r["count"] // VECTORS) for r in indexed.groupBy("leaf").count().collect()}
     cq = {r["leaf"]: -(-r["count"] // VISITS) for r in routed.groupBy("leaf").count().collect()}
@@ -240,19 +245,28 @@ def search(vectors: DataFrame, queries: str, k: int = 20, vec_id: str = "vec_id"
     parts = spark.createDataFrame([(leaf, c, cq[leaf]) for leaf, c in cx.items() if leaf in cq], "leaf int, nx int, nq int")
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     left = indexed.join(F.broadcast(parts), "leaf").withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("nx")).cast("int")).withColumn("j", span("nq"))
-    right = routed.join(F.broadcast(parts), "leaf").withColumn("j", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("i", span("nx"))
+    left = left.select("leaf", "i", "j", "vec_id", "v")
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
         if len(a) and len(b):
             ids, m = a["vec_id"].to_numpy(), _matrix(a["v"].combine_chunks())
-            asks, q = b["query_id"].to_numpy(), _matrix(b["q"].combine_chunks())
-            for j, at, score in _best(asks, q, ids, m, k):
+            asks, q, least = b["query_id"].to_numpy(), _matrix(b["q"].combine_chunks()), b["least"].to_numpy()
+            for j, at, score in _best(asks, q, ids, m, k, least):
                 for c, v in zip(out, (np.full(len(at), asks[j]), ids[at], score), strict=True):
                     c.append(v)
         kinds = (np.int64, np.int64, np.float64)
         return pa.table({c: np.concatenate(v) if v else np.zeros(0, t) for c, v, t in zip(("query_id", "vec_id", "score"), out, kinds, strict=True)})
 
-    met = left.select("leaf", "i", "j", "vec_id", "v").groupBy("leaf", "i", "j").cogroup(right.select("leaf", "i", "j", "query_id", "q").groupBy("leaf", "i", "j")).applyInArrow(compare, "query_id long, vec_id long, score double")
+    def met_by(visits: DataFrame) -> DataFrame:
+        right = visits.join(F.broadcast(parts), "leaf").withColumn("j", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("i", span("nx"))
+        right = right.select("leaf", "i", "j", "query_id", "q", "least")
+        return left.groupBy("leaf", "i", "j").cogroup(right.groupBy("leaf", "i", "j")).applyInArrow(compare, "query_id long, vec_id long, score double")
+
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = lambda met: met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    none = F.lit(float("-inf"))
+    first = settle(best(met_by(routed.filter(F.col("place") < FIRST).withColumn("least", none))))
+    known = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(none).alias("least"))
+    later = routed.filter(F.col("place") >= FIRST).join(known, "query_id", "left").withColumn("least", F.coalesce("least", none))
+    return best(first.drop("rank").unionByName(met_by(later)))
