@@ -2,13 +2,16 @@
 
 A text's lines, its paragraphs and the text as a whole are candidates.  Each is
 normalised to lower-case words of ASCII letters and digits and compared with
-licence templates; the threshold bounds how many words a candidate may have for
-a template, and most candidates are dropped by that alone.  What is left is
+licence templates.  The threshold bounds how many words a candidate may have,
+and how many bigrams of a template it may lack, so that some words of the
+template must be there: most texts are dropped by that alone.  What is left is
 compared through an equi-join on the bigrams that any template has.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,30 +64,45 @@ def template_table(spark: SparkSession, templates: dict[str, list[str]]) -> Data
     return t.select("template", "license", F.size("g").alias("t_size"), F.explode("g").alias("bigram"))
 
 
+def _anchors(rows: list, threshold: float) -> str:
+    """A pattern that every candidate matches: of each template so many bigrams that one can't lack them all, by their longest words."""
+    by: dict[int, list[str]] = {}
+    for r in rows:
+        by.setdefault(r["template"], []).append(r["bigram"])
+    words: set[str] = set()
+    for grams in by.values():
+        lacks = len(grams) - math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)
+        longest = sorted((max(g.split(), key=len) for g in grams), key=lambda w: (-len(w), w))
+        words.update(longest[: lacks + 1])
+    return r"(?i)(?<![0-9A-Za-z])(?:" + "|".join(sorted(words)) + r")(?![0-9A-Za-z])"
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Licences found in each text.
 
     Returns doc_id, license, dice (of the best match of that licence) and
     matches (distinct candidates that match it), a row for each licence of a
     document; rows of one id are one document.  Texts that are null, empty or
-    name no licence have no row.  A candidate matches the template of the
+    name no licence have no row.  A candidate of more words than the
+    largest template allows bigrams is none, even if it repeats itself: its
+    lines are.  A candidate matches the template of the
     highest coefficient from ``threshold`` on, ties to the first template.
     """
     spark = docs.sparkSession
     known = template_table(spark, templates)
-    # the templates are an argument of the driver's: their bigrams are few hundred
-    grams = sorted({r["bigram"] for r in known.select("bigram").distinct().collect()})
-    sizes = sorted({r["t_size"] for r in known.select("t_size").distinct().collect()})
-    fits = lambda n: (n >= threshold / (2 - threshold) * sizes[0]) & (n <= (2 - threshold) / threshold * sizes[-1])
-    lone = F.array(F.col("text"))
-    units = F.array_distinct(F.flatten(F.array(F.split("text", "\n"), F.split("text", r"\n[ \t\r]*\n"), lone)))
-    # a candidate of w words has w - 1 bigrams at most
-    some = F.filter(units, lambda u: F.regexp_count(u, F.lit("[0-9A-Za-z]+")) > threshold / (2 - threshold) * sizes[0])
-    u = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null").select("doc_id", F.explode(some).alias("u"))
-    u = u.withColumn("g", _bigrams(_words(F.col("u")))).withColumn("n", F.size("g")).filter(fits(F.col("n")))
+    # the templates are an argument of the driver's: they have a few hundred bigrams
+    rows = known.select("template", "t_size", "bigram").collect()
+    grams = sorted({r["bigram"] for r in rows})
+    least, most = threshold / (2 - threshold) * min(r["t_size"] for r in rows), (2 - threshold) / threshold * max(r["t_size"] for r in rows)
+    anchor = _anchors(rows, threshold)
+    d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(anchor))
+    units = F.array_distinct(F.flatten(F.array(F.split("text", "\n"), F.split("text", r"\n[ \t\r]*\n"), F.array(F.col("text")))))
+    u = d.select("doc_id", F.explode(F.filter(units, lambda u: u.rlike(anchor))).alias("u"))
+    u = u.withColumn("w", F.regexp_count("u", F.lit("[0-9A-Za-z]+"))).filter((F.col("w") - 1 >= least) & (F.col("w") - 1 <= most))
+    u = u.withColumn("g", _bigrams(_words(F.col("u")))).withColumn("n", F.size("g")).filter((F.col("n") >= least) & (F.col("n") <= most))
     u = u.select("doc_id", F.col("u"), "n", F.array_intersect("g", F.array(*[F.lit(g) for g in grams])).alias("hit"))
     # what all templates know of it bounds what one of them shares
-    u = u.filter(F.size("hit") >= threshold / 2 * (F.col("n") + sizes[0]))
+    u = u.filter(F.size("hit") >= threshold / 2 * (F.col("n") + min(r["t_size"] for r in rows)))
     met = u.select("doc_id", F.xxhash64("u").alias("u"), "n", F.explode("hit").alias("bigram")).distinct().join(F.broadcast(known), "bigram")
     met = met.filter((F.col("n") >= threshold / (2 - threshold) * F.col("t_size")) & (F.col("n") <= (2 - threshold) / threshold * F.col("t_size")))
     dice = met.groupBy("doc_id", "u", "n", "template", "license", "t_size").agg((F.lit(2.0) * F.count("*") / (F.col("n") + F.col("t_size"))).alias("dice")).filter(F.col("dice") >= threshold)
@@ -105,8 +123,8 @@ def oracle(templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRES
     t3 as (select template, license, t_size, unnest(g) as bigram from t2),
     u0 as (select distinct doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), [text]))) as u from documents where text is not null),
     u1 as (select doc_id, u, {words.format("u")} as w from u0),
-    u2 as (select doc_id, u, {grams} as g from u1),
-    u3 as (select doc_id, u, len(g) as n, unnest(g) as bigram from u2),
+    u2 as (select doc_id, u, len(w) as words, {grams} as g from u1),
+    u3 as (select doc_id, u, len(g) as n, unnest(g) as bigram from u2 where words - 1 <= (select max(t_size) from t2) * {2 - threshold} / {threshold}),
     dice as (select doc_id, u, template, license, 2.0 * count(*) / (n + t_size) as dice from u3 join t3 using (bigram)
         group by doc_id, u, n, template, license, t_size having 2.0 * count(*) / (n + t_size) >= {threshold}),
     best as (select doc_id, u, arg_min(license, (-dice, template)) as license, max(dice) as dice from dice group by doc_id, u)
