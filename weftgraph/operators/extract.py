@@ -55,13 +55,17 @@ PATTERNS["xml"] = PATTERNS["msbuild"]
 
 def pattern_nodes(files: DataFrame) -> DataFrame:
     """(path, id, label, kind, source_file, start_line) of MSBuild, XML, Delphi and Apex files (path, language, text)."""
-    out = None
-    for lang, rules in PATTERNS.items():
-        for k, (kind, pattern) in enumerate(rules):
-            hits = files.filter(F.col("language") == lang).select("path", "text", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("at", "label"))
-            part = hits.select("path", "label", F.lit(kind).alias("kind"), (F.lit(k * 10_000) + F.col("at")).alias("at"), _line(F.col("text"), pattern, F.col("at")).alias("start_line"))
-            out = part if out is None else out.unionByName(part)
-    return out.select("path", make_id(F.concat_ws(":", "path", "kind", "label")).alias("id"), "label", "kind", F.col("path").alias("source_file"), "start_line", "at")
+    # one pass over the files: each rule makes a list, null for files of other languages
+    lists = [F.when(F.col("language") == lang, _hits(kind, pattern, k)) for lang, rules in PATTERNS.items() for k, (kind, pattern) in enumerate(rules)]
+    hits = files.filter(F.col("language").isin(*PATTERNS)).select("path", F.explode(F.flatten(F.filter(F.array(*lists), lambda x: x.isNotNull()))).alias("h")).select("path", "h.*")
+    return hits.select("path", make_id(F.concat_ws(":", "path", "kind", "label")).alias("id"), "label", "kind", F.col("path").alias("source_file"), "start_line", "at")
+
+
+def _hits(kind: str, pattern: str, rule: int) -> Column:
+    """The matches of a rule in ``text``, with kind, order and line."""
+    text = F.col("text")
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return F.transform(found, lambda label, i: F.struct(label.alias("label"), F.lit(kind).alias("kind"), (i + rule * 10_000).alias("at"), _line(text, pattern, i).alias("start_line")))
 
 
 def _line(text: Column, pattern: str, nth: Column) -> Column:
@@ -77,16 +81,20 @@ def sql_entities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of SQL scripts: a node a file, tables and enums keyed by name alone, foreign keys as references."""
     f = files.filter("language = 'sql'").select("path", "text")
     name = F.regexp_extract("path", r"([^/\\]*)$", 1)
-    file_nodes = f.select("path", make_id(F.concat("path", F.lit(":sql_file:"), name)).alias("id"), name.alias("label"), F.lit("sql_file").alias("kind"), F.lit(-1).alias("at"))
     rules = [
         ("sql_table", rf"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?{_SQL_QUAL}{_SQL_NAME}"),
         ("sql_enum", rf"(?i)CREATE\s+TYPE\s+{_SQL_QUAL}{_SQL_NAME}\s+AS\s+ENUM"),
         ("sql_table", rf"(?i)ALTER\s+TABLE\s+{_SQL_QUAL}{_SQL_NC}\s+RENAME\s+TO\s+{_SQL_QUAL}{_SQL_NAME}"),
     ]
-    nodes = file_nodes
-    for k, (kind, pattern) in enumerate(rules):
-        hits = f.select("path", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("at", "raw")).withColumn("label", normalize_sql_ident(F.col("raw"))).filter("label <> ''")
-        nodes = nodes.unionByName(hits.select("path", make_id(F.concat(F.lit(f"{kind}:"), "label")).alias("id"), "label", F.lit(kind).alias("kind"), (F.lit(k * 10_000) + F.col("at")).alias("at")))
+
+    def found(kind: str, pattern: str, k: int) -> Column:
+        names = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda raw, i: F.struct(normalize_sql_ident(raw).alias("label"), F.lit(kind).alias("kind"), (i + k * 10_000).alias("at")))
+        return F.filter(names, lambda x: x["label"] != "")
+
+    itself = F.array(F.struct(name.alias("label"), F.lit("sql_file").alias("kind"), F.lit(-1).alias("at")))
+    every = f.select("path", F.explode(F.concat(itself, *[found(kind, pattern, k) for k, (kind, pattern) in enumerate(rules)])).alias("x")).select("path", "x.*")
+    key = F.when(F.col("kind") == "sql_file", F.concat("path", F.lit(":sql_file:"), "label")).otherwise(F.concat("kind", F.lit(":"), "label"))
+    nodes = every.select("path", make_id(key).alias("id"), "label", "kind", "at")
     fk = rf"(?i)ALTER\s+TABLE\s+{_SQL_QUAL}{_SQL_NAME}\s+ADD\s+(?:CONSTRAINT\s+{_SQL_NC}\s+)?FOREIGN\s+KEY\s*\([^)]*\)\s*REFERENCES\s+{_SQL_QUAL}{_SQL_NAME}"
     both = f.select("path", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(fk), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(fk), F.lit(2)).alias("b"))).alias("x"))
     table = lambda c: make_id(F.concat(F.lit("sql_table:"), normalize_sql_ident(F.col(c))))

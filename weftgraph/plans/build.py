@@ -19,16 +19,17 @@ class Graph:
     tally: DataFrame
 
 
-def build(files: DataFrame, aliases: DataFrame | None = None, dedupe: bool = True) -> Graph:
+def build(files: DataFrame, aliases: DataFrame | None = None, dedupe: bool = True, community: bool = True) -> Graph:
     """``files`` (path, language, text) to a graph.
 
     Order matters and is fixed: merge, imports, calls, relations, dispatch,
-    entity resolution, communities, centrality.
+    entity resolution, communities, centrality.  The last but one and its
+    predecessor can be left out.
     """
     n, e, calls, relations = extract.flatten(extract.extract(files))
     more = extract.pattern_nodes(files).select("path", "id", "label", "kind", "source_file")
     sql_nodes, sql_edges = extract.sql_entities(files)
-    more = more.unionByName(sql_nodes.select("path", "id", "label", "kind", "source_file")).unionByName(extract.mcp_servers(files))
+    more = settle(more.unionByName(sql_nodes.select("path", "id", "label", "kind", "source_file")).unionByName(extract.mcp_servers(files)))
     late = F.lit(1 << 50) + F.xxhash64("path", "id").bitwiseAND(F.lit((1 << 40) - 1))
     n = conform(n, "nodes").unionByName(conform(more.withColumn("ord", late), "nodes"))
     e = conform(e, "edges").unionByName(conform(sql_edges.withColumn("ord", F.lit(1 << 50) + F.xxhash64("source", "target").bitwiseAND(F.lit((1 << 40) - 1))), "edges"))
@@ -48,7 +49,7 @@ def build(files: DataFrame, aliases: DataFrame | None = None, dedupe: bool = Tru
     if dedupe:
         nodes, edges = dedup.deduplicate(nodes, edges)
         nodes, edges = settle(nodes), settle(edges)
-    home = analyze.communities(nodes, edges)
+    home = analyze.communities(nodes, edges) if community else nodes.select("id", F.lit("").alias("community"))
     central = analyze.centrality(nodes, edges)
     gods = analyze.god_nodes(nodes, edges).select("id", "god_node", "god_node_rank")
     nodes = nodes.join(home, "id", "left").join(central.select("id", F.col("degree_centrality").alias("centrality")), "id", "left").join(gods, "id", "left")
