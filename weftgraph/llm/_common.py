@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import sys
 import tempfile
 import types
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +51,30 @@ def kept(key: Any, make: Callable[[], Any]) -> Any:
     return here["value"]
 
 
+#: Bytes of a batch that a Python worker gets at most, but for a longer text.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, whose texts go to Python workers in small batches from now on.
+
+    A batch of Spark's usual 10,000 rows holds whole partitions of texts, in
+    the JVM's buffers, in Arrow and as strings.  The setting is the session's;
+    a lower one stays.
+    """
+    conf, key = docs.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", conf.get(key)) or 1 << 31) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return docs
+
+
+def hand_back() -> None:
+    """Give memory that a worker has freed back to the machine: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with files that every executor can read again.
 

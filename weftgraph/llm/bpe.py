@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept, settle
+from ._common import hand_back, kept, settle, small_batches
 
 #: Words of the lexicon at most: bounds what is sent to the executors (some 4 MB).
 LEXICON = 50_000
@@ -390,9 +390,10 @@ def frequent_words(docs: DataFrame, vocab: Vocabulary, text: str = "text", n: in
         for w in special:
             seen.pop(w, None)
         yield rows()
+        hand_back()
 
     # a word met once gains nothing; the others' counts fall into some thousand bands
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = small_batches(docs).select(F.col(text).alias("text")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counted = settle(counted.filter((F.col("n") > 1) & (F.octet_length("word") <= LONGEST)).withColumn("band", F.floor(F.log2("n") * 32)))
     least, room = None, n
     for r in counted.groupBy("band").count().orderBy(F.desc("band")).collect():
@@ -457,5 +458,6 @@ def encode(docs: DataFrame, model: tuple[Vocabulary, bytes], doc_id: str = "doc_
                     arrays.append(pa.array(cols[4], pa.string()))
                     names.append("decoded")
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        hand_back()
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)

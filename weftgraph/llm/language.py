@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept
+from ._common import hand_back, kept, small_batches
 
 ORDER = 4
 #: Texts of a language that a model learns from, at most about so many, and the longest of them.
@@ -301,6 +301,7 @@ def verdict(model: Model, text: Column) -> Column:
                 scores.append(float(1.0 / np.exp((ce[k] - ce) * min(n, EVIDENCE)).sum()))
                 out.append(bool((ce[k] - mean) > bound * np.sqrt(between + letter / n)))
             yield pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip((preds, scores, out), kinds.values(), strict=True)], list(kinds))
+        hand_back()
 
     return F.arrow_udf(run, "lang_pred string, score double, rejected boolean")(text)
 
@@ -314,10 +315,10 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     have.  Ties go to the language first by name.  A model that has learnt
     nothing answers ``und``.  Each row stands for itself.
     """
-    return docs.select(F.col(doc_id).alias("doc_id"), verdict(model, F.col(text)).alias("v")).select("doc_id", "v.*")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), verdict(model, F.col(text)).alias("v")).select("doc_id", "v.*")
 
 
 def keep_known(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with all their columns."""
     mark = "_" + max(docs.columns, key=len)
-    return docs.withColumn(mark, verdict(model, F.col(text))).filter(~F.col(mark)["rejected"]).drop(mark)
+    return small_batches(docs).withColumn(mark, verdict(model, F.col(text))).filter(~F.col(mark)["rejected"]).drop(mark)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import hand_back, small_batches
+
 #: Labelled rows that the fit takes at most, about.
 SAMPLE = 4_000
 TREES, DEPTH, BINS = 30, 3, 32
@@ -68,13 +70,14 @@ def measure(text: Column) -> Column:
         for a in arrays:
             x = np.array([statistics(t.as_py() or "") for t in a]).reshape(-1, len(STATS))
             yield pa.StructArray.from_arrays([pa.array(x[:, k]) for k in range(len(STATS))], STATS)
+        hand_back()
 
     return F.arrow_udf(run, ", ".join(f"{s} double" for s in STATS))(text)
 
 
 def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and the statistics of every text."""
-    return docs.select(F.col(doc_id).alias("doc_id"), measure(F.col(text)).alias("s")).select("doc_id", "s.*")
+    return small_batches(docs).select(F.col(doc_id).alias("doc_id"), measure(F.col(text)).alias("s")).select("doc_id", "s.*")
 
 
 #: (statistic, above, threshold): the statistic is greater than the threshold, or not.
@@ -225,4 +228,4 @@ def score(docs: DataFrame, model: RuleEnsemble, doc_id: str = "doc_id", text: st
 def keep_good(docs: DataFrame, model: RuleEnsemble, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that :func:`score` predicts to be good, with all their columns."""
     mark = "_" + max(docs.columns, key=len)
-    return docs.withColumn(mark, measure(F.col(text))).filter(model.column(mark) >= threshold).drop(mark)
+    return small_batches(docs).withColumn(mark, measure(F.col(text))).filter(model.column(mark) >= threshold).drop(mark)
