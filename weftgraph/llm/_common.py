@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import sys
 import tempfile
@@ -75,6 +76,17 @@ def hand_back() -> None:
         libc.malloc_trim(0)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffles, checkpoints and plans of rounds that are over.
+
+    Spark drops them when the driver collects its garbage, which it may not do
+    for half an hour.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    hand_back()
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with files that every executor can read again.
 

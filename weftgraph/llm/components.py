@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import settle
+from ._common import release, settle
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -31,5 +31,6 @@ def components(links: DataFrame) -> DataFrame:
         label = settle(label.join(to, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
         a = edges.join(up, "hi").select(F.col("up").alias("a"), F.col("lo").alias("root"))
         b = a.join(to, "root", "left").select("a", F.coalesce("up", "root").alias("b")).filter("a <> b")
+        release(links.sparkSession)
         edges = settle(b.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     return label

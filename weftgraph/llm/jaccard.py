@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from ._common import WORD, lookup, settle
+from ._common import WORD, lookup, release, settle
 from .components import components
 
 #: Counters of the order: 4 bytes each, sent to every task.
@@ -291,12 +291,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tried = settle(_screen(star.union(chain).distinct(), classes, percent))
     links = _verify(tried, classes, docs, percent)
     label = components(links)
+    release(docs.sparkSession)
     entries = lists.select("shingle", "node", "n", "pos").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     per = Window.partitionBy("shingle")
     entries = entries.withColumn("_lo", F.min("root").over(per)).withColumn("_hi", F.max("root").over(per)).filter("_lo <> _hi").drop("_lo", "_hi")
     across = settle(_screen(_across(entries, percent).join(tried, ["a", "b"], "left_anti"), classes, percent))
     links = links.union(_verify(across, classes, docs, percent))
     label = components(links)
+    release(docs.sparkSession)
     named = classes.select("node", "rep").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of = named.select("node", "root").join(least, "root").select("node", "component_id")

@@ -211,7 +211,9 @@ def fit(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text
     texts: dict[str, list[str]] = {}
     for r in sorted(rows.filter(F.col("h") < bound).collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
-    return train({k: v for k, v in texts.items() if any(map(words_of, v))})
+    model = train({k: v for k, v in texts.items() if any(map(words_of, v))})
+    hand_back()
+    return model
 
 
 class _Memory:
