@@ -2,8 +2,8 @@
 
 A text's lines, its paragraphs and the text as a whole are candidates.  Each is
 normalised to lower-case words of ASCII letters and digits and compared with
-licence templates.  The threshold bounds how many words a candidate may have,
-and how many bigrams of a template it may lack, so that some words of the
+licence templates.  The threshold bounds how many distinct bigrams a candidate
+may have, and how many bigrams of a template it may lack, so that some words of the
 template must be there: most texts are dropped by that alone.  What is left is
 compared through an equi-join on the bigrams that any template has.
 """
@@ -83,10 +83,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, doc_id: s
     Returns doc_id, license, dice (of the best match of that licence) and
     matches (distinct candidates that match it), a row for each licence of a
     document; rows of one id are one document.  Texts that are null, empty or
-    name no licence have no row.  A candidate of more words than the
-    largest template allows bigrams is none, even if it repeats itself: its
-    lines are.  A candidate matches the template of the
-    highest coefficient from ``threshold`` on, ties to the first template.
+    name no licence have no row.  Only distinct bigrams bound a candidate's
+    size, so one that repeats itself stays.  A candidate matches the template of
+    the highest coefficient from ``threshold`` on, ties to the first template.
     """
     spark = docs.sparkSession
     known = template_table(spark, templates)
@@ -98,7 +97,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, doc_id: s
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(anchor))
     units = F.array_distinct(F.flatten(F.array(F.split("text", "\n"), F.split("text", r"\n[ \t\r]*\n"), F.array(F.col("text")))))
     u = d.select("doc_id", F.explode(F.filter(units, lambda u: u.rlike(anchor))).alias("u"))
-    u = u.withColumn("w", F.regexp_count("u", F.lit("[0-9A-Za-z]+"))).filter((F.col("w") - 1 >= least) & (F.col("w") - 1 <= most))
+    u = u.withColumn("w", F.regexp_count("u", F.lit("[0-9A-Za-z]+"))).filter(F.col("w") - 1 >= least)
     u = u.withColumn("g", _bigrams(_words(F.col("u")))).withColumn("n", F.size("g")).filter((F.col("n") >= least) & (F.col("n") <= most))
     u = u.select("doc_id", F.col("u"), "n", F.array_intersect("g", F.array(*[F.lit(g) for g in grams])).alias("hit"))
     # what all templates know of it bounds what one of them shares
