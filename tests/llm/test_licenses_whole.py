@@ -1,3 +1,6 @@
+import random
+import re
+
 from weftgraph.llm import licenses
 
 
@@ -9,3 +12,50 @@ def found(spark, texts):
 def test_long_candidates_that_repeat_themselves(spark):
     got = found(spark, ["Released under the MIT License. " * 40])
     assert set(got) == {(0, "MIT")} and got[0, "MIT"][0] >= 8 / 9
+
+
+def test_notices_that_share_their_line(spark):
+    whole = licenses.TEMPLATES["ISC"][0]
+    words = "".join(f"w{k} " for k in range(150))
+    got = found(
+        spark,
+        [
+            "Copyright 2020 Foo. Licensed under the MIT License.",
+            words + "as is licensed under the MIT license, " + words,
+            words + whole + " " + words + whole.replace("granted", "given") + words,
+            words + "under the licence of the software for any purpose",
+            "Licensed under CC BY-NC 4.0. See Foo; it is licensed under the MIT License and no other.",
+        ],
+    )
+    assert got == {(0, "MIT"): (1.0, 1), (1, "MIT"): (1.0, 1), (2, "ISC"): (1.0, 2), (4, "MIT"): (1.0, 1), (4, "CC-BY-NC-4.0"): (1.0, 1)}
+
+
+def test_runs_agree_with_all_windows(spark):
+    rnd = random.Random(3)
+
+    def grams(t):
+        w = re.findall("[0-9a-z]+", t.lower())
+        return [" ".join(p) for p in zip(w, w[1:])]
+
+    known = [(name, set(grams(t))) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    texts = []
+    for _ in range(25):
+        w = [rnd.choice(["foo", "bar", "the", "license"]) for _ in range(30)]
+        for _ in range(2):
+            t = rnd.choice([t for ts in licenses.TEMPLATES.values() for t in ts if len(t) < 130]).split()
+            for _ in range(rnd.randrange(3)):
+                t[rnd.randrange(len(t))] = rnd.choice(["foo", "the", "work"])
+            k = rnd.randrange(len(w))
+            w[k:k] = t
+        texts.append(" ".join(w))
+    want = {}
+    for i, text in enumerate(texts):
+        g = grams(text)
+        for name, t in known:
+            best = max(2 * len(t & s) / (len(s) + len(t)) for a in range(len(g)) for b in range(a + 1, min(len(g), a + 3 * len(t) // 2) + 1) if (s := set(g[a:b])))
+            if best >= 0.8:
+                want[i, name] = max(best, want.get((i, name), 0))
+    got = {k: v[0] for k, v in found(spark, texts).items()}
+    assert set(got) <= set(want) and all(got[k] == want[k] for k in got)
+    # a licence is left out only where a better run of another overlaps it
+    assert {i for i, _ in got} == {i for i, _ in want} and all(max(v for (j, _), v in got.items() if j == i) == max(v for (j, _), v in want.items() if j == i) for i, _ in got)

@@ -1,11 +1,15 @@
 """Licence scan by the Dice coefficient of word bigrams.
 
-A text's lines, its paragraphs and the text as a whole are candidates.  Each is
-normalised to lower-case words of ASCII letters and digits and compared with
-licence templates.  The threshold bounds how many distinct bigrams a candidate
+A text's lines, sentences and paragraphs, the text as a whole, and runs of its
+words wherever they stand are candidates.  Each is normalised to lower-case
+words of ASCII letters and digits and compared with licence templates.  The threshold bounds how many distinct bigrams a candidate
 may have, and how many bigrams of a template it may lack, so that some words of the
 template must be there: most texts are dropped by that alone.  What is left is
 compared through an equi-join on the bigrams that any template has.
+
+*Runs.*  The best run for a template begins and ends with one of its bigrams: to
+cut off others never lowers the coefficient.  From every such bigram that has
+enough others of the template near behind it, all ends are tried.
 """
 
 from __future__ import annotations
@@ -51,10 +55,25 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(text), F.lit("[0-9a-z]+"), F.lit(0))
 
 
+def _bind(x: Column, f) -> Column:
+    """f(x), with x computed once."""
+    return F.transform(F.array(x), f)[0]
+
+
+def _once(df: DataFrame, name: str, x: Column) -> DataFrame:
+    """``df`` with a column that filters on it don't compute again: they can't be moved below a generator."""
+    return df.select("*", F.explode_outer(F.array(x)).alias(name))
+
+
+def _pairs(words: Column) -> Column:
+    """Each two words in a row; a lone word has none."""
+    n = lambda w: F.greatest(F.size(w) - 1, F.lit(0))
+    return _bind(words, lambda w: F.zip_with(F.slice(w, F.lit(1), n(w)), F.slice(w, F.lit(2), n(w)), lambda a, b: F.concat_ws(" ", a, b)))
+
+
 def _bigrams(words: Column) -> Column:
-    """The distinct bigrams; a lone word has none."""
-    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    return F.array_distinct(pairs)
+    """The distinct bigrams."""
+    return F.array_distinct(_pairs(words))
 
 
 def template_table(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
@@ -77,6 +96,56 @@ def _anchors(rows: list, threshold: float) -> str:
     return r"(?i)(?<![0-9A-Za-z])(?:" + "|".join(sorted(words)) + r")(?![0-9A-Za-z])"
 
 
+def _known(rows: list, threshold: float) -> Column:
+    """The templates as an array: least shared bigrams, longest run, and the bigrams."""
+    by: dict[int, list] = {}
+    for r in rows:
+        by.setdefault(r["template"], []).append(r)
+    known = []
+    for k, rs in sorted(by.items()):
+        size = len(rs)
+        need, span = max(1, math.ceil(threshold / (2 - threshold) * size - 1e-9)), math.floor((2 - threshold) / threshold * size + 1e-9)
+        known.append(F.struct(F.lit(k).alias("template"), F.lit(rs[0]["license"]).alias("license"), F.lit(size).alias("size"), F.lit(need).alias("need"), F.lit(span).alias("span"), F.array(*[F.lit(r["bigram"]) for r in rs]).alias("grams")))
+    return F.array(*known)
+
+
+def _runs(b: Column, t: Column, threshold: float) -> Column:
+    """(start, n, dice, template, license) of the best run from each start for template ``t``; starts with a better one near are left out."""
+
+    def score(start: Column) -> Column:
+        def ends(s: Column) -> Column:
+            kind = F.transform(s, lambda x, i: F.when(F.array_position(s, x) <= i, 0).when(F.array_contains(t["grams"], x), 2).otherwise(1))
+            zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("hit"), F.lit(0.0).cast("double").alias("dice"), F.lit(0).alias("end"))
+
+            def step(acc: Column, x: Column) -> Column:
+                n, hit = acc["n"] + F.when(x > 0, 1).otherwise(0), acc["hit"] + F.when(x > 1, 1).otherwise(0)
+                now = F.lit(2.0) * hit / (n + t["size"])
+                better = (x > 1) & (now > acc["dice"])
+                return F.struct((acc["at"] + 1).alias("at"), n.alias("n"), hit.alias("hit"), F.when(better, now).otherwise(acc["dice"]).alias("dice"), F.when(better, acc["at"] + 1).otherwise(acc["end"]).alias("end"))
+
+            return F.aggregate(kind, zero, step)
+
+        best = lambda r: F.struct(start.alias("start"), r["end"].alias("n"), r["dice"].alias("dice"), t["template"].alias("template"), t["license"].alias("license"))
+        return _bind(_bind(F.slice(b, start, t["span"]), ends), best)
+
+    places = F.filter(F.transform(b, lambda x, i: F.when(F.array_contains(t["grams"], x), i + 1)), lambda p: p.isNotNull())
+    starts = _bind(places, lambda p: F.filter(p, lambda x, k: F.get(p, k + t["need"] - 1) - x < t["span"]))
+    runs = F.filter(F.transform(starts, score), lambda r: r["dice"] >= threshold)
+    near = lambda r: F.filter(r, lambda x, k: ~F.exists(F.slice(r, F.greatest(k + 2 - t["size"], F.lit(1)), 2 * t["size"]), lambda y: (F.abs(y["start"] - x["start"]) < t["size"]) & ((y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & (y["start"] < x["start"])))))
+    return _bind(runs, near)
+
+
+def _apart(runs: Column, reach: int) -> Column:
+    """Of runs that overlap the best: by coefficient, then the first template, then the first start."""
+
+    def keep(r: Column) -> Column:
+        better = lambda x, y: (y["dice"] > x["dice"]) | ((y["dice"] == x["dice"]) & ((y["template"] < x["template"]) | ((y["template"] == x["template"]) & (y["start"] < x["start"]))))
+        meet = lambda x, y: (y["start"] < x["start"] + x["n"]) & (x["start"] < y["start"] + y["n"])
+        return F.filter(r, lambda x, k: ~F.exists(F.slice(r, F.greatest(k + 1 - reach, F.lit(1)), 2 * reach + 1), lambda y: meet(x, y) & better(x, y)))
+
+    return _bind(F.array_sort(runs), keep)
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Licences found in each text.
 
@@ -84,29 +153,50 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, doc_id: s
     matches (distinct candidates that match it), a row for each licence of a
     document; rows of one id are one document.  Texts that are null, empty or
     name no licence have no row.  Only distinct bigrams bound a candidate's
-    size, so one that repeats itself stays.  A candidate matches the template of
-    the highest coefficient from ``threshold`` on, ties to the first template.
+    size, so one that repeats itself stays.  A run has as many bigrams, repeated
+    ones counted, as the size bound of its template allows distinct ones at most;
+    of runs that overlap one counts, and one that has the same words as a line,
+    sentence, paragraph or text that matches is no other candidate.  A candidate
+    matches the template of the highest coefficient from ``threshold`` on, ties
+    to the first template.
     """
     spark = docs.sparkSession
     known = template_table(spark, templates)
     # the templates are an argument of the driver's: they have a few hundred bigrams
-    rows = known.select("template", "t_size", "bigram").collect()
+    rows = known.select("template", "license", "t_size", "bigram").collect()
     grams = sorted({r["bigram"] for r in rows})
     least, most = threshold / (2 - threshold) * min(r["t_size"] for r in rows), (2 - threshold) / threshold * max(r["t_size"] for r in rows)
     anchor = _anchors(rows, threshold)
+    templates_ = _known(rows, threshold)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(anchor))
-    units = F.array_distinct(F.flatten(F.array(F.split("text", "\n"), F.split("text", r"\n[ \t\r]*\n"), F.array(F.col("text")))))
-    u = d.select("doc_id", F.explode(F.filter(units, lambda u: u.rlike(anchor))).alias("u"))
-    u = u.withColumn("w", F.regexp_count("u", F.lit("[0-9A-Za-z]+"))).filter(F.col("w") - 1 >= least)
-    u = u.withColumn("g", _bigrams(_words(F.col("u")))).withColumn("n", F.size("g")).filter((F.col("n") >= least) & (F.col("n") <= most))
-    u = u.select("doc_id", F.col("u"), "n", F.array_intersect("g", F.array(*[F.lit(g) for g in grams])).alias("hit"))
+    d = _once(d, "b", _pairs(_words(F.col("text"))))
+    d = _once(d, "hit", F.array_intersect("b", F.array(*[F.lit(g) for g in grams])))
+    # a text that shares too few bigrams with every template has no candidate that shares more
+    near = F.filter(templates_, lambda t: F.size(F.array_intersect(F.col("hit"), t["grams"])) >= t["need"])
+    d = _once(d.filter(F.size("hit") > 0), "near", near).filter(F.size("near") > 0).drop("hit")
+
+    units = F.array_distinct(F.flatten(F.array(F.split("text", "\n"), F.split("text", r"(?<=[.!?])\s+"), F.split("text", r"\n[ \t\r]*\n"), F.array(F.col("text")))))
+    u = d.select("doc_id", F.explode_outer(F.filter(units, lambda u: u.rlike(anchor))).alias("u"))
+    u = u.filter(F.regexp_count("u", F.lit("[0-9A-Za-z]+")) - 1 >= least)
+    u = _once(u, "b", _pairs(_words(F.col("u"))))
+    u = _once(u, "g", F.array_distinct("b")).withColumn("n", F.size("g")).filter((F.col("n") >= least) & (F.col("n") <= most))
+    u = _once(u.select("doc_id", "u", F.xxhash64("b").alias("words"), "n", "g"), "hit", F.array_intersect("g", F.array(*[F.lit(g) for g in grams])))
     # what all templates know of it bounds what one of them shares
     u = u.filter(F.size("hit") >= threshold / 2 * (F.col("n") + min(r["t_size"] for r in rows)))
-    met = u.select("doc_id", F.xxhash64("u").alias("u"), "n", F.explode("hit").alias("bigram")).distinct().join(F.broadcast(known), "bigram")
+    met = u.select("doc_id", F.xxhash64("u").alias("u"), "words", "n", F.explode("hit").alias("bigram")).distinct().join(F.broadcast(known), "bigram")
     met = met.filter((F.col("n") >= threshold / (2 - threshold) * F.col("t_size")) & (F.col("n") <= (2 - threshold) / threshold * F.col("t_size")))
-    dice = met.groupBy("doc_id", "u", "n", "template", "license", "t_size").agg((F.lit(2.0) * F.count("*") / (F.col("n") + F.col("t_size"))).alias("dice")).filter(F.col("dice") >= threshold)
-    best = dice.groupBy("doc_id", "u").agg(F.max(F.struct("dice", (-F.col("template")).alias("t"), "license")).alias("b"))
-    return best.groupBy("doc_id", F.col("b.license").alias("license")).agg(F.max("b.dice").alias("dice"), F.count("*").alias("matches"))
+    dice = met.groupBy("doc_id", "u", "words", "n", "template", "license", "t_size").agg((F.lit(2.0) * F.count("*") / (F.col("n") + F.col("t_size"))).alias("dice")).filter(F.col("dice") >= threshold)
+    best = dice.groupBy("doc_id", "u", "words").agg(F.max(F.struct("dice", (-F.col("template")).alias("t"), "license")).alias("b"))
+    best = best.select("doc_id", "words", "b.license", "b.dice", F.lit(1).alias("unit"))
+
+    sizes = [len({r["bigram"] for r in rows if r["template"] == k}) for k in sorted({r["template"] for r in rows})]
+    # so many runs that are left can overlap one: those of a template start at least its size apart
+    reach = sum(2 * math.floor(most) // n + 2 for n in sizes)
+    runs = F.flatten(F.transform("near", lambda t: _bind(F.col("b"), lambda b: _runs(b, t, threshold))))
+    words = lambda r: F.struct(F.xxhash64(F.slice("b", r["start"], r["n"])).alias("words"), r["license"].alias("license"), r["dice"].alias("dice"))
+    runs = d.select("doc_id", F.explode_outer(F.transform(_apart(runs, reach), words)).alias("r")).filter("r is not null").select("doc_id", "r.*", F.lit(0).alias("unit"))
+    both = best.unionByName(runs).groupBy("doc_id", "license", "words").agg(F.max("dice").alias("dice"), F.greatest(F.sum("unit"), F.lit(1)).alias("n"))
+    return both.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.sum("n").alias("matches"))
 
 
 def oracle(templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
