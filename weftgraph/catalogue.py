@@ -380,11 +380,11 @@ def suffix_unique_match(spark, d):
 
 @query("with n as (select l_orderkey * 10 + l_linenumber as ord, 'f' || (l_suppkey % 20) as file, l_partkey % 500 as a, l_partkey % 500 + l_quantity::int as b from lineitem where l_orderkey <= 400), s as (select event_id as site, 'f' || (user_id % 20) as file, (event_id * 7 % 500)::int as line from events where event_id < 300) select site, id from (select site, ord::varchar as id, row_number() over (partition by site order by b - a, ord) as r from s join n using (file) where line between a and b) where r = 1")
 def range_anchor(spark, d):
-    n = table(spark, d, "lineitem").filter("l_orderkey <= 400").select(
+    n = table(spark, d, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("src/f"), F.col("l_suppkey") % 20).alias("source_file"), F.lit("function").alias("kind"),
         F.expr("named_struct('start_line', cast(l_partkey % 500 as int), 'end_line', cast(l_partkey % 500 + cast(l_quantity as int) as int))").alias("loc"),
     ).withColumn("id", F.col("ord").cast("string"))
-    s = table(spark, d, "events").filter("event_id < 300").select(F.col("event_id").alias("site"), F.concat(F.lit("f"), F.col("user_id") % 20).alias("file"), (F.col("event_id") * 7 % 500).cast("int").alias("line"))
+    s = table(spark, d, "events").select(F.col("event_id").alias("site"), F.concat(F.lit("f"), F.col("user_id") % 20).alias("file"), (F.col("event_id") * 7 % 500).cast("int").alias("line"))
     return resolve.anchor(s, n)
 
 

@@ -221,8 +221,9 @@ def anchor(sites: DataFrame, nodes: DataFrame) -> DataFrame:
     """(site, id): the innermost node around a (file, line), the first on a tie; file nodes never.
 
     ``file`` may be any suffix of a node's path at a slash; equal suffixes meet
-    by key and the line is checked within.
+    by key and the line is checked within.  Sites of one line are looked up once.
     """
     n = nodes.filter("kind <> 'file' and loc is not null").select("id", "ord", "loc", F.explode(path_suffixes(F.col("source_file"))).alias("file"))
-    met = sites.join(n, "file").filter(F.col("line").between(F.col("loc.start_line"), F.col("loc.end_line")))
-    return first_by(met.withColumn("_span", F.col("loc.end_line") - F.col("loc.start_line")), ["site"], F.col("_span"), F.col("ord")).select("site", "id")
+    met = sites.select("file", "line").distinct().join(n, "file").filter(F.col("line").between(F.col("loc.start_line"), F.col("loc.end_line")))
+    best = first_by(met.withColumn("_span", F.col("loc.end_line") - F.col("loc.start_line")), ["file", "line"], F.col("_span"), F.col("ord"))
+    return first_by(sites.select("site", "file", "line").join(best, ["file", "line"]), ["site"], F.col("_span"), F.col("ord")).select("site", "id")
