@@ -14,6 +14,7 @@ DATA = "/root/testdata/sf0.01"
 #: What of the registered SQL keeps it to a part of the tables.
 CUTS = {
     "range_anchor": [(" where l_orderkey <= 400", ""), (" where event_id < 300", "")],
+    "doc_links": [(" where o_orderkey < 2000", "")],
 }
 
 

@@ -95,7 +95,7 @@ def extract_msbuild(spark, d):
 @query("with sym as (select 'NATION_' || n_nationkey as name, 'nation:' || n_nationkey as id from nation), docs as (select o_orderkey as doc_id, 'see NATION_' || (o_custkey % 30) || ', nation_x and NATION_' || (o_orderkey % 30) as text from orders where o_orderkey < 2000), tok as (select distinct doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as name from docs) select doc_id as doc, name, id, rank::int as rank from (select doc_id, name, row_number() over (partition by doc_id order by length(name) desc, name) as rank from tok where name in (select name from sym)) join sym using (name)")
 def doc_links(spark, d):
     n = projection.nodes(spark, d).filter("kind = 'nation'")
-    docs = table(spark, d, "orders").filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("see NATION_"), F.col("o_custkey") % 30, F.lit(", nation_x and NATION_"), F.col("o_orderkey") % 30).alias("text"))
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("see NATION_"), F.col("o_custkey") % 30, F.lit(", nation_x and NATION_"), F.col("o_orderkey") % 30).alias("text"))
     return semantic.doc_links(docs, semantic.symbol_index(n))
 
 
