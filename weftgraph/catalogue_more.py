@@ -128,7 +128,7 @@ def _packed(spark, d, packer):
     n, e = graph(spark, d)
     n = settle(with_centrality(n, e))
     q = spark.createDataFrame([(1, "nation:3"), (2, "small ring"), (3, "customer:7")], "qid int, query string")
-    near = context.gather(n, e.filter("relation in ('IN_NATION', 'PART_OF')"), q, context.focal(n, q))
+    near = context.gather(n, e, q, context.focal(n, q))
     return context.pack(n, near, 600, packer)
 
 
@@ -188,21 +188,20 @@ def notes_recall(spark, d):
 
 @query(f"{G}, s as (select row_number() over (order by ord) - 1 as k, count(*) over () as n, ord from nodes where kind in ('region', 'nation')) select ord, round(240 + 120 * cos(2 * pi() * k / n), 6) as x, round(180 + 120 * sin(2 * pi() * k / n), 6) as y from s")
 def svg_positions(spark, d):
-    n = projection.nodes(spark, d).filter("kind in ('region', 'nation')")
+    n = projection.nodes(spark, d)
     return exports.svg_rows(n).select("ord", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @query(f"{G} select 'MERGE (n:Node {{id: ''' || id || '''}}) SET n.label = ''' || label || ''', n.kind = ''' || kind || ''';' as statement from nodes where kind in ('region', 'nation') union all select 'MATCH (a:Node {{id: ''' || source || '''}}), (b:Node {{id: ''' || target || '''}}) MERGE (a)-[:REL {{relation: ''' || relation || '''}}]->(b);' from edges where relation = 'PART_OF'")
 def cypher_statements(spark, d):
     n, e = graph(spark, d)
-    return exports.cypher_statements(n.filter("kind in ('region', 'nation')"), e.filter("relation = 'PART_OF'").withColumn("ord", F.lit(0).cast("long"))).select("statement")
+    return exports.cypher_statements(n, e.withColumn("ord", F.lit(0).cast("long"))).select("statement")
 
 
 @query(f"{G} select '## ' || label || chr(10) || '- kind: ' || kind || chr(10) || '- source: ' || source_file || chr(10) || '- links: ' || coalesce((select string_agg('[[' || t.label || ']]', ', ' order by t.ord) from edges e join nodes t on t.id = e.target where e.source = n.id), 'none') || chr(10) as block from nodes n where kind in ('region', 'nation')")
 def markdown_blocks(spark, d):
     n, e = graph(spark, d)
-    n = n.filter("kind in ('region', 'nation')")
-    e = e.filter("relation = 'PART_OF'").join(n.select(F.col("id").alias("target"), "ord"), "target")
+    e = e.join(n.select(F.col("id").alias("target"), "ord"), "target")
     return exports.markdown_blocks(n, e).select("block")
 
 
