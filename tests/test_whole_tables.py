@@ -55,3 +55,17 @@ def test_context_walks_every_relation(spark, monkeypatch):
     monkeypatch.setattr(context, "gather", lambda n, e, q, s: e)
     monkeypatch.setattr(context, "pack", lambda n, near, budget, packer: near)
     assert catalogue_more._packed(spark, SMALL, "greedy").count() == catalogue.graph(spark, SMALL)[1].count()
+
+
+def test_snippets_of_every_document(spark, tmp_path):
+    texts = ["one", "a\nb", "a\n" + "b" * 1500 + "\n" + "c" * 497 + "\nd\ne", "a\n" + "b" * 1500 + "\n" + "c" * 600 + "\nd", "a\nb\nc\nd\ne", "a\n" + "b" * 2500]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, text in enumerate(texts):
+        kept, full = [], False
+        for line in text.split("\n")[1:4]:
+            full = full or sum(len(x) + 1 for x in kept) + len(line) + 1 > 2000
+            kept += [] if full else [line]
+        want[str(k)] = ("\n".join(kept), full) if "\n" in text else (None, None)
+    got = {r.key: (r.snippet, r.truncated) for r in catalogue.queries()["snippet_slice"](spark, str(tmp_path)).collect()}
+    assert got == want

@@ -59,10 +59,8 @@ def content_root(spark, d):
 @query("select doc_id::varchar as key, list_aggregate(list_slice(string_split(text, chr(10)), 2, 4), 'string_agg', chr(10)) as snippet from documents where len(string_split(text, chr(10))) >= 2 and length(list_aggregate(list_slice(string_split(text, chr(10)), 2, 4), 'string_agg', chr(10))) < 1990")
 def snippet_slice(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    wanted = docs.filter(F.size(F.split("text", "\n")) >= 2).select(F.col("path").alias("key"), "path", F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
-    out = context.snippets(wanted, docs)
-    whole = docs.select(F.col("path").alias("key"), F.char_length(F.array_join(F.slice(F.split("text", "\n"), 2, 3), "\n")).alias("n"))
-    return out.join(whole, "key").filter("n < 1990").select("key", "snippet")
+    wanted = docs.select(F.col("path").alias("key"), "path", F.lit(2).alias("start_line"), F.lit(4).alias("end_line"))
+    return context.snippets(wanted, docs).select("key", "snippet", "truncated")
 
 
 # --- extraction ------------------------------------------------------------
