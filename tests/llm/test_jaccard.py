@@ -74,6 +74,45 @@ def test_null_ids_and_empty_tables(spark):
     assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_null_ids_bridge_others(spark):
+    words = [f"w{k}" for k in range(100)]
+    rows = [(5, " ".join([*"abcdefgh", *words[8:]])), (None, " ".join(words)), (9, " ".join([*words[:-8], *"abcdefgh"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()), key=str)
+    assert got == brute(rows) == [(5, 96, 5), (9, 96, 5), (None, 96, 5)]
+    assert [r.doc_id for r in jaccard.keep_first(docs).collect()] == [5]
+
+
+def test_ids_of_any_type_and_ids_with_several_texts(spark):
+    one, other = "the cat sat on the mat all day", "a dog ran off with the best hat of them"
+    docs = spark.createDataFrame([("b", one, 1), ("a", other, 2), ("a", one, 3), ("c", other, 4), ("a", one, 5)], "doc_id string, text string, _row int")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(docs).collect()) == [("a", 4, "a"), ("a", 4, "a"), ("a", 6, "a"), ("b", 4, "a"), ("c", 6, "a")]
+    assert sorted(tuple(r) for r in jaccard.keep_first(docs).collect()) == [("a", other, 2), ("a", one, 3)]
+
+
+@pytest.mark.parametrize("hot", [2, 50])
+def test_hot_lists_in_parts_and_blocks(spark, monkeypatch, hot):
+    """A third of all rows are near copies, in lists of many parts; another text of theirs differs more."""
+    monkeypatch.setattr(jaccard, "CHUNK", 4)
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    rnd = random.Random(8)
+    base = [f"b{k}" for k in range(120)]
+    texts = list(variants(rnd, base, 60, 4)) + list(variants(rnd, base[:100], 30, 6)) + list(variants(rnd, base[40:], 30, 6))
+    texts += [" ".join(f"o{rnd.randrange(10**6)}" for _ in range(40)) for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()), key=str)
+    assert got == brute(rows)
+
+
+def test_suffix_filter_never_overstates():
+    rnd = np.random.default_rng(3)
+    for _ in range(300):
+        x, y = (np.unique(rnd.integers(0, 60, rnd.integers(0, 40))).astype(np.uint64) for _ in range(2))
+        differ = len(np.setxor1d(x, y))
+        assert jaccard._apart(x, y, 10**6) <= differ
+        assert jaccard._apart(x, y, differ) <= differ
+
+
 def test_shingles_of_long_and_odd_texts(monkeypatch):
     monkeypatch.setattr(shingles, "PIECE", 64)
     rnd = random.Random(2)
@@ -97,7 +136,11 @@ def test_parity_bounds_the_difference():
         assert np.bitwise_count(a ^ b).sum() <= differ
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish", [1 << 20, 40, 0])
+def test_components(spark, monkeypatch, finish):
+    from weftgraph.llm import components as module
+
+    monkeypatch.setattr(module, "FINISH", finish)
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(500, 500), (1, 2), (2, 1)]
     root = {x: x for e in edges for x in e}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import sys
 import tempfile
@@ -76,30 +75,38 @@ def hand_back() -> None:
         libc.malloc_trim(0)
 
 
-def release(spark: SparkSession) -> None:
-    """Let go of shuffles, checkpoints and plans of rounds that are over.
-
-    Spark drops them when the driver collects its garbage, which it may not do
-    for half an hour.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    hand_back()
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
 
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage with files that every executor can read again.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset, as in tests, a folder of this machine is taken.
+    The folder is the one set on the context, or the session's
+    ``spark.checkpoint.dir``.  A machine of one's own (master ``local``) that
+    names neither gets a temporary one; on a cluster that is an error, as
+    executors would not find each other's files.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where what the executors share may be written; see :func:`settle`."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named is None and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return named or tempfile.mkdtemp(prefix="weft-")
+
+
 #: Rows up to which a lookup table is broadcast (some 100 bytes each).
 BROADCAST_ROWS = 100_000
 #: Copies of a larger lookup table, so that rows of one hot key spread over as many tasks.
