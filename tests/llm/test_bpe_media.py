@@ -43,6 +43,33 @@ def test_encode_fuzz():
         assert [i for part in enc.encode(t) for w in part for i in w[3]] == lib.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_texts_longer_than_a_piece(docs, spark, monkeypatch):
+    """A batch of texts, one of them in many pieces, is what the library makes of each."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(queries.vocabulary_path())
+    vocab = bpe.Vocabulary(queries.vocabulary_path())
+    rnd = random.Random(4)
+    texts = ["", " ".join(rnd.choice(["the", "thé", "x" * 60, "Ωmega", "9", "<|endoftext|>"]) for _ in range(300)), "of the", " \n", "tail"]
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    enc = bpe.Encoder(vocab, bpe.Lexicon.compile([b"the"], vocab.merge([b"the"])))
+    got = [[[], [], []] for _ in texts]
+    for k, ids, numbers, tokens in enc.batch(texts):
+        for x, part in zip(got[k], (ids.tolist(), [bytes(numbers).decode()], [bytes(tokens).decode()]), strict=True):
+            x += part
+    for t, (ids, numbers, tokens) in zip(texts, got, strict=True):
+        want = lib.encode(t, add_special_tokens=False).ids
+        assert ids == want and "".join(numbers) == "".join(f"{i} " for i in want)
+        assert "".join(tokens)[:-1] == lib.decode(want, skip_special_tokens=False)
+
+
+def test_frequent_words_counts_every_text(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 3)
+    monkeypatch.setattr(bpe, "PIECE", 8)
+    docs = spark.createDataFrame([("a a b c d e f <|endoftext|>",), ("a b b <|endoftext|> g",), (None,), ("d d",)], "text string").repartition(2)
+    assert bpe.frequent_words(docs, bpe.Vocabulary(queries.vocabulary_path())) == ["a", "b", "d"]
+
+
 def test_lexicon_is_minimal_and_total():
     words = [b"tap", b"taps", b"top", b"tops", b"s"]
     block = bpe.Lexicon.compile(words, [(k, k + 10) for k in range(5)])

@@ -5,7 +5,8 @@ into a minimal acyclic automaton: equal suffixes share states, and the numbers
 on the path's transitions add up to the word's index into a table of ids.  The
 automaton travels as one block of bytes whose size the lexicon's bound proves;
 each Python worker maps it from a file.  A word that is not in it is merged by
-the vocabulary's ranks, many words at a time.
+the vocabulary's ranks, many words at a time; the strings of ids and tokens are
+gathered from tables, by columns too.
 
 Texts are cut as the vocabulary file says: special tokens first, then NFC, white
 space and lower case, then the splitting pattern.  Text up to U+012F needs no
@@ -22,11 +23,11 @@ import mmap
 import os
 import re
 import tempfile
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,12 +37,20 @@ from ._common import hand_back, kept, settle, small_batches
 LEXICON = 50_000
 #: Bytes of a lexicon word at most.
 LONGEST = 64
-#: Words that a task counts or remembers before it starts anew: bounds its memory (some 130 MB).
-REMEMBERED = 120_000
-#: Characters of a text cut into words at a time.
-PIECE = 1 << 20
+#: Different words that a task counts before it hands them on: bounds its memory (some 40 MB).
+REMEMBERED = 400_000
+#: Characters of texts cut into words at a time, and words counted at a time.
+PIECE = 1 << 22
 
 _NONE = np.iinfo(np.int32).max
+#: Words up to so many bytes are merged side by side.
+_WIDTHS = (4, 8, 12, 16, 24, 40)
+
+
+def spread(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each run of ``n``, one run after the other."""
+    ends = np.cumsum(n)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - n), n)
 
 
 def byte_letters() -> list[str]:
@@ -82,30 +91,40 @@ class Vocabulary:
 
     def merge(self, words: list[bytes]) -> list[tuple[int, ...]]:
         """Ids of each word, merging the leftmost pair of the lowest rank until none is left."""
-        out: list[tuple[int, ...]] = [()] * len(words)
-        groups: dict[int, list[int]] = {}
-        for k, w in enumerate(words):
-            groups.setdefault(next((n for n in (4, 8, 12, 16, 24, 40) if len(w) <= n), 0), []).append(k)
-        for width, ks in groups.items():
-            if width == 0:
-                for k in ks:
-                    out[k] = self._merge_long(words[k])
-            elif width:
-                for lo in range(0, len(ks), 20_000):
-                    part = ks[lo : lo + 20_000]
-                    for k, ids in zip(part, self._merge_wide([words[k] for k in part], width), strict=True):
-                        out[k] = ids
-        return out
-
-    def _merge_wide(self, words: list[bytes], width: int) -> list[tuple[int, ...]]:
-        n = len(words)
-        size = np.array([len(w) for w in words])
-        raw = np.zeros((n, width), np.uint8)
-        cols = np.arange(width)
-        raw[cols[None, :] < size[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        size = np.array([len(w) for w in words], np.int64)
+        ends, flat = self.merge_all(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+        flat, ends = flat.tolist(), ends.tolist()
+        return [tuple(flat[lo:hi]) for lo, hi in zip([0, *ends], ends, strict=False)]
+
+    def merge_all(self, text: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word end, and the ids; words are ``text[at : at + size]``."""
+        counts, found = np.zeros(len(at), np.int64), []
+        group = np.searchsorted(np.array(_WIDTHS), size)
+        for g, width in enumerate([*_WIDTHS, 0]):
+            ks = np.flatnonzero((group == g) & (size > 0))
+            for lo in range(0, len(ks), 20_000):
+                part = ks[lo : lo + 20_000]
+                if width:
+                    ids = self._merge_wide(text, at[part], size[part], width)
+                    n = (ids >= 0).sum(axis=1)
+                    ids = ids[ids >= 0]
+                else:
+                    rows = [self._merge_long(text[i : i + n]) for i, n in zip(at[part].tolist(), size[part].tolist(), strict=True)]
+                    n, ids = np.array([len(r) for r in rows], np.int64), np.array([x for r in rows for x in r], np.int32)
+                counts[part] = n
+                found.append((part, n, ids))
+        ends = np.cumsum(counts)
+        flat = np.empty(int(counts.sum()), np.int32)
+        for part, n, ids in found:
+            flat[spread((ends - counts)[part], n)] = ids
+        return ends, flat
+
+    def _merge_wide(self, text: np.ndarray, at: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+        """A row of ids for each word, filled up with -1."""
+        n, cols = len(at), np.arange(width)
+        raw = text[np.minimum(at[:, None] + cols, len(text) - 1)]
         sym = np.where(cols < size[:, None], self.inner[raw], -1)
-        full = size > 0
-        sym[full, size[full] - 1] = self.last[raw[full, size[full] - 1]]
+        sym[np.arange(n), size - 1] = self.last[raw[np.arange(n), size - 1]]
         rank, new = self._ranks(sym[:, :-1], sym[:, 1:])
         result = np.full((n, width), -1, np.int32)
         rows = np.arange(n)
@@ -132,10 +151,9 @@ class Vocabulary:
                 ok = (q >= 0) & (q < width - 1)
                 j, r = i[ok], q[ok]
                 rank[j, r], new[j, r] = self._ranks(sym[j, r], sym[j, r + 1])
-        return [tuple(x for x in row if x >= 0) for row in result.tolist()]
+        return result
 
-    def _merge_long(self, word: bytes) -> tuple[int, ...]:
-        raw = np.frombuffer(word, np.uint8)
+    def _merge_long(self, raw: np.ndarray) -> tuple[int, ...]:
         sym = self.inner[raw]
         sym[-1] = self.last[raw[-1]]
         sym = sym.tolist()
@@ -178,7 +196,7 @@ class Cutter:
         self._slow = None
 
     def _words(self, text: str) -> list[str]:
-        if not self.far.search(text):
+        if text.isascii() or not self._far(text):
             return self.near.findall(text.lower())
         if self._slow is None:
             from tokenizers import Regex, normalizers, pre_tokenizers
@@ -190,6 +208,13 @@ class Cutter:
         norm, split = self._slow
         return [w for w, _ in split.pre_tokenize_str(norm.normalize_str(text))]
 
+    def _far(self, text: str) -> bool:
+        try:
+            text.encode("latin-1")  # a copy of bytes: much faster than the search
+            return False
+        except UnicodeEncodeError:
+            return self.far.search(text) is not None
+
     def pieces(self, text: str) -> Iterator[list[str]]:
         """The words of a text, some hundred thousand at a time: white space parts words for good."""
         lo = 0
@@ -272,11 +297,13 @@ class Lexicon:
         self.keys, self.to, self.skip, self.final, self.starts, self.ids = parts
 
     def find(self, words: list[bytes]) -> np.ndarray:
-        """Index of each word, -1 where the lexicon lacks it; all words move one letter at a time."""
-        n = len(words)
+        """Index of each word, -1 where the lexicon lacks it."""
         size = np.array([len(w) for w in words], np.int64)
-        at = np.cumsum(size) - size
-        text = np.frombuffer(b"".join(words) + b"\0", np.uint8)
+        return self.find_all(np.frombuffer(b"".join(words), np.uint8), np.cumsum(size) - size, size)
+
+    def find_all(self, text: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """:meth:`find` of the words ``text[at : at + size]``; all words move one letter at a time."""
+        n = len(at)
         state, index = np.full(n, self.root, np.int64), np.zeros(n, np.int64)
         live = np.flatnonzero((size > 0) & (size <= LONGEST)) if len(self.keys) else np.zeros(0, np.int64)
         found = np.full(n, -1, np.int64)
@@ -301,66 +328,88 @@ class Lexicon:
 
 
 class Encoder:
-    """Words to ids and back, remembering what it has met."""
+    """Words to ids and back, many at a time."""
 
     def __init__(self, vocab: Vocabulary, block: bytes):
         self.vocab, self.lexicon, self.cutter = vocab, Lexicon(block), Cutter(vocab)
-        self.memo: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
-        self.before: dict[str, tuple[int, str, str, tuple[int, ...]]] = {}
-
-    def decode(self, ids) -> str:
-        """The tokens joined by blanks, as a file without a decoder has it."""
-        return " ".join([self.vocab.tokens[i] for i in ids])
-
-    def learn(self, words: list[str]) -> None:
-        met = set(words)
-        new = met - self.memo.keys()
-        if not new:
-            return
-        if len(self.memo) + len(new) > REMEMBERED:
-            self.before, self.memo = self.memo, {}
-            new = met
-        # what was met before the last change of generations is known still
-        known = new & self.before.keys()
-        for w in known:
-            self.memo[w] = self.before[w]
-        new = list(new - known)
-        raw = [w.encode() for w in new]
-        at = self.lexicon.find(raw).tolist()
-        rare = [k for k, x in enumerate(at) if x < 0 and new[k] not in self.vocab.special]
-        merged = dict(zip(rare, self.vocab.merge([raw[k] for k in rare]), strict=True))
-        for k, w in enumerate(new):
-            ids = self.lexicon.row(at[k]) if at[k] >= 0 else merged[k] if k in merged else (self.vocab.special[w],)
-            self.memo[w] = (len(ids), " ".join(map(str, ids)), self.decode(ids), ids)
+        self.number = pa.array([f"{i} " for i in range(len(vocab.tokens))], pa.string())
+        self.token = pa.array([f"{t} " for t in vocab.tokens], pa.string())
+
+    def learn(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word of an array of strings end, and the ids."""
+        text, offsets = _bytes(words)
+        at, size = offsets[:-1], np.diff(offsets)
+        row = self.lexicon.find_all(text, at, size)
+        lacks = row < 0
+        counts = np.where(lacks, 0, self.lexicon.starts[row + 1] - self.lexicon.starts[row])
+        special = {}
+        for w, i in self.vocab.special.items():
+            if (k := pc.index(words, w).as_py()) >= 0:
+                special[k], lacks[k], counts[k] = i, False, 1
+        rare = np.flatnonzero(lacks)
+        ends, merged = self.vocab.merge_all(text, at[rare], size[rare])
+        counts[rare] = np.diff(ends, prepend=0)
+        last = np.cumsum(counts)
+        flat = np.empty(int(counts.sum()), np.int32)
+        flat[spread((last - counts)[rare], counts[rare])] = merged
+        known = np.flatnonzero(row >= 0)
+        flat[spread((last - counts)[known], counts[known])] = self.lexicon.ids[spread(self.lexicon.starts[row[known]], counts[known])]
+        for k, i in special.items():
+            flat[last[k] - 1] = i
+        return last, flat
+
+    def ids(self, parts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each list of words end, and the ids."""
+        words = [w for part in parts for w in part]
+        met = pa.array(words, pa.string()).dictionary_encode()
+        last, flat = self.learn(met.dictionary)
+        index = met.indices.to_numpy()
+        counts = np.diff(last, prepend=0)
+        n = counts[index]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return ends[np.cumsum([len(p) for p in parts], dtype=np.int64)], flat[spread((last - counts)[index], n)]
 
     def encode(self, text: str) -> Iterator[list[tuple[int, str, str, tuple[int, ...]]]]:
-        """What each word of a text becomes, a piece of the text at a time."""
+        """Of each word its count of ids, the ids as text, the decoded text and the ids, a piece of the text at a time."""
         for words in self.cutter.pieces(text):
-            self.learn(words)
-            memo = self.memo
-            yield [memo[w] for w in words]
-
-    def batch(self, texts: list[str]) -> Iterator[Iterator[list[tuple[int, str, str, tuple[int, ...]]]]]:
-        """:meth:`encode` of each text; short ones are learnt together, as merging goes by columns."""
-        at = 0
-        while at < len(texts):
-            room, cut = PIECE, []
-            while at < len(texts) and len(texts[at]) <= room:
-                cut.append(self.cutter.words(texts[at]))
-                room -= len(texts[at])
-                at += 1
-            if not cut:
-                yield self.encode(texts[at])
-                at += 1
-                continue
-            self.learn([w for words in cut for w in words])
-            memo = self.memo
-            for words in cut:
-                yield iter([[memo[w] for w in words]])
+            ends, flat = self.ids([[w] for w in words])
+            found = [tuple(x.tolist()) for x in np.split(flat, ends[:-1])] if words else []
+            yield [(len(ids), " ".join(map(str, ids)), " ".join(self.vocab.tokens[i] for i in ids), ids) for ids in found]
+
+    def batch(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray, memoryview, memoryview]]:
+        """(text, ids, ids as text, decoded text) in order, some pieces of each text; both texts end in a blank."""
+        held, room = [], PIECE
+        for k, text in enumerate(texts):
+            for words in self.cutter.pieces(text):
+                held.append((k, words))
+            room -= len(text)
+            if room < 0 or len(text) > PIECE:
+                yield from self._batch(held)
+                held, room = [], PIECE
+        yield from self._batch(held)
+
+    def _batch(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, np.ndarray, memoryview, memoryview]]:
+        if not held:
+            return
+        ends, flat = self.ids([words for _, words in held])
+        cut = []
+        for of in (self.number, self.token):
+            raw, offsets = _bytes(of.take(pa.array(flat)))
+            cut.append((memoryview(raw), offsets[np.concatenate([[0], ends])].tolist()))
+        (numbers, n_at), (tokens, t_at) = cut
+        for j, ((k, _), lo, hi) in enumerate(zip(held, [0, *ends.tolist()], ends.tolist(), strict=False)):
+            yield k, flat[lo:hi], numbers[n_at[j] : n_at[j + 1]], tokens[t_at[j] : t_at[j + 1]]
+
+
+def _bytes(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of strings without nulls, and where each begins and ends."""
+    offsets = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int32)
+    data = strings.buffers()[2]
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8), offsets.astype(np.int64)
 
 
 def encoder(vocab: Vocabulary, block: bytes) -> Encoder:
-    """This worker's encoder; the tasks that it runs one after the other share what it remembers."""
+    """This worker's encoder, for the tasks that it runs one after the other."""
     key = hashlib.sha256(block + repr(vocab.tokens).encode()).hexdigest()
     return kept(key, lambda: Encoder(vocab, block))
 
@@ -373,23 +422,32 @@ def frequent_words(docs: DataFrame, vocab: Vocabulary, text: str = "text", n: in
     """
 
     def count(batches):
-        cutter, seen = Cutter(vocab), Counter()
-        special = vocab.special
+        cutter, special = Cutter(vocab), pa.array(list(vocab.special), pa.string())
+        held: list[pa.Table] = []
+
+        def met(words: list[str]) -> None:
+            found = pa.array(words, pa.string()).value_counts()
+            held.append(pa.table({"word": found.field(0), "n": found.field(1)}))
 
-        def rows():
-            out = pa.RecordBatch.from_pydict({"word": list(seen), "n": list(seen.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
-            seen.clear()
-            return out
+        def rows(most: int) -> Iterator[pa.RecordBatch]:
+            """What is held, its words made one; it goes out when it is more than ``most``."""
+            if sum(map(len, held)) > most:
+                held[:] = [pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns(["word", "n"])]
+                if len(held[0]) > most:
+                    out = held.pop()
+                    yield from out.filter(pc.invert(pc.is_in(out["word"], special))).to_batches()
 
         for b in batches:
+            words: list[str] = []
             for t in b.column(0):
-                for words in cutter.pieces(t.as_py() or ""):
-                    seen.update(words)
-                    if len(seen) > REMEMBERED:
-                        yield rows()
-        for w in special:
-            seen.pop(w, None)
-        yield rows()
+                for piece in cutter.pieces(t.as_py() or ""):
+                    words += piece
+                    if len(words) > PIECE:
+                        met(words)
+                        words = []
+            met(words)
+            yield from rows(REMEMBERED)
+        yield from rows(0)
         hand_back()
 
     # a word met once gains nothing; the others' counts fall into some thousand bands
@@ -430,34 +488,30 @@ def encode(docs: DataFrame, model: tuple[Vocabulary, bytes], doc_id: str = "doc_
     def run(batches):
         enc = encoder(vocab, block)
         for b in batches:
-            for lo in range(0, len(b), 1024):
-                part = b.slice(lo, 1024)
-                cols: list[list] = [[], [], [], [], []]
-                for met_words in enc.batch([t or "" for t in part.column(1).to_pylist()]):
-                    n, ids, decoded, numbers, words = 0, hashlib.sha256(), hashlib.sha256(), [], []
-                    for met in met_words:
-                        if not met:
-                            continue
-                        gap = " " if n else ""
-                        said = " ".join([m[2] for m in met])
-                        ids.update((gap + " ".join([m[1] for m in met])).encode())
-                        decoded.update((gap + said).encode())
-                        n += sum([m[0] for m in met])
-                        if with_ids:
-                            numbers += [i for m in met for i in m[3]]
-                        if with_text:
-                            words.append(said)
-                    for c, v in zip(cols, (n, ids.hexdigest(), decoded.hexdigest(), numbers, " ".join(words)), strict=True):
-                        c.append(v)
-                arrays = [part.column(0), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                if with_ids:
-                    arrays.append(pa.array(cols[3], pa.list_(pa.int32())))
-                    names.append("ids")
-                if with_text:
-                    arrays.append(pa.array(cols[4], pa.string()))
-                    names.append("decoded")
-                yield pa.RecordBatch.from_arrays(arrays, names)
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            n = np.zeros(len(texts), np.int64)
+            digests = [(hashlib.sha256(), hashlib.sha256()) for _ in texts]
+            found, said = [], [[] for _ in texts]
+            for k, ids, numbers, tokens in enc.batch(texts):
+                if len(ids):
+                    gap = b" " if n[k] else b""
+                    for digest, part in zip(digests[k], (numbers, tokens), strict=True):
+                        digest.update(gap + part[:-1])
+                    n[k] += len(ids)
+                    if with_ids:
+                        found.append(ids)
+                    if with_text:
+                        said[k].append(bytes(part[:-1]).decode())
+            arrays = [b.column(0), pa.array(n), pa.array([x.hexdigest() for x, _ in digests], pa.string()), pa.array([x.hexdigest() for _, x in digests], pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                flat = np.concatenate(found) if found else np.zeros(0, np.int32)
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(flat, pa.int32())))
+                names.append("ids")
+            if with_text:
+                arrays.append(pa.array([" ".join(x) for x in said], pa.string()))
+                names.append("decoded")
+            yield pa.RecordBatch.from_arrays(arrays, names)
         hand_back()
 
     return small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema)
