@@ -232,9 +232,9 @@ def _linked(x: np.ndarray, y: np.ndarray, px: int, py: int, order: np.ndarray, p
 
 def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, order: np.ndarray, percent: int) -> DataFrame:
     """The pairs whose sets pass the suffix filter and, counted shingle by shingle, reach the threshold."""
-    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    need = settle(need.join(classes, "node").select("node", "rep.row"))
-    texts = lookup(docs.select("row", "text"), need, "row", F.xxhash64("text"))
+    need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("copies"))
+    need = settle(need.join(classes.select("node", "rep"), "node").select("node", "rep.row", "copies"))
+    texts = lookup(docs.select("row", "text"), need.select("node", "row"), "row", F.xxhash64("text"))
 
     def hashed(batches):
         """A text's set in the global order; where texts share a row's hash, the one that is meant."""
@@ -255,9 +255,16 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, order: np.nda
                     keep.append(_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), px, py, order, percent))
                 yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    a = sets.select(F.col("node").alias("a"), F.col("words").alias("wa"))
-    b = sets.select(F.col("node").alias("b"), F.col("words").alias("wb"))
-    return settle(pairs.join(a, "a").join(b, "b").select("a", "b", "pa", "pb", "wa", "wb").mapInArrow(run, "a long, b long"))
+    # a set of many pairs, as a list's leader is, is copied, and each pair takes one of the copies
+    often = settle(need.filter("copies > 1").select("node", "copies"))
+    for c in ("a", "b"):
+        other = F.xxhash64("b" if c == "a" else "a")
+        pairs = lookup(pairs, often.select(F.col("node").alias(c), F.col("copies").alias(f"of_{c}")), c, other, "left")
+        pairs = pairs.withColumn(f"of_{c}", F.when(F.col(f"of_{c}").isNull(), 0).otherwise(F.pmod(other, F.col(f"of_{c}"))).cast("int"))
+    sets = lookup(sets, often, "node", F.col("node"), "left").withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)))
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("copy").alias(f"of_{c}"), F.col("words").alias(f"w{c}"))
+    pairs = pairs.join(side("a"), ["a", "of_a"]).join(side("b"), ["b", "of_b"])
+    return settle(pairs.select("a", "b", "pa", "pb", "wa", "wb").mapInArrow(run, "a long, b long"))
 
 
 def _mixed(lists: DataFrame, label: DataFrame) -> DataFrame:
