@@ -57,6 +57,31 @@ def test_mix_takes_as_planned(docs):
     assert mixing.mix(docs).count() == n and mixing.mix(docs).columns == docs.columns
 
 
+def test_mix_keeps_columns_of_any_name_and_shares_copies(spark):
+    rows = [(k, "w " * (k % 9 + 1), "ab"[k % 2], f"k{k}", True, k) for k in range(60)]
+    rows += [(99, "x y z", "a", v, False, 0) for v in ("p", "p", "q", "r")] + [(None, None, None, None, None, None)]
+    schema = "doc_id long, text string, source string, _k string, _id boolean, _n long"
+    df = spark.createDataFrame(rows, schema)
+    got = [tuple(r) for r in mixing.mix(df).collect()]
+    plan = [(r.doc_id, r.copies) for r in mixing.copies(df).collect()]
+    assert set(got) <= set(rows)
+    for i in {r[0] for r in rows}:
+        assert sum(r[0] == i for r in got) == sum(n for j, n in plan if j == i)
+    times = [sum(r[3] == v and r[0] == 99 for r in got) / n for v, n in (("p", 2), ("q", 1), ("r", 1))]
+    assert max(times) - min(times) <= 1
+    assert sorted(map(str, got)) == sorted(str(tuple(r)) for r in mixing.mix(df.repartition(5)).collect())
+
+
+def test_mix_numbers_rows_that_repeat(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATS", 7)
+    df = spark.createDataFrame([(1, "w w w", "a")] * 500 + [(2, "w", "b")] * 30, "doc_id long, text string, source string")
+    rows = mixing.copies(df).collect()
+    assert len(rows) == 530
+    for s in "ab":
+        assert abs(sum(r.taken for r in rows if r.source == s) - next(r.target for r in rows if r.source == s)) <= 1.5
+    assert mixing.mix(df).count() == sum(r.copies for r in rows)
+
+
 def jump(key, n):
     key %= 1 << 64
     b, j = -1, 0

@@ -20,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import lookup, settle, word_count
+from ._common import fresh, lookup, settle, word_count
 
 #: Documents of a block: their picks fit into the bits of a long.
 BLOCK = 63
+#: Equal rows that are numbered at a time.
+REPEATS = 10_000
 _SEED = 20_240_611
 
 
@@ -32,6 +34,10 @@ def _uniform(*parts: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(_SEED), *parts), 11).cast("double") * F.lit(2.0**-53)
 
 
+def _crc(text: str) -> Column:
+    return F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
 def targets(sources: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """Words due from each source: ``sources`` (source, source_size) gains ``sid`` and ``target``.
 
@@ -103,12 +109,17 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     rounded each on its own.  The result depends on the rows alone, not on
     their order or partitions.  An empty table gives an empty result.
     """
-    rows = settle(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32")))
-    src = settle(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count_if(F.col("size") > 0).alias("n")), weights, share, cap))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), _crc(text).alias("text_crc32"))
+    # equal rows are numbered, so that a row that is often repeated is not one block
+    rows = settle(rows.groupBy("doc_id", "source", "size", "text_crc32").agg(F.count("*").alias("times")))
+    src = settle(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("times")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("times")).otherwise(0)).alias("n")), weights, share, cap))
     n_src = src.count()
     # null-safe: sources are matched by their text, marked by whether there is one
     mark = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    h = F.xxhash64(F.col("doc_id"), F.col("text_crc32"), F.col("size"))
+    span = lambda lo, hi: F.explode(F.sequence(lo, hi - 1))
+    rows = rows.withColumn("q", span(F.lit(0).cast("long"), F.ceil(F.col("times") / REPEATS)))
+    rows = rows.withColumn("copy", span(F.col("q") * REPEATS, F.least(F.col("times"), (F.col("q") + 1) * REPEATS))).drop("q", "times")
+    h = F.xxhash64(F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("copy"))
     base = lookup(rows.withColumn("_k", mark).withColumn("h", h), src.withColumn("_k", mark).drop("source"), "_k", h).drop("_k")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(ratio)
@@ -153,14 +164,30 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
     """The mixed table: ``docs`` with each row as often as the mix takes it (not at all, once, ...).
 
-    Rows that agree in id, source and text share their copies evenly.
+    Rows that agree in id, source and text share their copies evenly, and of
+    those the ones whose other columns come first by hash get what is over.
+    Null ids, sources and texts are values like others, texts without words are
+    taken as :func:`copies` says, and columns of any name are kept as they are.
+    An empty table stays empty.
     """
     plan = copies(docs, doc_id, text, source, weights, share, cap)
-    key = ["_id", "_src", "_crc"]
-    sums = plan.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("\0")).alias("_id"), F.coalesce("source", F.lit("\0")).alias("_src"), F.col("text_crc32").alias("_crc")).agg(F.sum("copies").alias("_n"), F.count("*").alias("_rows"))
-    keyed = docs.select("*", F.coalesce(F.col(doc_id).cast("string"), F.lit("\0")).alias("_id"), F.coalesce(F.col(source), F.lit("\0")).alias("_src"), F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("_crc"))
-    out = keyed.join(sums.filter("_n > 0"), key)
-    rank = F.when(F.col("_rows") == 1, F.lit(1)).otherwise(F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))))
-    single = out.filter("_rows = 1").withColumn("_k", F.col("_n"))
-    several = out.filter("_rows > 1").withColumn("_r", rank).withColumn("_k", F.expr("_n div _rows + if(_r <= _n % _rows, 1, 0)")).drop("_r")
-    return single.unionByName(several).filter("_k > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_k").cast("int")))).select(*docs.columns)
+    ident, of, crc, n, rows = (fresh(docs, c) for c in ("id", "source", "crc", "n", "rows"))
+    key = [ident, of, crc]
+    named = lambda c: F.coalesce(F.concat(F.lit("s"), c.cast("string")), F.lit("n"))
+    sums = plan.groupBy(named(F.col("doc_id")).alias(ident), named(F.col("source")).alias(of), F.col("text_crc32").alias(crc)).agg(F.sum("copies").alias(n), F.count("*").alias(rows))
+    sums = settle(sums.filter(F.col(n) > 0))
+    keyed = docs.select("*", named(F.col(doc_id)).alias(ident), named(F.col(source)).alias(of), _crc(text).alias(crc))
+    times = lambda df: df.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*docs.columns)
+    out = times(keyed.join(sums.filter(F.col(rows) == 1), key))
+    again = sums.filter(F.col(rows) > 1)
+    if again.isEmpty():
+        return out
+    # rows that agree in all columns are one, taken as often as all of them
+    kind, every, before, count = (fresh(docs, c) for c in ("kind", "every", "before", "count"))
+    several = keyed.join(again.select(*key), key, "left_semi").withColumn(every, F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
+    several = settle(several.withColumn(kind, F.xxhash64(F.to_json(every))).groupBy(*key, kind).agg(F.first(every).alias(every), F.count("*").alias(count)))
+    shares = several.select(*key, kind, count).join(again, key)
+    shares = shares.withColumn(before, F.sum(count).over(Window.partitionBy(*key).orderBy(kind)) - F.col(count))
+    over = F.greatest(F.lit(0), F.least(F.col(count), F.col(n) % F.col(rows) - F.col(before)))
+    shares = shares.withColumn(n, F.col(count) * F.floor(F.col(n) / F.col(rows)) + over).filter(F.col(n) > 0).select(*key, kind, n)
+    return out.unionByName(times(several.join(shares, [*key, kind]).select(f"{every}.*", n)))
