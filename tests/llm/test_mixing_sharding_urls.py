@@ -115,6 +115,24 @@ def test_shards(spark):
     assert sharding.shard(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_shards_of_ids_of_any_type_and_rows_that_repeat(spark):
+    rows = [(f"id{k}", f"t{k}") for k in range(200)] + [("again", "x")] * 25_000 + [(None, "x")] * 3
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id string, text string"), 8).collect()
+    assert len(got) == len(rows) and len({r.shard for r in got}) == 8
+    for s in range(8):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(len(slots)))
+    assert len({r.shard for r in got if r.doc_id == "again"}) == 1 and all(r.grown_shard in (r.shard, 8) for r in got)
+
+
+def test_popular_urls_and_hosts_of_many_labels(spark):
+    rows = [(k, "http://a.example.com/en/x") for k in range(3000)] + [(k, None) for k in range(3000, 4000)] + [(k, f"http://{'l.' * 2000}net/fr/{k}") for k in range(4000, 4004)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), urls.rule_table(spark, urls.RULES)).groupBy("rule", "verdict").count().collect()
+    assert sorted(map(tuple, got), key=str) == [("example.com/en/", "block", 3000), ("net/fr/", "block", 4), (None, "allow", 1000)]
+    none = urls.judge(spark.createDataFrame(rows[:2], "page_id long, url string"), urls.rule_table(spark, urls.RULES).limit(0)).collect()
+    assert [tuple(r)[3:] for r in none] == [(None, "allow")] * 2
+
+
 def test_urls(spark):
     cases = {
         None: ("", "", None, "allow"), "no scheme.com/en/": ("", "", None, "allow"), "http://": ("", "", None, "allow"),

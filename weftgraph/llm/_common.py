@@ -113,6 +113,30 @@ BROADCAST_ROWS = 100_000
 SALTS = 32
 
 
+#: A value may stand in one row of so many before its rows are joined apart.
+HOT = 1000
+
+
+def numbered(df: DataFrame, times: str, at: str, step: int = 10_000) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``at``; a row that repeats very often is no one long array."""
+    some = fresh(df, "some")
+    span = lambda lo, hi: F.explode(F.sequence(lo, hi - 1))
+    df = df.withColumn(some, span(F.lit(0).cast("long"), F.ceil(F.col(times) / step)))
+    return df.withColumn(at, span(F.col(some) * step, F.least(F.col(times), (F.col(some) + 1) * step))).drop(some, times)
+
+
+def join_counted(rows: DataFrame, dim: DataFrame, key: str, copies: str, total: int) -> DataFrame:
+    """Left join of ``rows``, ``total`` in number, to a table that is unique by ``key`` and tells in ``copies`` how many of them have it.
+
+    Fewer than ``HOT`` values can stand in more than one row of ``HOT``: those
+    are broadcast, the others shuffled.  ``key`` is not null in ``rows``.
+    """
+    hot = dim.filter(F.col(copies) > total // HOT).drop(copies)
+    cool = dim.filter(F.col(copies) <= total // HOT).drop(copies)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool, key, "left")
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
 def lookup(rows: DataFrame, dim: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
     """Join ``rows`` to a table that is unique by ``key``, whatever the skew of ``rows``.
 

@@ -41,14 +41,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from ._common import fresh, lookup, settle
+from ._common import HOT, fresh, join_counted, lookup, settle
 from .components import components
 
 #: Counters of the order: 4 bytes each, sent to every task.
 COUNTERS_LOG2 = 20
 _BLOCKS = 16
-#: A list may hold one row of so many; longer ones are dealt to parts.
-HOT = 1000
 #: Sets of a list that make up a block, of which two are compared in one unit of work.
 CHUNK = 512
 #: How often the suffix filter halves.
@@ -342,15 +340,12 @@ def _placed(docs: DataFrame, percent: int) -> DataFrame:
     across = _across(_mixed(lists, components(links)), percent).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     links = links.union(_verify(settle(_screen(across, classes, percent)), classes, docs, order, percent))
     named = classes.select("node", "rep", "copies").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("rep").alias("best"))
+    least = settle(named.groupBy("root").agg(F.min("rep").alias("best"), F.count("*").alias("sets")).filter("sets > 1").drop("sets"))
     # most sets are no one's copy: only the others need a join with the rows
-    moved = settle(named.join(least, "root").filter("copies > 1 or best <> rep").select("node", "best", "copies"))
-    # fewer than HOT classes can hold more than so many rows
-    hot = moved.filter(F.col("copies") > total // HOT).select("node", "best")
-    cool = moved.filter(F.col("copies") <= total // HOT).select("node", "best")
-    full = rows.filter("n > 0").select("doc_id", "row", "node", "n")
-    out = full.join(F.broadcast(hot), "node").unionByName(full.join(F.broadcast(hot.select("node")), "node", "left_anti").join(cool, "node", "left"))
-    return out.select("doc_id", "row", "n", "best").unionByName(rows.filter("n = 0").select("doc_id", "row", "n"), allowMissingColumns=True)
+    moved = lookup(named, least, "root", F.col("node"), "left").withColumn("best", F.coalesce("best", "rep"))
+    moved = settle(moved.filter("copies > 1 or best <> rep").select("node", "best", "copies"))
+    out = join_counted(rows.filter("n > 0"), moved, "node", "copies", total).select("doc_id", "row", "n", "best")
+    return out.unionByName(rows.filter("n = 0").select("doc_id", "row", "n"), allowMissingColumns=True)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[Column, DataFrame]:

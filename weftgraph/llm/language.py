@@ -200,7 +200,10 @@ def fit(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text
     """Learn from the rows for which ``keep`` holds and that have a language.
 
     About ``TEXTS`` texts of each language are taken, those whose hashed id is
-    lowest, of at most ``LONGEST`` characters: this bounds what the driver gets.
+    lowest, of at most ``LONGEST`` characters; where ids repeat or are null, so
+    that many rows share a hash, twice as many are the limit for all languages
+    together.  This bounds what the driver gets.  An empty table or one without
+    languages gives a model that knows none.
     """
     rows = docs.filter(keep & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.char_length(F.col(text)) <= LONGEST))
     rows = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(F.col(doc_id), F.lit(7)), F.lit(1 << 40)).alias("h"))
@@ -209,7 +212,9 @@ def fit(docs: DataFrame, keep: Column, doc_id: str = "doc_id", text: str = "text
         return Model()
     bound = F.element_at(F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * (1 << 40)) + 1)]), F.col("lang"))
     texts: dict[str, list[str]] = {}
-    for r in sorted(rows.filter(F.col("h") < bound).collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
+    # one hash may stand for many rows: of an id, or of none
+    few = rows.filter(F.col("h") < bound).orderBy("h", F.xxhash64("text"), "lang").limit(2 * TEXTS * len(share))
+    for r in sorted(few.collect(), key=lambda r: (r["lang"], r["h"], r["text"])):
         texts.setdefault(r["lang"], []).append(r["text"])
     model = train({k: v for k, v in texts.items() if any(map(words_of, v))})
     hand_back()

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import fresh, lookup, settle, word_count
+from ._common import fresh, lookup, numbered, settle, word_count
 
 #: Documents of a block: their picks fit into the bits of a long.
 BLOCK = 63
@@ -116,9 +116,7 @@ def copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     n_src = src.count()
     # null-safe: sources are matched by their text, marked by whether there is one
     mark = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
-    span = lambda lo, hi: F.explode(F.sequence(lo, hi - 1))
-    rows = rows.withColumn("q", span(F.lit(0).cast("long"), F.ceil(F.col("times") / REPEATS)))
-    rows = rows.withColumn("copy", span(F.col("q") * REPEATS, F.least(F.col("times"), (F.col("q") + 1) * REPEATS))).drop("q", "times")
+    rows = numbered(rows, "times", "copy", REPEATS)
     h = F.xxhash64(F.col("doc_id"), F.col("text_crc32"), F.col("size"), F.col("copy"))
     base = lookup(rows.withColumn("_k", mark).withColumn("h", h), src.withColumn("_k", mark).drop("source"), "_k", h).drop("_k")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))

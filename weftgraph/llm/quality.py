@@ -201,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_id"
     """Learn from labelled rows for which ``keep``, on ``doc_id``, holds.
 
     About ``sample`` of them, those whose hashed id is lowest, go to the driver
-    as statistics: 160 bytes each.  Rows without a label or an id teach nothing.
+    as statistics: 160 bytes each, and ``2 * sample`` at most where ids repeat.
+    Rows without a label or an id teach nothing; without any the model gives 0.5.
     """
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).filter("y is not null and doc_id is not null").filter(keep)
     n = known.count()
@@ -209,7 +210,9 @@ def fit(docs: DataFrame, labels: DataFrame, keep: Column, doc_id: str = "doc_id"
         return RuleEnsemble()
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(min(1.0, sample / n) * (1 << 30)) + 1)
     few = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known.select("doc_id").distinct()), "doc_id", "left_semi")
-    rows = describe(few).join(F.broadcast(known), "doc_id").drop("doc_id").collect()
+    # an id may have many rows
+    few = few.orderBy(F.xxhash64("doc_id", "text")).limit(2 * sample)
+    rows = describe(few).join(F.broadcast(known.distinct()), "doc_id").drop("doc_id").collect()
     data = np.array(sorted(tuple(r) for r in rows), float).reshape(-1, len(STATS) + 1)
     data = data[np.random.default_rng(5).permutation(len(data))]
     return train(data[:, :-1], (data[:, -1] > 0).astype(float))

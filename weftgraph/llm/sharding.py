@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import utf8_bytes
+from ._common import numbered, utf8_bytes
 
 #: Fixed value: multiplier of the generator.
 MULTIPLIER = 2862933555777941757
@@ -66,26 +66,32 @@ def shard(docs: DataFrame, n: int = 8, doc_id: str = "doc_id", text: str = "text
     Returns doc_id, size (UTF-8 bytes of the text plus 1), text_crc32
     (unsigned), law (always ``key``), shard, slot (gapless from 0 within a
     shard) and grown_shard (the shard with n + 1).  Null texts count as empty,
-    a null id as 0; equal rows get slots of their own.  Slots follow ``run``, a
-    mix of id and checksum, then id, checksum and size: rows are numbered within
-    runs, and the runs' sizes, at most ``RUNS`` a shard, give where each begins.
+    a null id as 0; equal rows get slots of their own.  Ids that are no whole
+    numbers go by their 64-bit hash.  Slots follow ``run``, a mix of id and
+    checksum, then id, checksum and size: rows are numbered within runs, and the
+    runs' sizes, at most ``RUNS`` a shard, give where each begins.  Equal rows
+    are counted before, so one that is often repeated is one row of its run.
+    An empty table gives an empty result.
     """
     size = utf8_bytes(F.col(text)) + 1
     crc = F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary"))
-    hi, lo = _next(*_halves(F.col("doc_id")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), size.alias("size"), crc.alias("text_crc32"))
-    rows = rows.select("*", jump_hash(F.col("doc_id"), n).alias("shard"), jump_hash(F.col("doc_id"), n + 1).alias("grown_shard"), (hi + F.col("text_crc32")).bitwiseAND(_long(RUNS - 1)).cast("int").alias("run"))
+    whole = dict(rows.dtypes)["doc_id"] in ("tinyint", "smallint", "int", "bigint")
+    key = F.col("doc_id") if whole else F.xxhash64("doc_id")
+    hi, lo = _next(*_halves(key))
+    rows = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("times"))
+    rows = rows.select("*", jump_hash(key, n).alias("shard"), jump_hash(key, n + 1).alias("grown_shard"), (hi + F.col("text_crc32")).bitwiseAND(_long(RUNS - 1)).cast("int").alias("run"))
     begins = (
-        rows.groupBy("shard", "run").agg(F.count("*").alias("c"))
+        rows.groupBy("shard", "run").agg(F.sum("times").alias("c"))
         .withColumn("begin", F.sum("c").over(Window.partitionBy("shard").orderBy("run")) - F.col("c"))
         .select("shard", "run", "begin")
     )
     within = Window.partitionBy("shard", "run").orderBy(F.col("doc_id").asc_nulls_first(), "text_crc32", "size")
-    numbered = rows.withColumn("_at", F.row_number().over(within))
+    before = rows.withColumn("before", F.sum("times").over(within) - F.col("times"))
     # n * RUNS rows of 20 bytes at most; beyond what is safe to send, Spark chooses
     begins = F.broadcast(begins) if n * RUNS <= 1 << 20 else begins
-    return numbered.join(begins, ["shard", "run"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("begin") + F.col("_at") - 1).cast("long").alias("slot"), "grown_shard"
+    return numbered(before.join(begins, ["shard", "run"]), "times", "again").select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("begin") + F.col("before") + F.col("again")).cast("long").alias("slot"), "grown_shard"
     )
 
 

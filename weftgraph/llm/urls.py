@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, SALTS, ascii_lower
+from ._common import BROADCAST_ROWS, SALTS, ascii_lower, join_counted, settle
 
 
 @dataclass(frozen=True)
@@ -62,16 +62,20 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
         .withColumn("short", prefix(F.col("r_digest")))
     )
     n_rules = ruled.count()
-    # the lengths of path prefixes that a rule can have: no others need expanding
+    # how long the path prefixes and host suffixes of a rule are: no others need expanding
     lengths = sorted(r[0] for r in ruled.select(F.char_length("r_path")).distinct().collect())
+    counts = sorted(r[0] for r in ruled.select(F.size(F.split("r_host", r"\.", -1))).distinct().collect())
     keyed = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("_url"))
-    urls = keyed.select("_url").distinct().filter("_url is not null").withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url")))
+    asks = keyed.filter("_url is not null")
+    total = asks.count()
+    urls = asks.groupBy("_url").agg(F.count("*").alias("copies")).withColumn("host", host_of(F.col("_url"))).withColumn("path", path_of(F.col("_url")))
     labels = F.split("host", r"\.", -1)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.concat_ws(".", F.slice("labels", i, F.size("labels"))))
+    fits = F.filter(F.array(*[F.lit(k) for k in counts]).cast("array<int>"), lambda k: k <= F.size("labels"))
+    suffixes = F.transform(fits, lambda k: F.concat_ws(".", F.slice("labels", F.size("labels") - k + 1, k)))
     starts = F.transform(F.filter(F.array(*[F.lit(k) for k in lengths]).cast("array<int>"), lambda k: k <= F.char_length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
     asked = (
         urls.withColumn("labels", labels).withColumn("_h", F.explode(suffixes)).withColumn("_p", F.explode(starts))
-        .select("_url", sha(F.concat("_h", F.lit("\n"), "_p")).alias("digest"))
+        .select("_url", "copies", sha(F.concat("_h", F.lit("\n"), "_p")).alias("digest"))
         .withColumn("short", prefix(F.col("digest")))
     )
     if n_rules <= BROADCAST_ROWS:
@@ -79,8 +83,10 @@ def judge(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", url: str
     else:  # expressions of a common host are hot; the rules are copied to meet them
         met = asked.withColumn("_salt", F.pmod(F.hash("_url"), F.lit(SALTS))).join(ruled.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["short", "_salt"])
     rank = F.struct((F.char_length("r_host") + F.char_length("r_path")).alias("n"), F.char_length("r_host").alias("h"), (F.col("r_verdict") == "block").alias("b"))
-    best = met.filter(F.col("digest") == F.col("r_digest")).groupBy("_url").agg(F.max(F.struct(rank.alias("rank"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))).alias("win"))
-    return keyed.join(best, "_url", "left").select(
+    best = met.filter(F.col("digest") == F.col("r_digest")).groupBy("_url", "copies").agg(F.max(F.struct(rank.alias("rank"), F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"))).alias("win"))
+    # most URLs may have no rule, a popular one stands in many rows, and null is no URL
+    judged = join_counted(asks, settle(best), "_url", "copies", total).unionByName(keyed.filter("_url is null"), allowMissingColumns=True)
+    return judged.select(
         "page_id", host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"), F.col("win.rule").alias("rule"), F.coalesce(F.col("win.verdict"), F.lit(default)).alias("verdict")
     )
 
