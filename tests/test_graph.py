@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.catalogue_more import SPEC, backend
+from weftgraph.catalogue_more import SPEC, depot
 from weftgraph.operators import analyze, context, dedup, merge, resolve, seam, search, semantic, stats, traverse
 from weftgraph.schema import LOC
 
@@ -111,8 +111,8 @@ def test_interfaces_dispatch_to_full_implementers(spark):
 def test_dedup_guards_and_merges(spark):
     at = lambda a, b=0: (a, b, a + 1, 0)
     n = nodes(
-        spark, ("1", "PaymentServiceHandler", "concept"), ("2", "Payment Service Handler", "concept"), ("3", "PaymentServiceHandlers", "concept"), ("4", "MessageBubble", "concept"), ("5", "MessageBubbleProps", "concept"),
-        ("6", "render", "function", "a.ts", 0.0, at(1)), ("7", "render", "function", "b.ts", 0.0, at(1)), ("8", "render", "function", "a.ts", 0.0, at(1)), ("9", "ScoringPipeline", "concept"), ("10", "ScoringPipelina", "concept"), ("f", "a.ts", "file", "a.ts"), ("g", "a.ts", "file", "a.ts"),
+        spark, ("1", "FreightLedgerWriter", "concept"), ("2", "Freight Ledger Writer", "concept"), ("3", "FreightLedgerWriters", "concept"), ("4", "HarborCrate", "concept"), ("5", "HarborCrateTotal", "concept"),
+        ("6", "render", "function", "a.ts", 0.0, at(1)), ("7", "render", "function", "b.ts", 0.0, at(1)), ("8", "render", "function", "a.ts", 0.0, at(1)), ("9", "TollGateCounter", "concept"), ("10", "TollGateCounten", "concept"), ("f", "a.ts", "file", "a.ts"), ("g", "a.ts", "file", "a.ts"),
     )
     kept, e = dedup.deduplicate(n, edges(spark, ("8", "7", "CALLS"), ("6", "7", "CALLS"), ("10", "9", "x")))
     ids = {r.id for r in kept.collect()}
@@ -130,12 +130,12 @@ def test_merging(spark):
 
 
 def test_seam_is_whole_or_fails(spark):
-    n, e = seam.generate(spark, SPEC, {"backend": backend(spark)})
-    assert {(r.relation, r.target) for r in e.collect()} >= {("CONSUMED_AT", "backend::scoreModel"), ("MIRRORED_BY", "backend::ScoreResult")}
+    n, e = seam.generate(spark, SPEC, {"depot": depot(spark)})
+    assert {(r.relation, r.target) for r in e.collect()} >= {("CONSUMED_AT", "depot::quoteFor"), ("MIRRORED_BY", "depot::Quote")}
     assert n.filter("kind = 'code-ref'").count() == 2
     for change in ({"consumes": [SPEC["consumes"][0] | {"path": "/x"}]}, {"mirrors": [SPEC["mirrors"][0] | {"line": 999}]}, {"mirrors": [SPEC["mirrors"][0] | {"schema": "x"}]}):
         with pytest.raises(seam.SeamError):
-            seam.generate(spark, SPEC | change, {"backend": backend(spark)})
+            seam.generate(spark, SPEC | change, {"depot": depot(spark)})
 
 
 def test_packers_keep_the_budget():
@@ -167,3 +167,33 @@ def test_histogram_percentile(spark):
     h = spark.createDataFrame([("q", 0, 1), ("q", 3, 2), ("q", 11, 1)], "op string, bucket int, n long")
     assert stats.histogram_percentile(h, 0.5).first().value == pytest.approx(6.0)
     assert stats.histogram_percentile(h, 1.0).first().value == 1024.0
+
+
+def test_communities_in_one_task_and_by_all(spark, monkeypatch):
+    from weftgraph.operators import unionfind
+
+    n = spark.createDataFrame([(f"n{k}",) for k in range(24)], "id string")
+    links = [(f"n{g * 5 + i}", f"n{g * 5 + j}") for g in range(4) for i in range(5) for j in range(i)] + [("n0", "n5"), ("n6", "n11"), ("n3", "n3"), ("n1", "lost")]
+    e = spark.createDataFrame(links, "source string, target string")
+    one = {r.id: r.community for r in analyze.communities(n, e, 3, 2).collect()}
+    assert len(one) == 24 and one["n22"] == "n22" and one["n0"] == one["n4"] != one["n9"]
+    monkeypatch.setattr(unionfind, "FINISH", 0)
+    assert {r.id: r.community for r in analyze.communities(n, e, 3, 2).collect()} == one
+
+
+def test_focus_is_the_most_central_that_holds_the_query(spark):
+    n = spark.createDataFrame([(0, "a", "Alpha", 0.1), (1, "b", "AlphaLeaf", 0.5), (2, "doc:pha", "alpha doc", 0.9), (3, "c", "Beta", 0.5)], "ord long, id string, label string, centrality double")
+    q = spark.createDataFrame([(1, "pha"), (2, "PHAL"), (3, ""), (4, "b"), (5, "ta")], "qid int, query string")
+    assert {r.qid: r.id for r in context.focal(n, q).collect()} == {1: "b", 2: "b", 4: "b", 5: "c"}
+
+
+def test_links_of_a_document_are_limited_after_names_meet_nodes(spark):
+    n = spark.createDataFrame([(k * 3 + j, f"n{k}_{j}", f"name_{k}", "function") for k in range(10) for j in range(3)], "ord long, id string, label string, kind string")
+    docs = spark.createDataFrame([(1, " ".join(f"name_{k}" for k in range(10)))], "doc_id long, text string")
+    got = sorted((r.rank, r.id) for r in semantic.doc_links(docs, semantic.symbol_index(n)).collect())
+    assert [i for _, i in got] == [f"n{k}_{j}" for k in range(3) for j in range(3)] + ["n3_0"]
+
+
+def test_paths_longer_than_any_number_of_hops(spark):
+    e = spark.createDataFrame([(f"v{k}", f"v{k + 1}", "r", k) for k in range(70)], "source string, target string, relation string, ord long")
+    assert traverse.shortest_path(e, "v0", "v70").count() == 71

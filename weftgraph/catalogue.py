@@ -208,11 +208,11 @@ def distances(spark, d):
     return traverse.distances(graph(spark, d)[1], ids(spark, "region:1"), 3)
 
 
-@query(f"{GR.split(', ends as')[0]}, e as (select source as a, target as b from edges where relation in ('IN_NATION', 'PART_OF') union select target, source from edges where relation in ('IN_NATION', 'PART_OF')), r(id, o) as (select id, ord from nodes union select e.b, r.o from r join e on e.a = r.id) select n.id, min(r.o)::bigint as root from nodes n join r using (id) group by n.id")
+@query(f"{GR.split(', ends as')[0]}, e as (select source as a, target as b from edges union select target, source from edges), r(id, o) using key (id) as (select id, ord from nodes union select e.b, min(r.o) from r join e on e.a = r.id join recurring.r as c on c.id = e.b where r.o < c.o group by e.b) select id, o::bigint as root from r")
 def connected_components(spark, d):
     n, e = graph(spark, d)
     o = n.select("id", "ord")
-    p = e.filter(F.col("relation").isin("IN_NATION", "PART_OF")).join(o.select(F.col("id").alias("source"), F.col("ord").alias("a")), "source").join(o.select(F.col("id").alias("target"), F.col("ord").alias("b")), "target")
+    p = e.join(o.select(F.col("id").alias("source"), F.col("ord").alias("a")), "source").join(o.select(F.col("id").alias("target"), F.col("ord").alias("b")), "target")
     return traverse.components(n, p.select("a", "b")).join(o, "ord").select("id", "root")
 
 
@@ -254,8 +254,8 @@ _TERMS = "list_distinct(list_transform(list_filter(regexp_split_to_array(lower({
 _STEM = "regexp_replace(t, '^(.{4,}?)(?:" + "|".join(fn.SUFFIXES) + ")$', '\\1')"
 
 
-@query(f"""{G}, q as (select p_partkey as qid, unnest({_TERMS.format("p_name || ' ' || p_type", _STEM)}) as term from part where p_partkey < 20),
-n as (select n.id, label, centrality, ord, {_TERMS.format('label', _STEM)} as terms from nodes n join cent using (id) where kind = 'part' or kind = 'nation'),
+@query(f"""{G}, q as (select p_partkey as qid, unnest({_TERMS.format("p_name || ' ' || p_type", _STEM)}) as term from part where p_partkey % 50 = 0),
+n as (select n.id, label, centrality, ord, {_TERMS.format('label', _STEM)} as terms from nodes n join cent using (id)),
 pages_n as (select count(*) as total from n), has as (select id, unnest(terms) as term from n),
 w as (select term, ln(1 + (select total from pages_n) / (1 + (select count(*) from has h where h.term = x.term))) as w from (select distinct term from q) x),
 s as (select q.qid, h.id, round(sum(w) / (select sum(w2.w) from q q2 join w w2 using (term) where q2.qid = q.qid), 9) as score from q join w using (term) join has h using (term) group by q.qid, h.id)
@@ -269,7 +269,7 @@ def idf_search(spark, d):
 _TYPOS = ["NATON_3", "AFRCA", "nation", "ASIAA", "MIDLE EST", "Customer#00000001"]
 
 
-@query(f"""{G}, q as (select unnest({_TYPOS}) as name), n as (select n.id, label, centrality, lower({_SYM}) as sym, lower(regexp_extract(n.id, '([^:/.]*)$', 1)) as tail from nodes n join cent using (id) where kind <> 'order' and kind <> 'part'),
+@query(f"""{G}, q as (select unnest({_TYPOS}) as name), n as (select n.id, label, centrality, lower({_SYM}) as sym, lower(regexp_extract(n.id, '([^:/.]*)$', 1)) as tail from nodes n join cent using (id)),
 m as (select name, id, label, centrality, least(levenshtein(lower(name), sym), levenshtein(lower(name), tail)) as dist, greatest(2, length(name) // 3) as cap from q, n)
 select name, id, dist::int as distance, rank::int as rank from (select *, row_number() over (partition by name order by dist, centrality desc, label, id) as rank from m where dist <= cap) where rank <= 5""")
 def suggestions(spark, d):
@@ -277,9 +277,9 @@ def suggestions(spark, d):
     return search.suggest(n, spark.createDataFrame([(t,) for t in _TYPOS], "name string"))
 
 
-@query(f"{_nb('both').replace('select seed, met.id', 'select seed, relation, direction, count(*)::bigint as n from (select seed, met.id')}) group by seed, relation, direction")
+@query(f"{_nb('both').replace('select seed, met.id', 'select seed, relation, direction, count(*)::bigint as n, string_agg(id, chr(32) order by k) filter (k <= 5) as ids from (select *, row_number() over (partition by seed, relation, direction order by centrality desc, id) as k from (select seed, met.id')})) group by seed, relation, direction")
 def neighbor_summary(spark, d):
-    return search.neighbour_summary(_neighbours("both")(spark, d)).select("seed", "relation", "direction", "n")
+    return search.neighbour_summary(_neighbours("both")(spark, d)).select("seed", "relation", "direction", "n", F.array_join("ids", " ").alias("ids"))
 
 
 # --- functions -------------------------------------------------------------
@@ -332,39 +332,40 @@ def left_anti_merge(spark, d):
     return merge.append_absent(e.filter("ord < 40"), e.filter("ord >= 40"), ["id", "kind"])
 
 
-@query("select id, kind, ord from (select *, row_number() over (partition by id order by side desc, ord desc) as r from (select event_id as ord, 'u' || (user_id % 50) as id, event_type as kind, (event_id >= 300)::int as side from events where event_id < 500)) where r = 1")
+@query("select id, kind, ord from (select *, row_number() over (partition by id order by side desc, ord desc) as r from (select event_id as ord, 'u' || (user_id % 50) as id, event_type as kind, (event_id >= 300)::int as side from events)) where r = 1")
 def override_union(spark, d):
     e = _events(spark, d)
     base = merge.merge_nodes(e.filter("ord < 300"))
     return merge.override_union(base, e.filter("ord >= 300"), ["id"])
 
 
-_MOD = "case when source like 'customer:%' then 'customer:' || (substr(source, 10)::int % 10) else source end"
+_MOD = "case when {0} like 'customer:%' then 'customer:' || (substr({0}, 10)::int % 10) else {0} end"
 
 
-@query(f"{G} select distinct {_MOD} as source, target, relation from edges")
+@query(f"{G} select distinct {_MOD.format('source')} as source, {_MOD.format('target')} as target, relation from edges")
 def edge_rewrite(spark, d):
     n, e = graph(spark, d)
     remap = n.filter("kind = 'customer'").select(F.col("id").alias("old"), F.concat(F.lit("customer:"), F.substring("id", 10, 20).cast("int") % 10).alias("new"))
-    out = merge.rewrite_edges(e.withColumn("ord", F.xxhash64("source", "target")), remap).drop("ord")
-    # only sources of customers and targets of orders change
-    return out.withColumn("target", F.when(F.col("relation") == "PLACED_BY", F.lit("c")).otherwise(F.col("target"))).filter("relation <> 'PLACED_BY'").unionByName(e.filter("relation = 'PLACED_BY'"))
+    return merge.rewrite_edges(e.withColumn("ord", F.xxhash64("source", "target")), remap).drop("ord")
 
 
-@query(f"{G} select source, target, relation from edges where split_part(target, ':', 1) = 'supplier' and split_part(target, ':', 2)::int % 3 = 0")
+_THIRD = "split_part({0}, ':', 1) = 'supplier' and split_part({0}, ':', 2)::int % 3 = 0"
+
+
+@query(f"{G} select source, target, relation from edges where {_THIRD.format('source')} or {_THIRD.format('target')}")
 def dangling_edges(spark, d):
     n, e = graph(spark, d)
-    return merge.dangling(n.filter("kind <> 'supplier' or substring(id, 10) % 3 <> 0"), e.filter("relation <> 'IN_NATION'"))
+    return merge.dangling(n.filter("kind <> 'supplier' or substring(id, 10) % 3 <> 0"), e)
 
 
 # --- resolution ------------------------------------------------------------
 
 
-@query("with need as (select distinct l_suppkey, l_partkey from lineitem where l_suppkey % 5 = 0 and l_partkey % 400 < 3), has as (select distinct l_orderkey % 300 as who, l_partkey from lineitem), size as (select l_suppkey, count(*) as n from need group by 1) select who, l_suppkey as grp from has join need using (l_partkey) join size using (l_suppkey) group by who, l_suppkey, n having count(*) = n")
+@query("with need as (select distinct l_suppkey, l_partkey from lineitem), has as (select distinct l_orderkey % 5 as who, l_partkey from lineitem), size as (select l_suppkey, count(*) as n from need group by 1) select who, l_suppkey as grp from has join need using (l_partkey) join size using (l_suppkey) group by who, l_suppkey, n having count(*) = n")
 def relational_division(spark, d):
     li = table(spark, d, "lineitem")
     wants = li.select(F.col("l_suppkey").alias("grp"), F.col("l_partkey").alias("item"))
-    return resolve.relational_division(li.select((F.col("l_orderkey") % 300).alias("who"), F.col("l_partkey").alias("item")), wants, "who", "grp", "item")
+    return resolve.relational_division(li.select((F.col("l_orderkey") % 5).alias("who"), F.col("l_partkey").alias("item")), wants, "who", "grp", "item")
 
 
 _URLPATH = "regexp_replace(url, '^[a-z]+://', '')"
@@ -376,7 +377,7 @@ def suffix_unique_match(spark, d):
     return resolve.unique_suffix(f.select(F.regexp_extract("path", "[^/]*/[^/]*$", 0).alias("spec")).filter("spec <> ''"), f)
 
 
-@query("with n as (select l_orderkey * 10 + l_linenumber as ord, 'f' || (l_suppkey % 20) as file, l_partkey % 500 as a, l_partkey % 500 + l_quantity::int as b from lineitem where l_orderkey <= 400), s as (select event_id as site, 'f' || (user_id % 20) as file, (event_id * 7 % 500)::int as line from events where event_id < 300) select site, id from (select site, ord::varchar as id, row_number() over (partition by site order by b - a, ord) as r from s join n using (file) where line between a and b) where r = 1")
+@query("with n as (select l_orderkey * 10 + l_linenumber as ord, 'f' || (l_suppkey % 20) as file, l_partkey % 500 as a, l_partkey % 500 + l_quantity::int as b from lineitem), s as (select event_id as site, 'f' || (user_id % 20) as file, (event_id * 7 % 500)::int as line from events) select site, id from (select site, ord::varchar as id, row_number() over (partition by site order by b - a, ord) as r from s join n using (file) where line between a and b) where r = 1")
 def range_anchor(spark, d):
     n = table(spark, d, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("src/f"), F.col("l_suppkey") % 20).alias("source_file"), F.lit("function").alias("kind"),
@@ -386,30 +387,41 @@ def range_anchor(spark, d):
     return resolve.anchor(s, n)
 
 
-#: Orders as callers in the "file" of their customer, parts as declared functions in that of their brand.
+#: Suppliers call parts, which are declared in the "file" of their brand; some are methods, some are imported.
 def _calls(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.concat(F.lit("part:"), F.col("p_partkey")).alias("id"), F.col("p_name").alias("label"), F.lit("function").alias("kind"), F.col("p_brand").alias("source_file"))
+    label = F.when(F.col("p_partkey") % 7 == 0, F.concat_ws(" ", "p_name", "p_partkey")).otherwise(F.col("p_name"))
+    p = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("ord"), F.concat(F.lit("part:"), F.col("p_partkey")).alias("id"), label.alias("label"), F.lit("function").alias("kind"), F.col("p_brand").alias("source_file"))
     c = table(spark, d, "supplier").select((F.col("s_suppkey") + 10**6).alias("ord"), F.concat(F.lit("supplier:"), F.col("s_suppkey")).alias("id"), F.col("s_name").alias("label"), F.lit("module").alias("kind"), F.concat(F.lit("Brand#"), F.col("s_suppkey") % 6).alias("source_file"))
-    n = p.unionByName(c).withColumn("properties", F.expr("cast(map() as map<string,string>)"))
+    n = p.unionByName(c).withColumn("properties", F.expr("if(kind = 'function' and ord % 97 = 5, map('method', 'true'), cast(map() as map<string,string>))"))
+    brands = table(spark, d, "part").select("p_brand").distinct()
+    n = n.unionByName(brands.select(F.lit(2 * 10**6).cast("long").alias("ord"), F.concat(F.lit("file:"), "p_brand").alias("id"), F.col("p_brand").alias("label"), F.lit("file").alias("kind"), F.col("p_brand").alias("source_file"), F.expr("cast(map() as map<string,string>)").alias("properties")))
+    imports = p.filter("ord % 3 = 0").select("ord", F.concat(F.lit("file:Brand#"), F.col("ord") % 6).alias("source"), F.col("id").alias("target"), F.lit("imports").alias("relation"))
     li = table(spark, d, "lineitem").join(p.select(F.col("ord").alias("l_partkey"), "label"), "l_partkey")
-    raw = li.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.concat(F.lit("supplier:"), F.col("l_suppkey")).alias("caller_id"), F.col("label").alias("callee_label"), F.lit("").alias("source_file"), F.lit(None).cast("int").alias("loc"), (F.col("l_linenumber") == 7).alias("is_member_call"))
-    return n, merge.merge_edges(n.limit(0).select("ord", F.col("id").alias("source"), F.col("id").alias("target"), F.lit("").alias("relation"))), raw
+    raw = li.select(F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("ord"), F.concat(F.lit("supplier:"), F.col("l_suppkey")).alias("caller_id"), F.col("label").alias("callee_label"), F.lit("").alias("source_file"), F.lit(None).cast("int").alias("loc"), (F.col("l_linenumber") == 7).alias("is_member_call"))
+    return n, merge.merge_edges(imports), raw
 
 
 _KEY = "trim(regexp_replace(lower({}), '[^a-z0-9]+', '_', 'g'), '_')"
 
 
-@query(f"""with decl as (select p_partkey, p_brand as f, {_KEY.format('p_name')} as k from part), g as (select k, count(*) as n, count(distinct f) as nf from decl group by k), h as (select k, f, count(*) as n from decl group by k, f),
-c as (select l_linenumber = 7 as member, 'Brand#' || (l_suppkey % 6) as f, {_KEY.format('p_name')} as k from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey),
-o as (select case when h.n = 1 and not member then 'resolved_same_file' when h.n > 1 then 'resolved_overload_first' when not member and g.n = 1 then 'resolved_project_unique' when not member and g.nf = 1 then 'resolved_overload_first' when not member and g.n > 1 then 'dropped_ambiguous' else 'dropped_unknown' end as outcome from c join g using (k) left join h on h.k = c.k and h.f = c.f)
-select outcome, count(*)::bigint as n from o group by outcome""")
+_OUTCOMES = f"""with decl as (select p_partkey, p_brand as f, {_KEY.format("case when p_partkey % 7 = 0 then p_name || ' ' || p_partkey else p_name end")} as k, p_partkey % 97 = 5 as method from part),
+g as (select k, count(*) as n, count(distinct f) as nf, count(*) filter (method) as methods, min(p_partkey) as lone from decl group by k), h as (select k, f, count(*) as n, bool_or(method) as method from decl group by k, f),
+c as (select l_linenumber = 7 as member, 'Brand#' || (l_suppkey % 6) as f, k from lineitem join decl on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey),
+o as (select case when h.n = 1 and (not member or h.method) then 'resolved_same_file' when h.n > 1 then 'resolved_overload_first' when not member and g.n = 1 then 'resolved_project_unique' when not member and g.nf = 1 then 'resolved_overload_first'
+    when not member and g.n > 1 then 'dropped_ambiguous' when member and g.methods = 1 then 'resolved_member_method' else 'dropped_unknown' end as outcome,
+    case when h.n = 1 and (not member or h.method) or not member and h.n is null and g.n = 1 and lone % 3 = 0 and c.f = 'Brand#' || (lone % 6) and exists (from part where p_brand = c.f) then 'EXTRACTED' else 'INFERRED' end as confidence
+    from c join g using (k) left join h on h.k = c.k and h.f = c.f)"""
+_TALLIED = ["resolved_same_file", "resolved_project_unique", "resolved_member_method", "resolved_overload_first", "dropped_unknown", "dropped_ambiguous", "dropped_self"]
+
+
+@query(f"{_OUTCOMES} select outcome, confidence, count(*)::bigint as n from o group by outcome, confidence")
 def call_resolution_tiers(spark, d):
-    return resolve.call_outcomes(*_calls(spark, d)).groupBy("outcome").agg(F.count("*").alias("n"))
+    return resolve.call_outcomes(*_calls(spark, d)).groupBy("outcome", "confidence").agg(F.count("*").alias("n"))
 
 
-@query("select true as balances")
+@query(f"{_OUTCOMES} select count(*)::bigint as total, {', '.join(f"count(*) filter (outcome = '{x}')::bigint as {x}" for x in _TALLIED)}, round(count(*) filter (starts_with(outcome, 'resolved')) / count(*), 9) as resolved_rate, true as balances from o")
 def call_tally_balances(spark, d):
-    return resolve.call_tally(resolve.call_outcomes(*_calls(spark, d))).select("balances")
+    return resolve.call_tally(resolve.call_outcomes(*_calls(spark, d))).withColumn("resolved_rate", F.round("resolved_rate", 9))
 
 
 # --- entity resolution -----------------------------------------------------
@@ -454,8 +466,14 @@ def op_histogram(spark, d):
     return stats.histogram(_ops(spark, d))
 
 
-@query(f"""with h as (select event_type as op, {_B} as b, count(*) as n from events group by 1, 2), c as (select *, sum(n) over (partition by op order by b) as cum, 0.9 * sum(n) over (partition by op) as t from h)
-select op, round(arg_min(case when b >= 11 then 1024.0 else list_extract([0.0, {', '.join(map(str, fn.BUCKETS))}, 1024], b::int + 1) + (list_extract([0.0, {', '.join(map(str, fn.BUCKETS))}, 1024], b::int + 2) - list_extract([0.0, {', '.join(map(str, fn.BUCKETS))}, 1024], b::int + 1)) * greatest(0, least(1, (t - (cum - n)) / n)) end, b)::double, 6) as value from c where cum >= t group by op""")
+def _percentile(p):
+    """SQL: the percentile of each op's histogram h (op, b, n)."""
+    low, high = (f"list_extract([0.0, {', '.join(map(str, fn.BUCKETS))}, 1024], b::int + {k})" for k in (1, 2))
+    value = f"case when b >= {len(fn.BUCKETS)} then {float(fn.BUCKETS[-1])} else {low} + ({high} - {low}) * greatest(0, least(1, (t - (cum - n)) / n)) end"
+    return f"select op, arg_min({value}, b)::double as value from (select *, sum(n) over (partition by op order by b) as cum, {p} * sum(n) over (partition by op) as t from h) where cum >= t group by op"
+
+
+@query(f"with h as (select event_type as op, {_B} as b, count(*) as n from events group by 1, 2) select op, round(value, 6) as value from ({_percentile(0.9)})")
 def histogram_percentile(spark, d):
     return stats.histogram_percentile(stats.histogram(_ops(spark, d)), 0.9).select("op", F.round("value", 6).alias("value"))
 
@@ -481,14 +499,14 @@ def zero_hit_rate(spark, d):
 
 
 @query(f"""with e as (select *, strftime(date_trunc('day', ts), '%Y-%m-%dT%H:%M:%SZ') as shutdown from events), h as (select event_type as op, {_B} as b, count(*) as n from e where shutdown >= '2024-01-05' group by 1, 2),
-c as (select *, sum(n) over (partition by op order by b) as cum, 0.5 * sum(n) over (partition by op) as t from h)
-select e.event_type as op, count(*)::bigint as n, round(sum(value), 4) as total_ms, (select b from c where c.op = e.event_type and cum >= t order by b limit 1)::bigint as p50_bucket from e where shutdown >= '2024-01-05' group by 1""")
+p50 as ({_percentile(0.5)}), p90 as ({_percentile(0.9)})
+select e.event_type as op, count(*)::bigint as n, round(sum(value), 4) as total_ms, round(avg(value), 6) as mean_ms, (select round(value, 6) from p50 where op = e.event_type) as p50, (select round(value, 6) from p90 where op = e.event_type) as p90, false as mixed from e where shutdown >= '2024-01-05' group by 1""")
 def ledger_rollup(spark, d):
     ops = _ops(spark, d).withColumn("shutdown", F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd'T'HH:mm:ss'Z'")).withColumn("bucket", fn.latency_bucket(F.col("ms")))
     lines = ops.groupBy("shutdown", "op").agg(F.count("*").alias("count"), F.sum("ms").alias("total_ms"), F.array(*[F.count_if(F.col("bucket") == k) for k in range(stats.N_BUCKETS)]).alias("hist_ms"))
     ledger = lines.groupBy("shutdown").agg(F.map_from_entries(F.collect_list(F.struct("op", F.struct("count", "total_ms", "hist_ms")))).alias("ops")).withColumn("schema_version", F.lit(1))
     out = stats.rollup(ledger, "2024-01-05")
-    return out.select("op", "n", F.round("total_ms", 4).alias("total_ms"), fn.latency_bucket(F.col("p50") - 1e-9).cast("long").alias("p50_bucket"))
+    return out.select("op", "n", "mixed", F.round("total_ms", 4).alias("total_ms"), *[F.round(c, 6).alias(c) for c in ("mean_ms", "p50", "p90")])
 
 
 @query(f"{G} select (select count(*) from nodes)::bigint as nodes, 0::bigint as files, 0::bigint as memory_nodes, 0::bigint as semantic_nodes, (select count(distinct kind) from nodes)::bigint as kinds, (select count(*) from edges)::bigint as edges, (select count(distinct relation) from edges)::bigint as relations")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import unionfind
 from .base import settle
 
 MEMORY = "memory:"
@@ -82,14 +85,16 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8, levels: int
     the least by name on a tie.  Even and odd nodes move in turn, so that two
     don't swap for ever.  Then communities become nodes.  Every node gets a
     community, alone if it has no edge; the result depends on the tables alone.
+    One task makes the same moves where it can hold all links.
     """
     ids = nodes.select("id").distinct()
     e = edges.select("source", "target").join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
     w = settle(e.select(F.col("source").alias("a"), F.col("target").alias("b")).union(e.select("target", "source")).groupBy("a", "b").agg(F.sum(F.lit(1.0)).alias("w")))
-    two_m = w.agg(F.sum("w")).first()[0] or 0.0
+    size = w.agg(F.count("*").alias("n"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("two_m")).first()
+    two_m = size["two_m"]
+    if size["n"] <= unionfind.FINISH:
+        return ids.join(_moved_in_one_task(w, rounds, levels), "id", "left").select("id", F.coalesce("community", "id").alias("community"))
     home = settle(ids.select("id", F.col("id").alias("community")))
-    if not two_m:
-        return home
     for _ in range(levels):
         k = settle(w.groupBy(F.col("a").alias("v")).agg(F.sum("w").alias("k")))
         at = settle(k.select("v", F.col("v").alias("c"), "k"))
@@ -120,6 +125,55 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 8, levels: int
     return home.join(least, "community").select("id", F.col("first").alias("community"))
 
 
+def _moved_in_one_task(w: DataFrame, rounds: int, levels: int) -> DataFrame:
+    """(id, community) of the ends of links (a, b, w): the moves of :func:`communities` on arrays."""
+
+    def run(batches):
+        held = [(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_numpy(), b.column(3).to_numpy()) for b in batches if len(b)]
+        if not held:
+            return
+        a, b = (np.array([x for h in held for x in h[k]], object) for k in (0, 1))
+        w, turn_a = (np.concatenate([h[k] for h in held]) for k in (2, 3))
+        names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = ends[: len(a)], ends[len(a) :]
+        n, two_m = len(names), w.sum()
+        turn = np.zeros(n, np.int64)
+        turn[a] = turn_a
+        home = np.arange(n)
+        for _ in range(levels):
+            k = np.bincount(a, w, n)
+            at, moved, nodes = np.arange(n), False, np.unique(a)
+            other = a != b
+            for r in range(rounds):
+                total = np.bincount(at, k, n)
+                pair = np.concatenate([a[other] * n + at[b[other]], nodes * n + at[nodes]])
+                keys, which = np.unique(pair, return_inverse=True)
+                win = np.bincount(which, np.concatenate([w[other], np.zeros(len(nodes))]))
+                v, to = keys // n, keys % n
+                rest = total[to] - np.where(to == at[v], k[v], 0.0)
+                gain = np.round(win - k[v] * rest / two_m, 9)
+                order = np.lexsort((to, to != at[v], -gain, v))
+                first = order[np.unique(v[order], return_index=True)[1]]
+                new = at.copy()
+                mine = turn[v[first]] == r % 2
+                new[v[first][mine]] = to[first][mine]
+                went = bool((new != at).any())
+                at, moved = new, moved or went
+                if not went and r % 2:
+                    break
+            if not moved:
+                break
+            home = at[home]
+            links, which = np.unique(at[a] * n + at[b], return_inverse=True)
+            a, b, w = links // n, links % n, np.bincount(which, w)
+        first = np.full(n, n)
+        np.minimum.at(first, home, np.arange(n))
+        yield pa.RecordBatch.from_pydict({"id": names.tolist(), "community": names[first[home]].tolist()}, pa.schema([("id", pa.string()), ("community", pa.string())]))
+
+    rows = w.select("a", "b", "w", F.pmod(F.xxhash64("a"), F.lit(2)).alias("turn"))
+    return rows.coalesce(1).mapInArrow(run, "id string, community string")
+
+
 def layout(nodes: DataFrame) -> DataFrame:
     """(id, x, y): communities on a spiral, their members on circles within; two decimals.
 

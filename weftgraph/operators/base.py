@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,10 +10,17 @@ from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iteration with files in the shared checkpoint folder."""
+    """Cut the lineage of an iteration with files in the shared checkpoint folder.
+
+    Without ``spark.checkpoint.dir`` a machine of one's own (master ``local``)
+    gets a temporary folder; on a cluster that is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weft-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weft-"))
     return df.checkpoint(eager=True)
 
 

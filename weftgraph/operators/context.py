@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Iterable, Iterator
+from itertools import groupby, islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import lexical_terms, query_term_overlap, slice_token_cost
+from ..functions.scalar import ascii_lower, lexical_terms, query_term_overlap, slice_token_cost
 from .analyze import is_enrichment, is_memory
 from .base import first_by, settle, top_by
 from .search import idf_search, resolve
@@ -17,21 +19,36 @@ from .traverse import adjacency
 
 #: Overlap from which a node beyond the first hop is expanded, and bounds of the packers.
 THETA, SIBLINGS, CAPACITY = 0.05, 5, 50_000
-#: Candidates of one query that a packer gets at most, nearest and most central first.
-CANDIDATES = 5_000
 
 
 def focal(nodes: DataFrame, queries: DataFrame) -> DataFrame:
-    """(qid, id, ord_): the node a query (qid, query) names, else the most central that holds it, else three by lexical weight."""
+    """(qid, id, ord_): the node a query (qid, query) names, else the most central whose label or id holds it, else three by lexical weight."""
     q = queries.select("qid", "query").distinct()
     named = q.join(resolve(nodes, q.select(F.col("query").alias("name"))), F.col("query") == F.col("name")).select("qid", "id", F.lit(1).alias("tier"), F.lit(1).alias("ord_"))
     rest = q.join(named.select("qid"), "qid", "left_anti")
+    holding = holders(nodes, rest.select(F.col("query").alias("needle")).distinct())
+    holds = rest.join(first_by(holding, ["needle"], F.desc("centrality"), F.col("ord")), F.col("query") == F.col("needle")).select("qid", "id", F.lit(2).alias("tier"), F.lit(1).alias("ord_"))
     lexical = idf_search(nodes, rest, 3).select("qid", "id", F.lit(3).alias("tier"), F.col("rank").alias("ord_"))
-    both = named.unionByName(lexical)
+    both = named.unionByName(holds).unionByName(lexical)
     best = both.groupBy("qid").agg(F.min("tier").alias("tier"))
     return settle(both.join(best, ["qid", "tier"]).select("qid", "id", "ord_"))
 
 
+def holders(nodes: DataFrame, needles: DataFrame) -> DataFrame:
+    """(needle, id, centrality, ord) of nodes whose label or id holds a needle, A-Z in any case.
+
+    Enrichment and memory are left out, and nothing holds the empty needle.  What
+    holds a needle holds its first three characters (all of a shorter one): nodes
+    and needles meet by those in an equi-join, and the rest is checked there.
+    """
+    q = needles.filter("needle <> ''").select("needle", ascii_lower(F.col("needle")).alias("low"))
+    q = q.withColumn("gram", F.substring("low", 1, 3))
+    n = nodes.filter(~is_memory(F.col("id")) & ~is_enrichment(F.col("id"))).select("id", "centrality", "ord", ascii_lower(F.concat("label", F.lit("\0"), "id")).alias("both"))
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("both") - k + 1, F.lit(1))), lambda i: F.substring(F.col("both"), i, F.lit(k)))
+    met = n.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(grams(1), grams(2), grams(3))))))
+    return met.join(q, "gram").filter(F.contains("both", "low")).select("needle", "id", "centrality", "ord")
+
+
 def gather(nodes: DataFrame, edges: DataFrame, queries: DataFrame, seeds: DataFrame, depth: int = 2, adaptive: bool = True) -> DataFrame:
     """(qid, id, depth, via, overlap) around the seeds of each query.
 
@@ -91,31 +108,35 @@ def pack_greedy(rows: list[dict], budget: int) -> list[tuple[str, str, int]]:
 
     ``rows`` are in rank order, the focal with depth 0 first; it is always full.
     """
-    out, used = [], 0
-    for k, r in enumerate(rows):
-        if k and r["via"] == "same_file" and not r["overlap"]:
+    return [x for _, x in sorted(greedy(rows, budget))]
+
+
+def greedy(rows: Iterable[dict], budget: int) -> Iterator[tuple[int, tuple[str, str, int]]]:
+    """:func:`pack_greedy` with ranks, of a stream: what is omitted comes at once, the others at the end."""
+    kept: list[tuple[int, str, str, int]] = []
+    rank = used = 0
+    for r in rows:
+        if rank and r["via"] == "same_file" and not r["overlap"]:
             continue
+        rank += 1
         full = _tokens(len(entry(r, snippet=_snippet(r)).encode()))
         brief = _tokens(len(entry(r, brief=True).encode()))
-        if not k or used + full <= budget:
-            out.append((r["id"], "full", full))
+        if rank == 1 or used + full <= budget:
+            kept.append((rank, r["id"], "full", full))
             used += full
         elif used + brief <= budget:
-            out.append((r["id"], "brief", brief))
+            kept.append((rank, r["id"], "brief", brief))
             used += brief
         else:
-            out.append((r["id"], "omitted", 0))
+            yield rank, (r["id"], "omitted", 0)
     # the array around the entries counts: take from the end what is over
-    def total():
-        kept = [t for _, f, t in out[1:] if f != "omitted"]
-        return (out[0][2] if out else 0) + (_tokens(2 + sum(4 * t for t in kept) + len(kept) - 1) if kept else 1)
-
-    k = len(out) - 1
-    while k > 0 and total() > budget:
-        if out[k][1] != "omitted":
-            out[k] = (out[k][0], "omitted", 0)
-        k -= 1
-    return out
+    focus, size = kept[0][3] if kept else 0, sum(4 * x[3] for x in kept[1:])
+    while len(kept) > 1 and focus + _tokens(2 + size + len(kept) - 2) > budget:
+        at, id_, _, tokens = kept.pop()
+        size -= 4 * tokens
+        yield at, (id_, "omitted", 0)
+    for at, *x in kept:
+        yield at, tuple(x)
 
 
 def knapsack(weights: list[int], values: list[float], capacity: int) -> list[int]:
@@ -158,28 +179,37 @@ def pack_knapsack(rows: list[dict], budget: int) -> list[tuple[str, str, int]]:
 def pack(nodes: DataFrame, gathered: DataFrame, budget: int, packer: str = "greedy") -> DataFrame:
     """(qid, rank, id, form, tokens): each query's candidates packed into ``budget`` tokens.
 
-    A packer decides in sequence, so it runs once per query on its candidates,
-    of which the ``CANDIDATES`` nearest and most central are passed on: no
-    budget holds more.
+    A packer decides in sequence, for each query over all its candidates, the
+    nearest and most central first.  They are read as a stream: what greedy
+    holds is bounded by the budget, as an entry has some length.  For the
+    knapsack no more than capacity / weight candidates of one weight can be
+    chosen, those of most value; the others are left out before.
     """
     if "loc" in nodes.columns:
         start, end, column = F.col("loc.start_line"), F.col("loc.end_line"), F.col("loc.end_column")
     else:
         start, end, column = (F.lit(None).cast("int"),) * 3
     n = nodes.select("id", "label", "kind", "source_file", "centrality", start.alias("start_line"), slice_token_cost(F.col("label"), start, end, column).alias("cost"))
-    c = top_by(gathered.join(n, "id"), ["qid"], CANDIDATES, F.col("depth"), F.desc("centrality"), F.col("label"), F.col("id"), rank="place")
-    choose = {"greedy": pack_greedy, "knapsack": pack_knapsack}[packer]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("place").to_dict("records")
-        for r in rows:
-            if pd.isna(r["start_line"]):
-                r["start_line"] = None
-        out = choose(rows, budget)
-        return pd.DataFrame({"qid": [rows[0]["qid"]] * len(out), "rank": range(1, len(out) + 1), "id": [o[0] for o in out], "form": [o[1] for o in out], "tokens": [o[2] for o in out]})
+    c = top_by(gathered.join(n, "id"), ["qid"], 0, F.col("depth"), F.desc("centrality"), F.col("label"), F.col("id"), rank="place")
+    if packer == "knapsack":
+        weight = F.greatest(F.col("cost").cast("int"), F.lit(1))
+        value = F.when(F.col("via") == "same_file", F.col("overlap")).otherwise(F.lit(1.0) / (F.col("depth") + 1) + F.col("overlap")) * F.sqrt(weight)
+        c = c.withColumn("w", F.when(F.col("place") > 1, weight))  # the focus is no item
+        c = top_by(c.withColumn("v", value), ["qid", "w"], 0, F.desc("v"), F.col("place"), rank="of").filter(f"w is null or of * w <= {min(budget, CAPACITY)}").drop("w", "v", "of")
+    choose = {"greedy": greedy, "knapsack": lambda rows, most: enumerate(pack_knapsack(list(rows), most), 1)}[packer]
+    fields = c.columns
+
+    def run(batches):
+        rows = (r for b in batches for r in b.to_pylist())
+        for qid, mine in groupby(rows, key=lambda r: r["qid"]):
+            found = ((qid, rank, *packed) for rank, packed in choose(mine, budget))
+            while part := list(islice(found, 10_000)):
+                yield pa.RecordBatch.from_pydict(dict(zip(["qid", "rank", "id", "form", "tokens"], zip(*part, strict=True), strict=True)), pa.schema([("qid", key), ("rank", pa.int32()), ("id", pa.string()), ("form", pa.string()), ("tokens", pa.int64())]))
 
     kind = dict(c.dtypes)["qid"]
-    return c.groupBy("qid").applyInPandas(run, f"qid {kind}, rank int, id string, form string, tokens long")
+    key = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
+    c = c.repartition("qid").sortWithinPartitions("qid", "place").select(*fields)
+    return c.mapInArrow(run, f"qid {kind}, rank int, id string, form string, tokens long")
 
 
 def snippets(wanted: DataFrame, sources: DataFrame, lines: int = 40, chars: int = 2000) -> DataFrame:

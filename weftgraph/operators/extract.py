@@ -26,10 +26,13 @@ RESULT = (
     f"calls array<struct<caller_id: string, callee_label: string, line: int, is_member_call: boolean>>, relations array<struct<source_id: string, target_label: string, relation: string, context: string, allow_same_file: boolean>>, warnings array<string>"
 )
 
+#: More matches than a text can have: keeps those of one rule together.
+_MATCHES = 1 << 32
+
 # --- formats of the JVM ----------------------------------------------------
 
 _SQL_NAME = r'("[^"]+"|[A-Za-z_][A-Za-z0-9_$]*)'
-_SQL_QUAL = r'(?:(?:"[^"]+"|[A-Za-z_][A-Za-z0-9_$]*)\.)?'
+_SQL_QUAL = r'(?:(?:"[^"]+"|[A-Za-z_][A-Za-z0-9_$]*)\s*\.\s*)?'
 _SQL_NC = r'(?:"[^"]+"|[A-Za-z_][A-Za-z0-9_$]*)'
 
 #: What each format's patterns find, as (kind, pattern, group).
@@ -65,7 +68,7 @@ def _hits(kind: str, pattern: str, rule: int) -> Column:
     """The matches of a rule in ``text``, with kind, order and line."""
     text = F.col("text")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    return F.transform(found, lambda label, i: F.struct(label.alias("label"), F.lit(kind).alias("kind"), (i + rule * 10_000).alias("at"), _line(text, pattern, i).alias("start_line")))
+    return F.transform(found, lambda label, i: F.struct(label.alias("label"), F.lit(kind).alias("kind"), (i + F.lit(rule).cast("long") * _MATCHES).alias("at"), _line(text, pattern, i).alias("start_line")))
 
 
 def _line(text: Column, pattern: str, nth: Column) -> Column:
@@ -88,13 +91,13 @@ def sql_entities(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     ]
 
     def found(kind: str, pattern: str, k: int) -> Column:
-        names = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda raw, i: F.struct(normalize_sql_ident(raw).alias("label"), F.lit(kind).alias("kind"), (i + k * 10_000).alias("at")))
+        names = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda raw, i: F.struct(normalize_sql_ident(raw).alias("label"), F.lit(kind).alias("kind"), (i + F.lit(k).cast("long") * _MATCHES).alias("at"), _line(F.col("text"), pattern, i).alias("start_line")))
         return F.filter(names, lambda x: x["label"] != "")
 
-    itself = F.array(F.struct(name.alias("label"), F.lit("sql_file").alias("kind"), F.lit(-1).alias("at")))
+    itself = F.array(F.struct(name.alias("label"), F.lit("sql_file").alias("kind"), F.lit(-1).cast("long").alias("at"), F.lit(None).cast("int").alias("start_line")))
     every = f.select("path", F.explode(F.concat(itself, *[found(kind, pattern, k) for k, (kind, pattern) in enumerate(rules)])).alias("x")).select("path", "x.*")
     key = F.when(F.col("kind") == "sql_file", F.concat("path", F.lit(":sql_file:"), "label")).otherwise(F.concat("kind", F.lit(":"), "label"))
-    nodes = every.select("path", make_id(key).alias("id"), "label", "kind", "at")
+    nodes = every.select("path", make_id(key).alias("id"), "label", "kind", "at", "start_line")
     fk = rf"(?i)ALTER\s+TABLE\s+{_SQL_QUAL}{_SQL_NAME}\s+ADD\s+(?:CONSTRAINT\s+{_SQL_NC}\s+)?FOREIGN\s+KEY\s*\([^)]*\)\s*REFERENCES\s+{_SQL_QUAL}{_SQL_NAME}"
     both = f.select("path", F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(fk), F.lit(1)).alias("a"), F.regexp_extract_all("text", F.lit(fk), F.lit(2)).alias("b"))).alias("x"))
     table = lambda c: make_id(F.concat(F.lit("sql_table:"), normalize_sql_ident(F.col(c))))
@@ -318,10 +321,10 @@ def extract(files: DataFrame) -> DataFrame:
 
 def flatten(extractions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(nodes, edges, calls, relations) with ordinals: files in path order, then each file's own order."""
-    from ..operators.base import settle
-    from pyspark.sql import Window
+    from .base import settle
+    from .merge import renumber
 
-    rank = extractions.select("path", (F.row_number().over(Window.orderBy("path")).cast("long") * (1 << 24)).alias("base"))
+    rank = renumber(extractions.select(F.col("path").alias("ord"), "path")).select("path", ((F.col("ord") + 1) * (1 << 24)).alias("base"))
     x = settle(extractions.join(rank, "path"))
     at = lambda c: x.select("path", "base", F.posexplode(c).alias("k", "x")).select((F.col("base") + F.col("k")).alias("ord"), "path", "x.*")
     n = at("nodes").withColumnRenamed("path", "source_file").withColumn("source_file", F.when(F.col("kind").isin("module", "import"), "").otherwise(F.col("source_file")))

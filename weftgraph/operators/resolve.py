@@ -142,8 +142,9 @@ def call_outcomes(nodes: DataFrame, edges: DataFrame, calls: DataFrame) -> DataF
 def call_edges(outcomes: DataFrame) -> DataFrame:
     """CALLS edges: the first target with the outcome's confidence, siblings inferred."""
     e = outcomes.filter("targets is not null").select("ord", "caller_id", "confidence", F.posexplode("targets").alias("p", "target")).filter("target <> caller_id")
-    e = e.select((F.col("ord") * 1024 + F.least("p", F.lit(1023))).alias("ord"), F.col("caller_id").alias("source"), "target", F.lit("CALLS").alias("relation"), F.when(F.col("p") == 0, F.col("confidence")).otherwise("INFERRED").alias("confidence"))
-    return merge_edges(e)
+    e = e.select(F.struct("ord", "p").alias("ord"), F.col("caller_id").alias("source"), "target", F.lit("CALLS").alias("relation"), F.when(F.col("p") == 0, F.col("confidence")).otherwise("INFERRED").alias("confidence"))
+    # the first by call and place wins; as ordinals, a call's targets beyond 1,023 share the last
+    return merge_edges(e).withColumn("ord", F.col("ord.ord") * 1024 + F.least(F.col("ord.p"), F.lit(1023)))
 
 
 def call_tally(outcomes: DataFrame) -> DataFrame:

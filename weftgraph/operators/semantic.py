@@ -16,7 +16,8 @@ CHUNK_FILES, CHUNK_BYTES = 8, 1 << 20
 
 def symbol_index(nodes: DataFrame) -> DataFrame:
     """(name, id, type_like): what a document may call a node."""
-    return nodes.filter("kind <> 'file'").select(leading_identifier(F.col("label")).alias("name"), "id", F.col("kind").isin(*TYPES).alias("type_like")).filter("name <> ''")
+    first = [F.col("ord")] if "ord" in nodes.columns else []
+    return nodes.filter("kind <> 'file'").select(*first, leading_identifier(F.col("label")).alias("name"), "id", F.col("kind").isin(*TYPES).alias("type_like")).filter("name <> ''")
 
 
 def doc_links(docs: DataFrame, symbols: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -24,15 +25,17 @@ def doc_links(docs: DataFrame, symbols: DataFrame, text: str = "text", key: str
 
     A token of two letters and more counts if at most ``SHARED`` nodes have the
     name and it is compound, or capitalised and a type.  Names of few nodes
-    come first, then long ones.  Tokens meet names in one equi-join, the names
+    come first, then long ones; ``LINKS`` links of a document count, those of one
+    name in the nodes' order.  Tokens meet names in one equi-join, the names
     being counted before.
     """
     names = symbols.groupBy("name").agg(F.count("*").alias("n"), F.max("type_like").alias("typed")).filter(F.col("n") <= SHARED)
     good = names.filter((F.char_length("name") >= 2) & (is_compound_identifier(F.col("name")) | (is_capitalized(F.col("name")) & F.col("typed"))))
     tokens = docs.select(F.col(key).alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z_][A-Za-z0-9_]*"), F.lit(0)))).alias("name"))
     hit = tokens.join(good, "name")
-    ranked = top_by(hit, ["doc"], LINKS, F.col("n"), F.desc(F.char_length("name")), F.col("name"), rank="rank")
-    return ranked.join(symbols.select("name", "id"), "name").select("doc", "name", "id", "rank")
+    first = ["ord"] if "ord" in symbols.columns else []
+    links = hit.join(symbols.select("name", "id", *first), "name")
+    return top_by(links, ["doc"], LINKS, F.col("n"), F.desc(F.char_length("name")), F.col("name"), *map(F.col, first), F.col("id"), rank="rank").select("doc", "name", "id", "rank")
 
 
 def plan_chunks(files: DataFrame, group: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import unionfind
 from .base import settle, top_by
 
 DIRECTIONS = ("in", "out", "both")
@@ -85,11 +86,12 @@ def ranked_impact(nodes: DataFrame, reached: DataFrame, limit: int = 200) -> Dat
     return out.withColumn("truncated", F.lit(bool(limit)) & (F.col("total") > limit))
 
 
-def shortest_path(edges: DataFrame, source: str, target: str, longest: int = 64) -> DataFrame:
+def shortest_path(edges: DataFrame, source: str, target: str) -> DataFrame:
     """(step, id) along a shortest undirected path; empty if there is none.
 
     Breadth first from the source; a node's parent is the one found first, by
-    the parent's rank and the edge's ordinal.
+    the parent's rank and the edge's ordinal.  What was visited is left out of
+    each hop, so the search ends when nothing new is met, however long the path.
     """
     spark = edges.sparkSession
     start = spark.createDataFrame([(source,)], "id string")
@@ -98,7 +100,7 @@ def shortest_path(edges: DataFrame, source: str, target: str, longest: int = 64)
     adj = settle(adjacency(edges, "both").select("id", "nid", "eord"))
     front = start.withColumn("rank", F.lit(0).cast("long"))
     visited, hops = start, []
-    for _ in range(longest):
+    while True:
         met = front.join(adj, "id").select(F.col("nid").alias("id"), F.col("id").alias("parent"), "rank", "eord")
         new = met.groupBy("id").agg(F.min(F.struct("rank", "eord", "parent")).alias("by")).join(visited, "id", "left_anti")
         # a rank within the hop: what was found first expands first
@@ -109,8 +111,8 @@ def shortest_path(edges: DataFrame, source: str, target: str, longest: int = 64)
         if new.isEmpty():
             return start.limit(0).select(F.lit(0).alias("step"), "id")
         front, visited = new.select("id", "rank"), visited.unionByName(new.select("id"))
-    else:
-        return start.limit(0).select(F.lit(0).alias("step"), "id")
+        if len(hops) % 16 == 0:  # a plan of that many unions is cut
+            visited = settle(visited)
     path, at = [target], target
     for hop in reversed(hops):  # one row a hop
         at = hop.filter(F.col("id") == at).select("parent").first()[0]
@@ -128,11 +130,12 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, root): the least ``ord`` of each node's component under ``pairs`` (a, b) of ordinals.
 
     Each round every group hooks onto its least neighbour, hooks are flattened
-    by jumps, and the links left are those between groups.
+    by jumps, and the links left are those between groups; once they are few
+    enough, one task joins them.
     """
     edges = settle(pairs.filter("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     label = nodes.select("ord", F.col("ord").alias("root"))
-    while not edges.isEmpty():
+    while (left := edges.count()) > unionfind.FINISH:
         up = settle(edges.groupBy("hi").agg(F.min("lo").alias("up")))
         while True:
             step = up.select(F.col("hi").alias("up"), F.col("up").alias("next"))
@@ -145,4 +148,7 @@ def components(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         label = settle(label.join(to, "root", "left").select("ord", F.coalesce("up", "root").alias("root")))
         e = edges.join(up, "hi").select(F.col("up").alias("a"), F.col("lo").alias("root")).join(to, "root", "left").select("a", F.coalesce("up", "root").alias("b")).filter("a <> b")
         edges = settle(e.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
-    return label
+    if not left:
+        return label
+    last = unionfind.finish(edges).select(F.col("node").alias("root"), F.col("root").alias("up"))
+    return settle(label.join(last, "root", "left").select("ord", F.coalesce("up", "root").alias("root")))

@@ -25,7 +25,7 @@ LANGUAGE_NAMES = {
 }
 #: Directories that hold no source of the project.
 SKIPPED = [
-    ".git", ".hg", ".svn", ".cache", ".idea", ".vscode", ".agents", "build", "cmake-build-debug", "cmake-build-release", "coverage", "dist", ".next", "node_modules", "target", "vendor", "cgraph-out", "graphify-out",
+    ".git", ".hg", ".svn", ".cache", ".idea", ".vscode", ".agents", "build", "cmake-build-debug", "cmake-build-release", "coverage", "dist", ".next", "node_modules", "target", "vendor", "weftgraph-out",
     ".venv", "venv", "site-packages", "__pycache__", ".tox", ".nox", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".hypothesis", ".eggs",
     ".claude", ".codex", ".gemini", ".cursor", ".factory", ".opencode", ".windsurf", ".aider", ".specify",
 ]
