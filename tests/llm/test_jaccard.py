@@ -7,6 +7,7 @@ import pytest
 
 from weftgraph.llm import jaccard, shingles
 from weftgraph.llm.components import components
+from weftgraph.operators import unionfind
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -138,9 +139,7 @@ def test_parity_bounds_the_difference():
 
 @pytest.mark.parametrize("finish", [1 << 20, 40, 0])
 def test_components(spark, monkeypatch, finish):
-    from weftgraph.llm import components as module
-
-    monkeypatch.setattr(module, "FINISH", finish)
+    monkeypatch.setattr(unionfind, "FINISH", finish)
     rnd = random.Random(4)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(400, 460)] + [(500, 500), (1, 2), (2, 1)]
     root = {x: x for e in edges for x in e}

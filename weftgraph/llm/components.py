@@ -2,56 +2,24 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import unionfind
 from ._common import settle
 
-#: Links that one task may join: 16 MB.  More are contracted by all tasks first.
-FINISH = 1 << 20
-
-
-def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The nodes of links a - b and the least node that each reaches."""
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    root = np.arange(len(nodes))
-    while len(x):
-        # each root hooks onto the least root that a link leads to; then all point to where chains end
-        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-        while (root[root] != root).any():
-            root = root[root]
-        x, y = root[x], root[y]
-        x, y = x[x != y], y[x != y]
-    return nodes, nodes[root]
-
-
-def _finish(edges: DataFrame) -> DataFrame:
-    """(node, root) of at most ``FINISH`` links (hi, lo), in one task."""
-
-    def run(batches):
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-        if held:
-            nodes, root = _roots(*(np.concatenate(x) for x in zip(*held, strict=True)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["node", "root"])
-
-    return edges.coalesce(1).mapInArrow(run, "node long, root long")
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b), whole numbers; the root is the least node of its component.
 
     Every node hooks onto its least neighbour, if that is less; chains of hooks
     are halved until each points at a root; links between roots are the next
     round's.  Each round halves the groups that still have links, at least, and
-    no more than ``FINISH`` links are left to one task.  Self-links and repeated
+    no more than ``unionfind.FINISH`` links are left to one task.  Self-links and repeated
     links change nothing; links of a null end are left out.
     """
     edges = settle(links.filter("a is not null and b is not null").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     label = None
-    while (left := edges.count()) > FINISH:
+    while (left := edges.count()) > unionfind.FINISH:
         if label is None:
             label = edges.select(F.col("hi").alias("node")).union(edges.select("lo")).distinct().withColumn("root", F.col("node"))
             edges = edges.filter("hi <> lo")
@@ -68,8 +36,8 @@ def components(links: DataFrame) -> DataFrame:
         b = a.join(to, "root", "left").select("a", F.coalesce("up", "root").alias("b")).filter("a <> b")
         edges = settle(b.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     if label is None:
-        return settle(_finish(edges))
+        return settle(unionfind.finish(edges))
     if not left:
         return label
-    last = _finish(edges).select(F.col("node").alias("root"), F.col("root").alias("up"))
+    last = unionfind.finish(edges).select(F.col("node").alias("root"), F.col("root").alias("up"))
     return settle(label.join(last, "root", "left").select("node", F.coalesce("up", "root").alias("root")))
