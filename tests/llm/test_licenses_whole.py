@@ -59,3 +59,35 @@ def test_runs_agree_with_all_windows(spark):
     assert set(got) <= set(want) and all(got[k] == want[k] for k in got)
     # a licence is left out only where a better run of another overlaps it
     assert {i for i, _ in got} == {i for i, _ in want} and all(max(v for (j, _), v in got.items() if j == i) == max(v for (j, _), v in want.items() if j == i) for i, _ in got)
+
+
+def test_no_templates_odd_rows_and_clashing_names(spark):
+    schema = "doc_id long, text string, license string, n int"
+    rows = [(1, "Licensed under the MIT License.", "x", 1), (1, "Licensed under the MIT License.", "y", 2), (None, "Licensed under the MIT License.", None, None), (2, None, "z", 3), (3, "", "z", 3), (4, "w " * 50_000 + "Licensed under the MIT License.", "z", 3)]
+    df = spark.createDataFrame(rows, schema)
+    got = {(r.doc_id, r.license, r.dice, r.matches) for r in licenses.scan(df).collect()}
+    assert {(i, name) for i, name, _, _ in got} == {(1, "MIT"), (None, "MIT"), (4, "MIT")}
+    assert licenses.scan(df, {}).count() == licenses.scan(df, {"x": ["one"]}).count() == licenses.scan(df.limit(0)).count() == 0
+    # equal templates: the first one's licence
+    assert {r.license for r in licenses.scan(df, {"B": ["Licensed under the MIT License."], "A": ["licensed under the mit license"]}).collect()} == {"B"}
+
+
+def test_agrees_with_the_sql(spark):
+    import duckdb
+
+    rnd = random.Random(6)
+    names = [t for ts in licenses.TEMPLATES.values() for t in ts if len(t) < 300]
+    texts = []
+    for _ in range(40):
+        parts = []
+        for _ in range(rnd.randrange(1, 6)):
+            t = rnd.choice(names).split()
+            for _ in range(rnd.randrange(4)):
+                t[rnd.randrange(len(t))] = rnd.choice(["foo", "the", "license.", "bar"])
+            parts.append(" ".join(t) + rnd.choice(["", ".", "!"]))
+        texts.append("".join(p + rnd.choice([" ", "\n", "\n \n", ". "]) for p in parts))
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    want = {(i, name): (round(dice, 9), n) for i, name, dice, n in con.sql(licenses.oracle()).fetchall()}
+    assert {k: (round(v[0], 9), v[1]) for k, v in found(spark, texts).items()} == want

@@ -15,6 +15,7 @@ enough others of the template near behind it, all ends are tried.
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,11 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(_pairs(words))
 
 
+def _bigrams_of(text: str) -> bool:
+    """Whether a template has two words."""
+    return len(re.findall("[0-9A-Za-z]+", text)) > 1
+
+
 def template_table(spark: SparkSession, templates: dict[str, list[str]]) -> DataFrame:
     """(template, license, bigram, t_size) of every template."""
     rows = [(k, name, text) for k, (name, text) in enumerate((n, t) for n, ts in templates.items() for t in ts)]
@@ -158,14 +164,19 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, doc_id: s
     of runs that overlap one counts, and one that has the same words as a line,
     sentence, paragraph or text that matches is no other candidate.  A candidate
     matches the template of the highest coefficient from ``threshold`` on, ties
-    to the first template.
+    to the first template.  An empty table, or no templates at all, gives an
+    empty result.
     """
     spark = docs.sparkSession
+    if not any(_bigrams_of(t) for ts in templates.values() for t in ts):
+        return docs.select(F.col(doc_id).alias("doc_id"), F.lit("").alias("license"), F.lit(0.0).alias("dice"), F.lit(0).cast("long").alias("matches")).limit(0)
     known = template_table(spark, templates)
     # the templates are an argument of the driver's: they have a few hundred bigrams
     rows = known.select("template", "license", "t_size", "bigram").collect()
     grams = sorted({r["bigram"] for r in rows})
-    least, most = threshold / (2 - threshold) * min(r["t_size"] for r in rows), (2 - threshold) / threshold * max(r["t_size"] for r in rows)
+    # shares of the threshold, let off what floating point may lose where a bound is met exactly
+    low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
+    least, most = low * min(r["t_size"] for r in rows), high * max(r["t_size"] for r in rows)
     anchor = _anchors(rows, threshold)
     templates_ = _known(rows, threshold)
     d = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter(F.col("text").rlike(anchor))
@@ -182,9 +193,9 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, doc_id: s
     u = _once(u, "g", F.array_distinct("b")).withColumn("n", F.size("g")).filter((F.col("n") >= least) & (F.col("n") <= most))
     u = _once(u.select("doc_id", "u", F.xxhash64("b").alias("words"), "n", "g"), "hit", F.array_intersect("g", F.array(*[F.lit(g) for g in grams])))
     # what all templates know of it bounds what one of them shares
-    u = u.filter(F.size("hit") >= threshold / 2 * (F.col("n") + min(r["t_size"] for r in rows)))
+    u = u.filter(F.size("hit") >= (threshold / 2 - 1e-9) * (F.col("n") + min(r["t_size"] for r in rows)))
     met = u.select("doc_id", F.xxhash64("u").alias("u"), "words", "n", F.explode("hit").alias("bigram")).distinct().join(F.broadcast(known), "bigram")
-    met = met.filter((F.col("n") >= threshold / (2 - threshold) * F.col("t_size")) & (F.col("n") <= (2 - threshold) / threshold * F.col("t_size")))
+    met = met.filter((F.col("n") >= low * F.col("t_size")) & (F.col("n") <= high * F.col("t_size")))
     dice = met.groupBy("doc_id", "u", "words", "n", "template", "license", "t_size").agg((F.lit(2.0) * F.count("*") / (F.col("n") + F.col("t_size"))).alias("dice")).filter(F.col("dice") >= threshold)
     best = dice.groupBy("doc_id", "u", "words").agg(F.max(F.struct("dice", (-F.col("template")).alias("t"), "license")).alias("b"))
     best = best.select("doc_id", "words", "b.license", "b.dice", F.lit(1).alias("unit"))
@@ -203,18 +214,36 @@ def oracle(templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRES
     """DuckDB SQL for :func:`scan` over ``documents``."""
     rows = [(k, name, text) for k, (name, text) in enumerate((n, t) for n, ts in templates.items() for t in ts)]
     values = ", ".join("({}, '{}', '{}')".format(k, n, t.replace("'", "''")) for k, n, t in rows)
-    grams = "list_distinct(list_transform(range(len(w) - 1), lambda i: w[i + 1] || ' ' || w[i + 2]))"
     words = "regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z]+')"
+    grams = "list_transform(range(len({0}) - 1), lambda i: {0}[i + 1] || ' ' || {0}[i + 2])"
+    need, span = f"greatest(1, ceil({threshold} / {2 - threshold} * t_size - 1e-9))", f"floor({2 - threshold} / {threshold} * t_size + 1e-9)"
+    better = "y.dice > x.dice or y.dice = x.dice and (y.template < x.template or y.template = x.template and y.a < x.a)"
     return f"""
     with t0(template, license, t) as (values {values}),
     t1 as (select template, license, {words.format("t")} as w from t0),
-    t2 as (select template, license, {grams} as g, len({grams}) as t_size from t1),
+    t2 as (select template, license, list_distinct({grams.format("w")}) as g, len(list_distinct({grams.format("w")})) as t_size from t1),
     t3 as (select template, license, t_size, unnest(g) as bigram from t2),
-    u0 as (select distinct doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'), [text]))) as u from documents where text is not null),
+    -- lines, sentences, paragraphs and texts
+    u0 as (select distinct doc_id, unnest(list_distinct(list_concat(string_split(text, chr(10)), string_split(regexp_replace(text, '([.!?])[ \t\n\x0B\f\r]+', '\\1' || chr(1), 'g'), chr(1)), regexp_split_to_array(text, '\n[ \t\r]*\n'), [text]))) as u from documents where text is not null),
     u1 as (select doc_id, u, {words.format("u")} as w from u0),
-    u2 as (select doc_id, u, len(w) as words, {grams} as g from u1),
-    u3 as (select doc_id, u, len(g) as n, unnest(g) as bigram from u2 where words - 1 <= (select max(t_size) from t2) * {2 - threshold} / {threshold}),
-    dice as (select doc_id, u, template, license, 2.0 * count(*) / (n + t_size) as dice from u3 join t3 using (bigram)
-        group by doc_id, u, n, template, license, t_size having 2.0 * count(*) / (n + t_size) >= {threshold}),
-    best as (select doc_id, u, arg_min(license, (-dice, template)) as license, max(dice) as dice from dice group by doc_id, u)
-    select doc_id, license, max(dice)::double as dice, count(*)::bigint as matches from best group by doc_id, license"""
+    u2 as (select doc_id, u, {grams.format("w")} as b from u1),
+    u3 as (select doc_id, u, b, len(list_distinct(b)) as n, unnest(list_distinct(b)) as bigram from u2),
+    dice as (select doc_id, u, b, template, license, 2.0 * count(*) / (n + t_size) as dice from u3 join t3 using (bigram)
+        group by doc_id, u, b, n, template, license, t_size having 2.0 * count(*) / (n + t_size) >= {threshold}),
+    best as (select doc_id, u, b, arg_min(license, (-dice, template)) as license, max(dice) as dice from dice group by doc_id, u, b),
+    -- runs: from a bigram of a template that has enough others near behind it to the best of them
+    d1 as (select row_number() over () as d, doc_id, {words.format("text")} as w from documents where text is not null),
+    d2 as (select d, doc_id, {grams.format("w")} as b from d1),
+    d3 as (select d, unnest(b) as bigram, unnest(range(len(b))) as p from d2),
+    d4 as (select d, p, bigram, lag(p) over (partition by d, bigram order by p) as before from d3 where d in (select d from d3 join t3 using (bigram))),
+    place as (select d, p, template, t_size, lead(p, ({need} - 1)::int) over (partition by d, template order by p) - p as far from d4 join t3 using (bigram)),
+    start as (select d, p as a, template, t_size, {span} as span from place where far < {span}),
+    walk as (select s.*, i.p, (before is null or before < a)::int as new, (t3.bigram is not null)::int as known from start s join d4 i on i.d = s.d and i.p >= a and i.p < a + span left join t3 on t3.template = s.template and t3.bigram = i.bigram),
+    sums as (select *, sum(new) over w as n, sum(new * known) over w as hit from walk window w as (partition by d, template, a order by p)),
+    ends as (select d, template, t_size, a, p, 2.0 * hit / (n + t_size) as dice from sums where new = 1 and known = 1),
+    runs0 as (select d, template, t_size, a, max(dice) as dice, arg_max(p, (dice, -p)) - a + 1 as n from ends group by d, template, t_size, a having max(dice) >= {threshold}),
+    runs1 as (select * from runs0 x where not exists (from runs0 y where y.d = x.d and y.template = x.template and abs(y.a - x.a) < x.t_size and (y.dice > x.dice or y.dice = x.dice and y.a < x.a))),
+    runs2 as (select * from runs1 x where not exists (from runs1 y where y.d = x.d and y.a < x.a + x.n and x.a < y.a + y.n and ({better}))),
+    runs as (select doc_id, license, b[a + 1:a + n] as b, dice, 0 as unit from runs2 join d2 using (d) join t2 using (template)),
+    both_ as (select doc_id, license, b, max(dice) as dice, greatest(sum(unit), 1) as n from (select doc_id, license, b, dice, 1 as unit from best union all from runs) group by doc_id, license, b)
+    select doc_id, license, max(dice)::double as dice, sum(n)::bigint as matches from both_ group by doc_id, license"""
