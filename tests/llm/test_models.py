@@ -130,3 +130,12 @@ def test_held_out_matches_zlib(spark):
 
     for r in spark.range(50).select("id", held_out(F.col("id")).alias("h")).collect():
         assert r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2)
+
+
+def test_neighbours_of_small_leaves_are_as_many_as_asked(spark):
+    rnd = np.random.default_rng(4)
+    centres = rnd.normal(size=(60, 8)) * 20
+    x = np.concatenate([c + rnd.normal(size=(3 if j % 2 else 60, 8)) * 0.01 for j, c in enumerate(centres)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, "vec_id % 7 = 0", 20, recall=0.5).groupBy("query_id").count().collect()
+    assert len(got) == -(-len(x) // 7) and {r["count"] for r in got} == {20}

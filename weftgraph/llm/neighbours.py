@@ -62,15 +62,16 @@ class Tree:
                 todo += [(kid, rows[best == k]) for k, kid in enumerate(kids) if (best == k).any()]
         return out
 
-    def visits(self, q: np.ndarray, n: int) -> list[int]:
-        """The first ``n`` leaves of a query, best bin first."""
+    def visits(self, q: np.ndarray, n: int, sizes: dict[int, int] | None = None, least: int = 0) -> list[int]:
+        """The first ``n`` leaves of a query, best bin first, and further ones until their ``sizes`` make ``least``."""
         y = np.append(q, 0.0)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < n:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < n or (sizes is not None and held < least)):
             _, node = heapq.heappop(queue)
             kids = self.children[node]
             if not kids:
                 out.append(self.leaf[node])
+                held += sizes.get(out[-1], 0) if sizes else 0
                 continue
             d = ((self.centres[kids] - y) ** 2).sum(axis=1)
             for k, v in zip(kids, d.tolist(), strict=True):
@@ -228,18 +229,20 @@ def search(vectors: DataFrame, queries: str, k: int = 20, vec_id: str = "vec_id"
     else:
         n_visits = tree.n_leaves
 
+    # a row for each leaf, of which there are LEAVES at most
+    counts = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
+
     def route(batches):
         for b in batches:
             m = _matrix(b.column(1))
-            leaves = [tree.visits(v, n_visits) for v in m]
+            leaves = [tree.visits(v, n_visits, counts, k + 1) for v in m]  # the query itself is in one of them
             size = [len(x) for x in leaves]
             at = pa.array(np.repeat(np.arange(len(m)), size))
             place = pa.array(np.concatenate([np.arange(n) for n in size]) if size else [], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(leaves) if leaves else [], pa.int32()), place], ["query_id", "q", "leaf", "place"])
 
     routed = settle(asking.mapInArrow(route, "query_id long, q binary, leaf int, place int"))
-    # a row for each leaf, of which there are LEAVES at most
-    cx = {r["leaf"]: -(-r["count"] // VECTORS) for r in indexed.groupBy("leaf").count().collect()}
+    cx = {leaf: -(-n // VECTORS) for leaf, n in counts.items()}
     cq = {r["leaf"]: -(-r["count"] // VISITS) for r in routed.groupBy("leaf").count().collect()}
     spark = x.sparkSession
     parts = spark.createDataFrame([(leaf, c, cq[leaf]) for leaf, c in cx.items() if leaf in cq], "leaf int, nx int, nq int")
