@@ -105,7 +105,26 @@ def test_interfaces_dispatch_to_full_implementers(spark):
     p = {"interface_method": "true"}
     n = nodes(spark, ("I", "matcher", "type"), ("im", "Match", "method", "", 0.0, None, p), ("A", "A", "type"), ("am", "Match", "method"), ("B", "B", "type"), ("bm", "Other", "method"))
     e = edges(spark, ("I", "im", "method"), ("am", "A", "method_of"), ("bm", "B", "method_of"))
-    assert {tuple(r) for r in resolve.interface_dispatch(n, e).collect()} == {("A", "I", "implements"), ("im", "am", "dispatches_to")}
+    assert {(r.source, r.target, r.relation) for r in resolve.interface_dispatch(n, e).collect()} == {("A", "I", "implements"), ("im", "am", "dispatches_to")}
+    # a method that names its trait is bound to it though its type lacks the other promise
+    n = n.unionByName(nodes(spark, ("jm", "Other", "method", "", 0.0, None, p), ("J", "J", "type")))
+    e = e.unionByName(edges(spark, ("I", "jm", "method"), ("am", "I", "impl_trait"), ("bm", "J", "impl_trait")))
+    assert resolve.interface_dispatch(n, e).isEmpty()
+    assert {(r.source, r.target, r.relation) for r in resolve.trait_dispatch(n, e).collect()} == {("im", "am", "dispatches_to"), ("A", "I", "implements")}
+
+
+def test_imports_follow_reexports(spark):
+    """An item that a file only re-exports leads to where it is declared; a circle ends where it is met again."""
+    stub = lambda i, label, spec, **more: (i, label, "import", "", 0.0, None, {"import_path": spec} | more)
+    n = nodes(
+        spark, ("hub", "hub.rs", "file", "task/hub.rs"), ("mid", "mid.rs", "file", "task/mid.rs"), ("task_end_rs_kiln", "Kiln", "type", "task/end.rs"), ("end", "end.rs", "file", "task/end.rs"),
+        stub("a", "Kiln", "task/hub", item="Kiln"), stub("b", "Loop", "task/hub", item="Loop"), stub("c", "Other", "task/hub", item="Other"),
+        stub("r1", "Kiln", "task/mid", item="Kiln", reexport="true"), stub("r2", "Kiln", "task/end", item="Kiln", reexport="true"),
+        stub("r3", "Loop", "task/mid", item="Loop", reexport="true"), stub("r4", "Loop", "task/hub", item="Loop", reexport="true"),
+    )
+    e = edges(spark, ("x", "a", "imports"), ("y", "b", "imports"), ("z", "c", "imports"), ("hub", "r1", "re_exports"), ("mid", "r2", "re_exports"), ("hub", "r3", "re_exports"), ("mid", "r4", "re_exports"))
+    out = {(r.source, r.target) for r in resolve.resolve_imports(n, e)[1].filter("relation = 'imports'").collect()}
+    assert out == {("x", "task_end_rs_kiln"), ("y", "hub"), ("z", "hub")}
 
 
 def test_dedup_guards_and_merges(spark):

@@ -32,13 +32,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import catalogue_more  # noqa: F401  registers more
+    from . import catalogue_more, catalogue_rules  # noqa: F401  register more
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import catalogue_more  # noqa: F401
+    from . import catalogue_more, catalogue_rules  # noqa: F401
 
     return dict(_SQL)
 

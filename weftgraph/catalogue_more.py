@@ -50,7 +50,9 @@ def file_changes(spark, d):
     return files.classify_changes(now, old)
 
 
-@query()
+@query("""with recursive leaf as (select row_number() over (order by 'd/' || doc_id) - 1 as k, sha256('\\x00'::blob || unhex(lpad(printf('%x', strlen('d/' || doc_id)), 8, '0')) || encode('d/' || doc_id) || unhex(sha256(text))) as h, count(*) over () as n from documents),
+t as (select k, h, n from leaf union all select k // 2, case when count(*) = 1 then max(h) else sha256('\\x01'::blob || unhex(max(h) filter (k % 2 = 0)) || unhex(max(h) filter (k % 2 = 1))) end, (n + 1) // 2 from t where n > 1 group by k // 2, n)
+select 'sha256-merkle-v1' as algorithm, h as sha256, (select count(*) from documents)::bigint as leaf_count from t where n = 1""")
 def content_root(spark, d):
     docs = table(spark, d, "documents")
     return files.content_root(docs.select(F.concat(F.lit("d/"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256")))

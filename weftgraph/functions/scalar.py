@@ -245,10 +245,24 @@ def line_of(text: Column, offset: Column) -> Column:
     return F.size(F.split(F.substring(text, F.lit(1), offset), "\n")).cast("int")
 
 
+def _tenths(x: Column) -> Column:
+    """A positive number to one decimal, as its exact binary value rounds; Java would round the shortest decimal.
+
+    20x - (2k + 1) has the sign that decides, and is free of error where it is near 0.
+    """
+    k = F.floor(x * 10)
+    over = (x * 16 - (k * 2 + 1)) + x * 4
+    up = (over > 0) | ((over == 0) & (k % 2 == 1))
+    return F.format_string("%.1f", (k + up.cast("int")) / 10)
+
+
 def human_duration(ms: Column) -> Column:
+    """Whole milliseconds, tenths of seconds or whole minutes; halves of whole numbers go up."""
+    minutes = F.floor(ms / 60000 + 0.5).cast("long")
     return (
-        F.when(ms < 1000, F.format_string("%.0f ms", ms)).when(ms < 60000, F.format_string("%.1f s", ms / 1000)).otherwise(F.format_string("%.1f min", ms / 60000))
-    )
+        F.when(ms < 1000, F.concat(F.floor(ms + 0.5).cast("string"), F.lit(" ms"))).when(ms < 60000, F.concat(_tenths(ms / 1000), F.lit(" s")))
+        .otherwise(F.concat(minutes.cast("string"), F.when(minutes == 1, " minute").otherwise(" minutes")))
+    )
 
 
 def iso8601(ts: Column) -> Column:

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import file_name, make_id, parent_of, path_suffixes, stem_of
-from .base import first_by
-from .merge import merge_edges
+from .base import first_by, settle
+from .merge import merge_edges, rewrite_edges
 
 #: Callees that are built into their languages and never resolve.
 BUILTINS = [
@@ -46,8 +46,9 @@ def resolve_imports(nodes: DataFrame, edges: DataFrame, aliases: DataFrame | Non
     ``import_path``.  Tiers: the file of that path, or of that path with a
     source suffix; ``index``/``__init__`` of that directory; the same after
     aliases (prefix, replacement, ord); a file that alone ends so.  A stub for
-    an item binds to the symbol ``file:item`` if there is one.  Unbound stubs
-    go, with their edges.
+    an item binds to the symbol ``file:item`` if there is one, else what the file
+    re-exports under that name (property ``reexport``) is followed.  Unbound
+    stubs go, with their edges.
     """
     is_stub = F.col("kind").isin("module", "import")
     stubs = nodes.filter(is_stub).select("id", F.element_at("properties", F.lit("import_path")).alias("spec"), F.element_at("properties", F.lit("item")).alias("item")).filter("spec is not null")
@@ -59,7 +60,9 @@ def resolve_imports(nodes: DataFrame, edges: DataFrame, aliases: DataFrame | Non
     )).alias("x")).select("id", "ord", "x.spec", "x.tier").filter("spec is not null")
     asked = stubs.select(F.col("id").alias("stub"), "spec", F.lit(0).alias("extra"))
     if aliases is not None:
-        hit = stubs.join(F.broadcast(aliases.withColumnRenamed("ord", "aord")), F.col("spec").startswith(F.col("prefix")))
+        # a spec meets the aliases by its prefixes, in an equi-join
+        starts = F.transform(F.sequence(F.lit(0), F.char_length("spec")), lambda i: F.substring(F.col("spec"), F.lit(1), i))
+        hit = stubs.withColumn("prefix", F.explode(starts)).join(aliases.withColumnRenamed("ord", "aord"), "prefix")
         asked = asked.unionByName(hit.select(F.col("id").alias("stub"), F.concat("replacement", F.expr("substring(spec, length(prefix) + 1)")).alias("spec"), (F.lit(10) + F.col("aord")).alias("extra")))
     direct = asked.join(known, "spec").select("stub", F.col("id").alias("file"), (F.col("tier") + F.col("extra")).alias("tier"), "ord")
     alone = asked.join(unique_suffix(asked.select("spec"), files.select("id", "path").union(files.select("id", bare.alias("path")))), "spec").select("stub", F.col("id").alias("file"), F.lit(1000).alias("tier"), F.lit(0).cast("long").alias("ord"))
@@ -67,21 +70,44 @@ def resolve_imports(nodes: DataFrame, edges: DataFrame, aliases: DataFrame | Non
     item = stubs.filter("item is not null and item <> ''").select(F.col("id").alias("stub"), "item").join(bound, "stub").join(files.select(F.col("id").alias("file"), "path"), "file")
     item = _keyed(item.withColumn("_t", F.concat_ws(":", "path", "item")), "_t", "symbol").join(nodes.select(F.col("id").alias("symbol")), "symbol", "left_semi")
     remap = bound.join(item.select("stub", "symbol"), "stub", "left").select(F.col("stub").alias("old"), F.coalesce("symbol", "file").alias("new"))
-    from .merge import rewrite_edges
+    if "label" in nodes.columns:
+        remap = _follow(nodes, edges, settle(remap))
 
     lost = nodes.filter(is_stub).select("id").join(remap.select(F.col("old").alias("id")), "id", "left_anti")
     return nodes.filter(~is_stub), rewrite_edges(edges, remap, True, lost)
 
 
-def chase_reexports(edges: DataFrame, hops: int = 8) -> DataFrame:
-    """(old, new): where chains of ``re_exports`` from a file end, ``hops`` at most, cycles cut."""
-    step = first_by(edges.filter("relation = 're_exports'"), ["source"], F.col("ord")).select(F.col("source").alias("at"), F.col("target").alias("next"))
-    out = step.select(F.col("at").alias("old"), F.col("next").alias("new"), F.array("at", "next").alias("seen"))
-    for _ in range(hops - 1):
-        out = out.join(step.withColumnRenamed("at", "new"), "new", "left")
-        on = F.col("next").isNotNull() & ~F.array_contains("seen", F.col("next"))
-        out = out.select("old", F.when(on, F.col("next")).otherwise(F.col("new")).alias("new"), F.when(on, F.concat("seen", F.array("next"))).otherwise(F.col("seen")).alias("seen"))
-    return out.select("old", "new")
+def chase_reexports(bound: DataFrame, exported: DataFrame, hops: int = 8) -> DataFrame:
+    """(stub, file): where imports (stub, name, file) end that follow what files re-export by name.
+
+    ``exported`` holds (file, name, to), one a file and name.  A chain goes on
+    while it stands at a file that re-exports the name to somewhere else,
+    ``hops`` at most, and stops at the first file that it comes to again.
+    """
+    live = bound.select("stub", "name", "file", F.expr("cast(array() as array<string>)").alias("seen"))
+    trail = live.select("stub", "file", F.lit(0).alias("hop"))
+    for hop in range(1, hops + 1):
+        on = live.filter(~F.array_contains("seen", F.col("file"))).join(exported, ["file", "name"]).filter("to <> file")
+        live = settle(on.select("stub", "name", F.col("to").alias("file"), F.concat("seen", F.array("file")).alias("seen")))
+        if live.isEmpty():
+            break
+        trail = trail.unionByName(live.select("stub", "file", F.lit(hop).alias("hop")))
+    return trail.groupBy("stub").agg(F.max_by("file", "hop").alias("file"))
+
+
+def _follow(nodes: DataFrame, edges: DataFrame, remap: DataFrame) -> DataFrame:
+    """``remap`` (old, new) in which items that ended at a file that only re-exports them go on to where they are declared."""
+    marked = nodes.filter((F.col("kind").isin("import", "module")) & (F.element_at("properties", F.lit("reexport")) == "true"))
+    owner = first_by(edges.filter("relation = 're_exports'").select("ord", F.col("source").alias("file"), F.col("target").alias("id")), ["id"], F.col("ord")).drop("ord")
+    given = _keyed(marked, "label", "name").select("id", "name", "ord").join(owner, "id").join(remap.select(F.col("old").alias("id"), F.col("new").alias("to")), "id")
+    exported = settle(first_by(given, ["file", "name"], F.col("ord")).select("file", "name", "to"))
+    if exported.isEmpty():
+        return remap
+    files = nodes.filter("kind = 'file'").select(F.col("id").alias("new"))
+    at_file = remap.join(files, "new", "left_semi").select(F.col("old").alias("id"), F.col("new").alias("file"))
+    asked = _keyed(nodes.filter("kind = 'import'"), "label", "name").select("id", "name").join(at_file, "id")
+    ends = chase_reexports(asked.withColumnRenamed("id", "stub"), exported).select(F.col("stub").alias("old"), F.col("file").alias("_end"))
+    return remap.join(ends, "old", "left").select("old", F.coalesce("_end", "new").alias("new"))
 
 
 def method_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -102,10 +128,12 @@ def call_outcomes(nodes: DataFrame, edges: DataFrame, calls: DataFrame) -> DataF
     n = nodes.select("id", "label", "kind", "source_file", "ord")
     methods = method_nodes(nodes, edges)
     base = calls.filter((F.col("callee_label") != "") & ~F.col("callee_label").isin(BUILTINS))
-    base = _keyed(base.join(n.select(F.col("id").alias("caller_id"), F.col("source_file").alias("caller_file")), "caller_id"), "callee_label", "key")
+    # calls and declarations are each asked for several times below
+    base = settle(_keyed(base.join(n.select(F.col("id").alias("caller_id"), F.col("source_file").alias("caller_file")), "caller_id"), "callee_label", "key"))
     decl = _keyed(n.filter(F.col("kind").isin(*CALLABLE)), "label", "key").select("id", "key", "source_file", "ord")
     wanted = base.select("key").distinct()
     decl = decl.join(wanted, "key", "left_semi").join(methods.withColumn("is_method", F.lit(True)), "id", "left").withColumn("is_method", F.coalesce("is_method", F.lit(False)))
+    decl = settle(decl)
     item = F.struct("ord", "id")
     ids = lambda c: F.transform(F.sort_array(F.collect_list(c)), lambda x: x["id"])
     here = decl.groupBy("key", F.col("source_file").alias("caller_file")).agg(ids(item).alias("here"), F.max("is_method").alias("here_method"))
@@ -115,12 +143,12 @@ def call_outcomes(nodes: DataFrame, edges: DataFrame, calls: DataFrame) -> DataF
     stats = stats.join(few, "key", "left")
     only = decl.filter("is_method").groupBy("key").agg(F.count("*").alias("n_methods"), F.min("id").alias("method"))
     b = base.join(here, ["key", "caller_file"], "left").join(stats, "key", "left").join(only, "key", "left")
-    imports = edges.filter(F.col("relation").isin("imports", "imports_from")).select(F.col("source").alias("file_id"), F.col("target").alias("imported")).distinct()
+    brought = lambda *relations: edges.filter(F.col("relation").isin(*relations)).select(F.col("source").alias("file_id"), F.col("target").alias("imported")).distinct()
     file_of = n.filter("kind = 'file'").select(F.col("id").alias("file_id"), F.col("source_file").alias("f"))
     single = b.filter("n_all = 1").select("ord", "caller_file", F.col("all")[0].alias("t")).join(n.select(F.col("id").alias("t"), F.col("source_file").alias("tf")), "t")
-    seen = imports.join(file_of, "file_id").select(F.col("f").alias("caller_file"), "imported")
-    by_symbol = single.join(seen.withColumnRenamed("imported", "t"), ["caller_file", "t"], "left_semi").select("ord")
-    by_file = single.join(file_of.select("file_id", F.col("f").alias("tf")), "tf").join(seen.withColumnRenamed("imported", "file_id"), ["caller_file", "file_id"], "left_semi").select("ord")
+    seen = lambda *relations: brought(*relations).join(file_of, "file_id").select(F.col("f").alias("caller_file"), "imported")
+    by_symbol = single.join(seen("imports", "re_exports").withColumnRenamed("imported", "t"), ["caller_file", "t"], "left_semi").select("ord")
+    by_file = single.join(file_of.select("file_id", F.col("f").alias("tf")), "tf").join(seen("imports_from").withColumnRenamed("imported", "file_id"), ["caller_file", "file_id"], "left_semi").select("ord")
     b = b.join(by_symbol.union(by_file).distinct().withColumn("imports_it", F.lit(True)), "ord", "left")
     member = F.col("is_member_call")
     same_one = (F.size("here") == 1) & (~member | F.col("here_method"))
@@ -159,19 +187,26 @@ def call_tally(outcomes: DataFrame) -> DataFrame:
 def resolve_relations(nodes: DataFrame, edges: DataFrame, raw: DataFrame) -> DataFrame:
     """Edges of raw relations: imported names first, then included files, then the same file.
 
-    What stays open or points at itself is dropped; the context is a property.
+    An imported name is the label of what an import or re-export leads to, the
+    first import of that name.  A file declares a name where one callable of it
+    has that label; with several it is ambiguous there, and the next included
+    file is asked.  What stays open or points at itself is dropped; the context
+    is a property where there is one.
     """
-    n = nodes.select("id", "label", "source_file", "kind", "ord")
-    r = _keyed(raw.join(n.select(F.col("id").alias("source_id")), "source_id", "left_semi"), "target_label", "key")
+    n = nodes.select("id", "label", "source_file", "kind")
+    r = _keyed(raw.filter("target_label <> ''").join(n.select(F.col("id").alias("source_id")), "source_id", "left_semi"), "target_label", "key")
     files = n.filter("kind = 'file'").select(F.col("id").alias("fid"), "source_file")
-    imp = edges.filter(F.col("relation").isin("imports", "imports_from")).join(files, F.col("source") == F.col("fid")).select("source_file", F.col("target").alias("tid"), F.col("ord").alias("eord"))
-    decl = _keyed(n, "label", "key").select("id", "key", F.col("source_file").alias("dfile"), "kind", "ord").filter("kind <> 'file'")
-    named = imp.join(decl.select(F.col("id").alias("tid"), "key"), "tid").select("source_file", "key", "tid", "eord", F.lit(1).alias("tier"))
+    imp = edges.filter(F.col("relation").isin("imports", "re_exports")).join(files, F.col("source") == F.col("fid")).select("source_file", F.col("target").alias("tid"), F.col("ord").alias("eord"))
+    labels = _keyed(n, "label", "key")
+    decl = labels.filter(F.col("kind").isin(*CALLABLE) & (F.col("source_file") != "")).groupBy(F.col("source_file").alias("dfile"), "key").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).filter("n = 1").drop("n")
+    named = imp.join(labels.select(F.col("id").alias("tid"), "key"), "tid").select("source_file", "key", "tid", "eord", F.lit(1).alias("tier"))
     included = imp.join(files.select(F.col("fid").alias("tid"), F.col("source_file").alias("dfile")), "tid").select("source_file", "dfile", "eord").join(decl, "dfile").select("source_file", "key", F.col("id").alias("tid"), "eord", F.lit(2).alias("tier"))
-    own = decl.select(F.col("dfile").alias("source_file"), "key", F.col("id").alias("tid"), F.col("ord").alias("eord"), F.lit(3).alias("tier"))
-    options = r.join(named.unionByName(included).unionByName(own), ["source_file", "key"]).filter("tier < 3 or allow_same_file")
-    best = options.groupBy("ord", "source_id", "relation", "context").agg(F.min(F.struct("tier", "eord", "tid")).alias("m"))
-    out = best.select("ord", F.col("source_id").alias("source"), F.col("m.tid").alias("target"), "relation", F.create_map(F.lit("context"), F.col("context")).alias("properties"), F.lit("EXTRACTED").alias("confidence"))
+    own = decl.select(F.col("dfile").alias("source_file"), "key", F.col("id").alias("tid"), F.lit(0).cast("long").alias("eord"), F.lit(3).alias("tier"))
+    offered = named.unionByName(included).unionByName(own).groupBy("source_file", "key", (F.col("tier") == 3).alias("own")).agg(F.min(F.struct("tier", "eord", "tid")).alias("m"))
+    options = r.join(offered, ["source_file", "key"]).filter("not own or allow_same_file")
+    best = options.groupBy("ord", "source_id", "relation", "context").agg(F.min("m").alias("m"))
+    context = F.when(F.col("context") != "", F.create_map(F.lit("context"), F.col("context"))).otherwise(F.expr("cast(map() as map<string,string>)"))
+    out = best.select("ord", F.col("source_id").alias("source"), F.col("m.tid").alias("target"), "relation", context.alias("properties"), F.lit("EXTRACTED").alias("confidence"))
     return first_by(out.filter("source <> target"), ["source", "relation", "target"], F.col("ord"))
 
 
@@ -183,33 +218,48 @@ def relational_division(has: DataFrame, wants: DataFrame, who: str, group: str,
     return met.join(size, group).filter("_met = _need").select(who, group)
 
 
+def _promises(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(iface, name, contract) of interfaces' promised methods, and (type, name, impl) of types' own ones.
+
+    Interfaces promise by ``method`` edges to nodes with property
+    ``interface_method``, the first of a name; types own methods by other
+    ``method`` edges or by ``method_of`` edges from the method.  Names are ids.
+    """
+    promised = F.coalesce(F.element_at("properties", F.lit("interface_method")) == "true", F.lit(False))
+    n = _keyed(nodes.select("id", "label", promised.alias("promised")), "label", "name").select("id", "name", "promised")
+    by_edge = edges.filter("relation = 'method'").select("ord", F.col("source").alias("owner"), F.col("target").alias("id")).join(n, "id")
+    of = edges.filter("relation = 'method_of'").select(F.col("target").alias("owner"), F.col("source").alias("id")).join(n, "id")
+    wants = first_by(by_edge.filter("promised"), ["owner", "name"], F.col("ord")).select(F.col("owner").alias("iface"), "name", F.col("id").alias("contract"))
+    has = by_edge.filter("not promised").select("owner", "name", "id").unionByName(of.select("owner", "name", "id"))
+    return wants, has.select(F.col("owner").alias("type"), "name", F.col("id").alias("impl")).distinct()
+
+
+def _dispatch(c, to, relation: str):
+    return F.col(c).alias("source"), F.col(to).alias("target"), F.lit(relation).alias("relation"), F.lit("INFERRED").alias("confidence")
+
+
 def interface_dispatch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``implements`` and ``dispatches_to`` edges from types whose methods cover an interface's.
+    """``implements`` and ``dispatches_to`` edges from types whose methods cover an interface's by name."""
+    wants, has = _promises(nodes, edges)
+    fit = relational_division(has, wants, "type", "iface", "name").filter("type <> iface")
+    to = fit.join(wants, "iface").join(has, ["type", "name"])
+    return fit.select(*_dispatch("type", "iface", "implements")).unionByName(to.select(*_dispatch("contract", "impl", "dispatches_to"))).distinct()
+
+
+def trait_dispatch(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``dispatches_to`` and ``implements`` edges of methods that name their trait by ``impl_trait``.
 
-    Interfaces promise nodes through ``contains``/``method`` edges to nodes with
-    property ``interface_method``; types own methods through ``method_of`` or
-    ``method`` edges.
+    A method is bound to the trait's promise of the same name, whether or not
+    its type has all the others; its type, the first by ``method_of``,
+    implements the trait.
     """
-    n = nodes.select("id", "label", F.coalesce(F.element_at("properties", F.lit("interface_method")), F.lit("")).alias("promise"))
-    own = edges.filter(F.col("relation").isin("method", "contains", "method_of")).select(
-        F.when(F.col("relation") == "method_of", F.col("target")).otherwise(F.col("source")).alias("owner"), F.when(F.col("relation") == "method_of", F.col("source")).otherwise(F.col("target")).alias("id")
-    ).join(n, "id")
-    wants = own.filter("promise = 'true'").select(F.col("owner").alias("iface"), F.col("label").alias("name"), F.col("id").alias("contract"))
-    has = own.filter("promise <> 'true'").select(F.col("owner").alias("type"), F.col("label").alias("name"), F.col("id").alias("impl"))
-    fit = relational_division(has, wants, "type", "iface", "name")
-    implements = fit.select(F.col("type").alias("source"), F.col("iface").alias("target"), F.lit("implements").alias("relation"))
-    to = fit.join(wants, "iface").join(has, ["type", "name"]).select(F.col("contract").alias("source"), F.col("impl").alias("target"), F.lit("dispatches_to").alias("relation"))
-    return implements.unionByName(to).distinct()
-
-
-def trait_dispatch(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``dispatches_to`` from a trait's methods to those of the same name in types with ``impl_trait``."""
-    n = nodes.select("id", "label")
-    of = edges.filter("relation = 'method_of'").select(F.col("source").alias("id"), F.col("target").alias("owner")).join(n, "id")
-    impl = edges.filter("relation = 'impl_trait'").select(F.col("source").alias("type"), F.col("target").alias("trait")).distinct()
-    a = of.select(F.col("owner").alias("trait"), "label", F.col("id").alias("contract"))
-    b = of.select(F.col("owner").alias("type"), "label", F.col("id").alias("impl"))
-    return impl.join(a, "trait").join(b, ["type", "label"]).select(F.col("contract").alias("source"), F.col("impl").alias("target"), F.lit("dispatches_to").alias("relation")).distinct()
+    wants, _ = _promises(nodes, edges)
+    names = _keyed(nodes.select("id", "label"), "label", "name").select(F.col("id").alias("impl"), "name")
+    said = edges.filter("relation = 'impl_trait'").select(F.col("source").alias("impl"), F.col("target").alias("iface")).distinct()
+    met = said.join(names, "impl").join(wants, ["iface", "name"])
+    owner = first_by(edges.filter("relation = 'method_of'").select("ord", F.col("source").alias("impl"), F.col("target").alias("type")), ["impl"], F.col("ord"))
+    types = met.join(owner, "impl").select(*_dispatch("type", "iface", "implements"))
+    return met.select(*_dispatch("contract", "impl", "dispatches_to")).unionByName(types).distinct()
 
 
 def contract_rescue(nodes: DataFrame, outcomes: DataFrame) -> DataFrame:

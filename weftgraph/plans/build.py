@@ -43,6 +43,7 @@ def build(files: DataFrame, aliases: DataFrame | None = None, dedupe: bool = Tru
     key = F.xxhash64("source", "relation", "target").bitwiseAND(F.lit((1 << 40) - 1))
     found.append(resolve.interface_dispatch(nodes, edges).withColumn("ord", key + 3 * step))
     found.append(resolve.contract_rescue(nodes, outcomes).withColumn("ord", key + 4 * step))
+    found.append(resolve.trait_dispatch(nodes, edges).withColumn("ord", key + 5 * step))
     for f in found:
         edges = edges.unionByName(conform(f, "edges"))
     edges = settle(merge.merge_edges(edges))

@@ -129,9 +129,11 @@ def content_root(files: DataFrame) -> DataFrame:
     half its number, and an odd last one goes up as it is: log2(n) small plans.
     """
     from ..operators.base import settle
+    from ..operators.merge import renumber
 
     n = files.count()
-    level = files.select(F.row_number().over(_by_path()).cast("long").alias("k"), merkle_leaf(F.col("path"), F.col("sha256")).alias("h")).withColumn("k", F.col("k") - 1) if n else None
+    leaves = files.select(F.col("path").alias("ord"), merkle_leaf(F.col("path"), F.col("sha256")).alias("h"))
+    level = renumber(leaves).select(F.col("ord").alias("k"), "h") if n else None
     size = n
     while size > 1:
         two = level.groupBy(F.floor(F.col("k") / 2).alias("k")).agg(F.max(F.when(F.col("k") % 2 == 0, F.col("h"))).alias("l"), F.max(F.when(F.col("k") % 2 == 1, F.col("h"))).alias("r"))
@@ -142,12 +144,6 @@ def content_root(files: DataFrame) -> DataFrame:
     return level.select(F.lit("sha256-merkle-v1").alias("algorithm"), F.col("h").alias("sha256"), F.lit(n).cast("long").alias("leaf_count"))
 
 
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.orderBy("path")
-
-
 def classify_changes(now: DataFrame, manifest: DataFrame, content: bool = True) -> DataFrame:
     """(path, change): New, StatHit, HashHit, Stale, Unreadable or Deleted.
 
