@@ -98,6 +98,23 @@ def test_neighbours_recall_and_exact_scores(spark):
     assert hits >= 0.9 * len(got)
 
 
+def test_neighbours_in_trees_of_outgrown_leaves(spark):
+    """A first tree of few leaves, of which one holds a third of all: those too large get trees of their own."""
+    rnd = np.random.default_rng(5)
+    x = np.vstack([rnd.normal(size=(1, 8)) * 2 + rnd.normal(size=(n, 8)) * 0.5 for n in (900, 300, 300, 300, 300, 20, 20)] + [np.full((60, 8), 0.25)])
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = neighbours.search(df, "vec_id % 20 = 0", 20, leaves=6, split=100).toPandas()
+    hits = 0
+    for q in range(0, len(x), 20):
+        mine = got[got.query_id == q].sort_values("rank")
+        assert mine["rank"].tolist() == list(range(1, 21)) and mine.vec_id.is_unique and q not in set(mine.vec_id)
+        score = x @ x[q]
+        assert np.allclose(mine.score, score[mine.vec_id], atol=1e-12)
+        score[q] = -np.inf
+        hits += int((score[mine.vec_id] >= np.sort(score)[-20] - 1e-9).sum())
+    assert hits >= 0.9 * len(got)
+
+
 def test_neighbours_of_odd_vectors(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "VECTORS", 5)
     monkeypatch.setattr(neighbours, "VISITS", 3)

@@ -5,13 +5,16 @@ leaves.  For the largest inner product, vectors get one more coordinate that
 brings all to the same length, so that the nearest by distance is the largest by
 product.  A query opens branches best bin first, from a priority queue over the
 whole tree, and visits as many leaves as a calibration on some queries against
-all vectors finds necessary for the recall wanted.  Visits and vectors meet in
-units of bounded size, whatever the size of a leaf.
+all vectors finds necessary for the recall wanted.  A leaf that the table has
+outgrown gets a tree of its own, fitted by one task on a bounded sample of that
+leaf's vectors; such trees stay in a table and go to the tasks that need them.
+Visits and vectors meet in units of bounded size, whatever the size of a leaf.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import settle
+from ._common import lookup, settle
 
 #: Bounds of the fit: vectors, and numbers in them.
 SAMPLE, SAMPLE_VALUES = 20_000, 4_000_000
@@ -42,6 +45,10 @@ class Tree:
     leaf: list[int] = field(default_factory=list)
     n_leaves: int = 0
 
+    def parts(self) -> tuple:
+        """What :class:`Tree` is made of, to be stored."""
+        return self.radius2, self.centres, self.children, self.leaf, self.n_leaves
+
     def lift(self, x: np.ndarray) -> np.ndarray:
         """Vectors with the coordinate that brings them to the radius."""
         rest = np.maximum(self.radius2 - np.einsum("ij,ij->i", x, x), 0)
@@ -168,14 +175,54 @@ def valid(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding")
     return settle(v.mapInArrow(pack, "vec_id long, v binary"))
 
 
-def search(vectors: DataFrame, queries: str, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", recall: float = RECALL) -> DataFrame:
+def _share(u, want, of):
+    """Rows whose hash ``u``, 40 bits, is among the lowest: about ``want`` of ``of``."""
+    return u < (F.least(F.lit(1.0), F.lit(float(want)) / F.greatest(of, F.lit(1))) * (1 << 40)).cast("long") + 1
+
+
+def _planted(indexed: DataFrame, big: DataFrame, radius2: float, bound: int, leaves: int) -> DataFrame:
+    """(leaf, tree) for each leaf of ``big`` (leaf, n): a tree fitted on about ``bound`` of its vectors."""
+
+    def plant(t: pa.Table) -> pa.Table:
+        t = t.sort_by("vec_id")
+        x, n = _matrix(t["v"].combine_chunks()), t["n"][0].as_py()
+        tree = grow(x, radius2, max(1, min(leaves, n // LEAF)))
+        return pa.table({"leaf": t["leaf"].slice(0, 1), "tree": pa.array([pickle.dumps((tree.parts(), None))], pa.binary())})
+
+    u = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1 << 40))
+    some = indexed.join(F.broadcast(big), "leaf").filter(_share(u, bound, F.col("n"))).select("leaf", "vec_id", "v", "n")
+    return settle(some.groupBy("leaf").applyInArrow(plant, "leaf int, tree binary"))
+
+
+def _with_trees(rows: DataFrame, trees: DataFrame, sizes: DataFrame, spread: str, unit: int, func, schema: str) -> DataFrame:
+    """``func(rows, (tree, sizes of its leaves))`` over units of about ``unit`` rows of a leaf; ``sizes`` (leaf, n) counts the rows of leaves.
+
+    Where there are no rows, it is called with None.
+    """
+    units = F.greatest(F.ceil(F.col("n") / unit).cast("int"), F.lit(1))
+    few = F.broadcast(sizes.select("leaf", units.alias("units")))
+    left = rows.join(few, "leaf").withColumn("i", F.pmod(F.xxhash64(spread), F.col("units")).cast("int")).drop("units")
+    right = trees.join(few, "leaf").select("leaf", "tree", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("i"))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        parts, held = pickle.loads(b["tree"][0].as_py())
+        return func(a, (Tree(*parts), held) if len(a) else None)
+
+    return left.groupBy("leaf", "i").cogroup(right.groupBy("leaf", "i")).applyInArrow(run, schema)
+
+
+def search(
+    vectors: DataFrame, queries: str, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", recall: float = RECALL, leaves: int = LEAVES, split: int = VECTORS
+) -> DataFrame:
     """The ``k`` vectors of largest inner product for each query.
 
     ``queries`` is SQL over ``vec_id`` that tells which rows ask; all rows but
     the query's own are candidates.  Returns query_id, rank (from 1), vec_id and
     score (the inner product in double precision), nearest first, ties to the
     smaller id; all candidates if they are fewer.  See :func:`valid` for the
-    vectors that take part.  An empty table gives an empty result.
+    vectors that take part.  An empty table gives an empty result.  A tree has
+    at most ``leaves`` leaves, and a leaf of more than ``split`` vectors a tree
+    of its own.
     """
     x = valid(vectors, vec_id, vector)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -192,10 +239,10 @@ def search(vectors: DataFrame, queries: str, k: int = 20, vec_id: str = "vec_id"
     radius2 = x.mapInArrow(norms, "r double").agg(F.max("r")).first()[0]
     bound = min(SAMPLE, SAMPLE_VALUES // dim)
     u = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 40))
-    lowest = lambda df, want, of: df.filter(u < int(min(1.0, want / max(of, 1)) * (1 << 40)) + 1)
+    lowest = lambda df, want, of: df.filter(_share(u, want, F.lit(of)))
     rows = sorted((r["vec_id"], bytes(r["v"])) for r in lowest(x, bound, n).collect())
     sample = np.array([np.frombuffer(v) for _, v in rows]).reshape(-1, dim)
-    tree = grow(sample, radius2, max(1, min(LEAVES, n // LEAF))) if len(sample) else Tree(radius2, np.zeros((1, dim + 1)), [[]], [0], 1)
+    tree = grow(sample, radius2, max(1, min(leaves, n // LEAF))) if len(sample) else Tree(radius2, np.zeros((1, dim + 1)), [[]], [0], 1)
 
     def index(batches):
         for b in batches:
@@ -203,6 +250,37 @@ def search(vectors: DataFrame, queries: str, k: int = 20, vec_id: str = "vec_id"
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(tree.assign(m) if len(m) else [], pa.int32())], ["vec_id", "v", "leaf"])
 
     indexed = settle(x.mapInArrow(index, "vec_id long, v binary, leaf int"))
+    spark = x.sparkSession
+    # a row for each leaf of the first tree, of which there are ``leaves`` at most
+    counts = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
+    outgrown = [(leaf, c) for leaf, c in counts.items() if c > split]
+    big = spark.createDataFrame(outgrown, "leaf int, n long")
+    aim = recall**0.5 if outgrown else recall  # both steps must find a neighbour
+    # from here on a leaf is told by its number times ``leaves``, and that of its own tree's leaf added
+    flat = F.col("leaf") * leaves
+    if outgrown:
+        trees = _planted(indexed, big, radius2, bound, leaves)
+
+        def place(a: pa.Table, own) -> pa.Table:
+            at = own[0].assign(_matrix(a["v"].combine_chunks())) if own else np.zeros(0, np.int64)
+            leaf = a["leaf"].to_numpy().astype(np.int64) * leaves + at
+            return pa.table({"vec_id": a["vec_id"], "v": a["v"], "leaf": pa.array(leaf, pa.int32())})
+
+        deep = _with_trees(indexed, trees, big, "vec_id", VECTORS, place, "vec_id long, v binary, leaf int")
+        indexed = settle(indexed.join(F.broadcast(big), "leaf", "left_anti").select("vec_id", "v", flat.alias("leaf")).unionByName(deep))
+        held = indexed.groupBy("leaf").count().groupBy(F.expr(f"leaf div {leaves}").cast("int").alias("leaf")).agg(F.collect_list(F.struct((F.col("leaf") % leaves).alias("s"), "count")).alias("held"))
+        held_by = trees.join(held, "leaf")  # at most ``leaves`` counts a tree
+
+        def weigh(batches):
+            for b in batches:
+                out = []
+                for raw, h in zip(b.column(1), b.column(2), strict=True):
+                    out.append(pickle.dumps((pickle.loads(raw.as_py())[0], {e["s"]: e["count"] for e in h.as_py()})))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["leaf", "tree"])
+
+        trees = settle(held_by.select("leaf", "tree", "held").mapInArrow(weigh, "leaf int, tree binary"))
+    else:
+        indexed = indexed.withColumn("leaf", flat)
     asking = x.filter(queries)
     n_queries = asking.count()
     few = sorted((r["vec_id"], bytes(r["v"])) for r in lowest(asking, CALIBRATE, n_queries).collect())
@@ -224,13 +302,21 @@ def search(vectors: DataFrame, queries: str, k: int = 20, vec_id: str = "vec_id"
         rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
         met = found.withColumn("r", rank).filter(F.col("r") <= k).select("q", "leaf").collect()  # k rows a calibrating query
         places = [{leaf: at for at, leaf in enumerate(tree.visits(v, tree.n_leaves))} for v in few_v]
-        needed = np.sort([places[r["q"]][r["leaf"]] + 1 for r in met])
-        n_visits = int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else 1
+        enough = lambda needed: int(np.sort(needed)[min(len(needed) - 1, int(np.ceil(aim * len(needed))) - 1)]) if len(needed) else 1
+        n_visits = enough([places[r["q"]][r["leaf"] // leaves] + 1 for r in met])
+        n_deep = 1
+        if outgrown:
+            split_ones = {leaf for leaf, _ in outgrown}
+            seen = [(few_v[r["q"]].tobytes(), r["leaf"] // leaves, r["leaf"] % leaves) for r in met if r["leaf"] // leaves in split_ones and places[r["q"]][r["leaf"] // leaves] < n_visits]
+            asked = spark.createDataFrame([(i, bytearray(v), a, b) for i, (v, a, b) in enumerate(seen)], "i0 long, q binary, leaf int, s int")
+
+            def reach(a: pa.Table, own) -> pa.Table:
+                out = [own[0].visits(v, own[0].n_leaves).index(s) + 1 for v, s in zip(_matrix(a["q"].combine_chunks()), a["s"].to_pylist(), strict=True)] if own else []
+                return pa.table({"needed": pa.array(out, pa.int32())})
+
+            n_deep = enough([r["needed"] for r in _with_trees(asked, trees, big.withColumn("n", F.lit(1)), "i0", VECTORS, reach, "needed int").collect()])
     else:
-        n_visits = tree.n_leaves
-
-    # a row for each leaf, of which there are LEAVES at most
-    counts = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}
+        n_visits = n_deep = tree.n_leaves
 
     def route(batches):
         for b in batches:
@@ -242,12 +328,26 @@ def search(vectors: DataFrame, queries: str, k: int = 20, vec_id: str = "vec_id"
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(np.concatenate(leaves) if leaves else [], pa.int32()), place], ["query_id", "q", "leaf", "place"])
 
     routed = settle(asking.mapInArrow(route, "query_id long, q binary, leaf int, place int"))
-    cx = {leaf: -(-n // VECTORS) for leaf, n in counts.items()}
-    cq = {r["leaf"]: -(-r["count"] // VISITS) for r in routed.groupBy("leaf").count().collect()}
-    spark = x.sparkSession
-    parts = spark.createDataFrame([(leaf, c, cq[leaf]) for leaf, c in cx.items() if leaf in cq], "leaf int, nx int, nq int")
+    if outgrown:
+
+        def onward(a: pa.Table, own) -> pa.Table:
+            """The leaves of a leaf's own tree, those nearest first, as long as calibrated or until they hold enough."""
+            subs = [own[0].visits(v, n_deep, own[1], k + 1) for v in _matrix(a["q"].combine_chunks())] if own else []
+            size = [len(x) for x in subs]
+            at = np.repeat(np.arange(len(a)), size)
+            leaf = a["leaf"].to_numpy()[at].astype(np.int64) * leaves + (np.concatenate(subs) if subs else np.zeros(0, np.int64))
+            later = a["place"].to_numpy()[at] + (np.concatenate([np.arange(c) for c in size]) if subs else np.zeros(0, np.int64))
+            return pa.table({"query_id": a["query_id"].take(pa.array(at)), "q": a["q"].take(pa.array(at)), "leaf": pa.array(leaf, pa.int32()), "place": pa.array(later, pa.int32())})
+
+        visiting = routed.join(F.broadcast(big.select("leaf")), "leaf").groupBy("leaf").agg(F.count("*").alias("n"))
+        deep = _with_trees(routed, trees, visiting, "query_id", VISITS, onward, "query_id long, q binary, leaf int, place int")
+        routed = settle(routed.join(F.broadcast(big), "leaf", "left_anti").withColumn("leaf", flat).select("query_id", "q", "leaf", "place").unionByName(deep))
+    else:
+        routed = routed.withColumn("leaf", flat)
+    units = lambda df, c, most: df.groupBy("leaf").agg(F.ceil(F.count("*") / most).cast("int").alias(c))
+    parts = settle(units(indexed, "nx", VECTORS).join(units(routed, "nq", VISITS), "leaf"))
     span = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = indexed.join(F.broadcast(parts), "leaf").withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("nx")).cast("int")).withColumn("j", span("nq"))
+    left = lookup(indexed, parts, "leaf", F.xxhash64("vec_id")).withColumn("i", F.pmod(F.xxhash64("vec_id"), F.col("nx")).cast("int")).withColumn("j", span("nq"))
     left = left.select("leaf", "i", "j", "vec_id", "v")
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -262,7 +362,7 @@ def search(vectors: DataFrame, queries: str, k: int = 20, vec_id: str = "vec_id"
         return pa.table({c: np.concatenate(v) if v else np.zeros(0, t) for c, v, t in zip(("query_id", "vec_id", "score"), out, kinds, strict=True)})
 
     def met_by(visits: DataFrame) -> DataFrame:
-        right = visits.join(F.broadcast(parts), "leaf").withColumn("j", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("i", span("nx"))
+        right = lookup(visits, parts, "leaf", F.xxhash64("query_id")).withColumn("j", F.pmod(F.xxhash64("query_id"), F.col("nq")).cast("int")).withColumn("i", span("nx"))
         right = right.select("leaf", "i", "j", "query_id", "q", "least")
         return left.groupBy("leaf", "i", "j").cogroup(right.groupBy("leaf", "i", "j")).applyInArrow(compare, "query_id long, vec_id long, score double")
 
