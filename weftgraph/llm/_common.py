@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
+import gc
 import re
 import sys
 import tempfile
@@ -11,6 +13,7 @@ from collections.abc import Callable
 from typing import Any
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +78,39 @@ def hand_back() -> None:
         libc.malloc_trim(0)
 
 
+#: Share of the driver's heap that may be taken up before :func:`tidy` collects what is free.
+GROWN = 1 / 3
+
+
+def trim_native(spark: SparkSession) -> str:
+    """Ask the driver's JVM to give back native memory it has freed; returns what it says."""
+    sc = spark.sparkContext
+    jvm, array = sc._jvm, sc._gateway.new_array
+    name = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+    # the server's own class is closed to reflection, its interface is open
+    call = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServerConnection").getMethods() if m.getName() == "invoke")
+    args = array(jvm.java.lang.Object, 4)
+    args[0], args[1] = name, "systemTrimNativeHeap"
+    return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Free what the driver no longer needs, and hand it back to the machine.
+
+    Relations and blocks of broadcasts, shuffles and checkpoints stay until the
+    JVM happens to collect them, which it does only after its heap has grown to
+    the bound; the native buffers beside it stay with the allocator.
+    """
+    gc.collect()  # else the JVM's objects are held from here
+    hand_back()
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() > heap.maxMemory() * GROWN:
+        jvm.java.lang.System.gc()
+    with contextlib.suppress(Py4JError):  # not every JVM has the command
+        trim_native(spark)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` doesn't have."""
     taken = {c.lower() for c in df.columns}
@@ -96,7 +132,9 @@ def settle(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    tidy(spark)
+    return out
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -107,7 +145,7 @@ def shared_folder(spark: SparkSession) -> str:
     return named or tempfile.mkdtemp(prefix="weft-")
 
 
-#: Rows up to which a lookup table is broadcast (some 100 bytes each).
+#: Rows up to which a lookup table is broadcast (some 100 bytes each; what holds arrays counts as more).
 BROADCAST_ROWS = 100_000
 #: Copies of a larger lookup table, so that rows of one hot key spread over as many tasks.
 SALTS = 32
@@ -137,13 +175,15 @@ def join_counted(rows: DataFrame, dim: DataFrame, key: str, copies: str, total:
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
-def lookup(rows: DataFrame, dim: DataFrame, key: str, spread: Column, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, dim: DataFrame, key: str, spread: Column, how: str = "inner", weight: Column | None = None) -> DataFrame:
     """Join ``rows`` to a table that is unique by ``key``, whatever the skew of ``rows``.
 
     ``dim`` is counted: a small one is broadcast, a large one is copied under
     ``SALTS`` salts and ``rows`` pick one by ``spread``, an integer expression.
+    A row of ``dim`` counts as ``weight`` rows, one if none is given.
     """
-    if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    some = dim.limit(BROADCAST_ROWS + 1)
+    if (some.count() if weight is None else some.agg(F.sum(weight)).first()[0] or 0) <= BROADCAST_ROWS:
         return rows.join(F.broadcast(dim), key, how)
     salted = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return rows.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(salted, [key, "_salt"], how).drop("_salt")

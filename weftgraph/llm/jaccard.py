@@ -299,7 +299,7 @@ def _across(rows: DataFrame, percent: int) -> DataFrame:
         shared = F.transform(F.sequence(F.lit(0), F.col("pools") - 1), lambda k: block(F.lit(False), F.lit(0).cast("long"), k))
         alone = F.flatten(F.transform("owns", lambda o: F.transform(F.sequence(F.lit(0), o["k"] - 1), lambda k: block(F.lit(True), o["root"], k))))
         plan = settle(plan.select("shingle", "pools", F.transform("owns", lambda o: o["root"]).alias("roots"), F.transform("owns", lambda o: o["k"]).alias("ks"), F.concat(shared, alone).alias("all")))
-        dealt = lookup(long.select("shingle", "node", "root", "n", "pos"), plan, "shingle", F.col("node"))
+        dealt = lookup(long.select("shingle", "node", "root", "n", "pos"), plan, "shingle", F.col("node"), weight=F.size("all") + F.size("roots") + 1)
         at = F.array_position("roots", F.col("root"))
         mine = F.when(at > 0, block(F.lit(True), F.col("root"), F.pmod(F.xxhash64("node"), F.element_at("ks", F.greatest(at, F.lit(1)).cast("int"))))).otherwise(block(F.lit(False), F.lit(0).cast("long"), F.pmod(F.xxhash64("root"), F.col("pools"))))
         dealt = dealt.withColumn("mine", mine)
