@@ -156,3 +156,41 @@ def test_neighbours_of_small_leaves_are_as_many_as_asked(spark):
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = neighbours.search(df, "vec_id % 7 = 0", 20, recall=0.5).groupBy("query_id").count().collect()
     assert len(got) == -(-len(x) // 7) and {r["count"] for r in got} == {20}
+
+
+def test_neighbours_routes_hold_a_query_once(spark, monkeypatch):
+    """Uncorrelated vectors need many visits: a query's vector is kept once, not for each of them, and in the precision given."""
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(3000, 24)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    settled, keep = [], neighbours.settle
+
+    def settle(frame):
+        settled.append(keep(frame))
+        return settled[-1]
+
+    monkeypatch.setattr(neighbours, "settle", settle)
+    monkeypatch.setattr(neighbours, "LEAF", 30)
+    got = neighbours.search(df, "vec_id % 20 = 0", 20).toPandas()
+    routes = [f for f in settled if "q" in f.columns]
+    assert [f.count() for f in routes] == [150]
+    assert {r[0] for r in routes[0].select(F.octet_length("q")).collect()} == {4 * 24}
+    y, hits = x.astype(float), 0
+    for q in range(0, len(x), 20):
+        mine = got[got.query_id == q].sort_values("rank")
+        score = (y * y[q]).sum(axis=1)
+        assert mine.score.tolist() == score[mine.vec_id].tolist() and len(mine) == 20
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20]) & set(mine.vec_id))
+    assert hits >= 0.9 * len(got)
+
+
+def test_best_of_equal_vectors_in_pieces(monkeypatch):
+    monkeypatch.setattr(neighbours, "PIECE_VALUES", 40)
+    x = np.vstack([np.ones((50, 4)), np.full((3, 4), 2.0)])
+    ids, asks = np.arange(53)[::-1], np.arange(7)
+    seen = np.array([[True, j % 2 == 0] for j in range(7)])
+    found = [np.concatenate(c) for c in zip(*neighbours._best(asks, np.ones((7, 4)), ids, x, 5, None, seen, np.array([0, 50, 53])), strict=True)]
+    for j in range(7):
+        mine = [(float(s), int(ids[a])) for a, s in zip(found[1][found[0] == j], found[2][found[0] == j], strict=True)]
+        assert mine == sorted(((4.0 * (1 + (i < 3)), i) for i in range(53) if i != j), key=lambda t: (-t[0], t[1]))[:5]

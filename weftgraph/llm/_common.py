@@ -94,18 +94,19 @@ def trim_native(spark: SparkSession) -> str:
     return call.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
 
 
-def tidy(spark: SparkSession) -> None:
+def tidy(spark: SparkSession, collect: bool = False) -> None:
     """Free what the driver no longer needs, and hand it back to the machine.
 
     Relations and blocks of broadcasts, shuffles and checkpoints stay until the
     JVM happens to collect them, which it does only after its heap has grown to
-    the bound; the native buffers beside it stay with the allocator.
+    the bound; the native buffers beside it stay with the allocator.  ``collect`` has it
+    collect in any case, so that files that are no longer needed go.
     """
     gc.collect()  # else the JVM's objects are held from here
     hand_back()
     jvm = spark.sparkContext._jvm
     heap = jvm.java.lang.Runtime.getRuntime()
-    if heap.totalMemory() > heap.maxMemory() * GROWN:
+    if collect or heap.totalMemory() > heap.maxMemory() * GROWN:
         jvm.java.lang.System.gc()
     with contextlib.suppress(Py4JError):  # not every JVM has the command
         trim_native(spark)
