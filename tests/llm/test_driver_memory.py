@@ -1,3 +1,5 @@
+import time
+
 from pyspark.sql import functions as F
 
 from weftgraph.llm import _common
@@ -8,6 +10,7 @@ def test_settled_steps_leave_nothing_in_the_driver(spark, monkeypatch):
     monkeypatch.setattr(_common, "GROWN", 0.0, raising=False)
     jvm = spark.sparkContext._jvm
     left = jvm.java.lang.ref.WeakReference(jvm.java.util.ArrayList())
+    time.sleep(2)  # py4j lets go of objects in a thread of its own
     assert [r.id for r in _common.settle(spark.range(3)).orderBy("id").collect()] == [0, 1, 2]
     assert left.get() is None
 
