@@ -185,6 +185,20 @@ def test_neighbours_routes_hold_a_query_once(spark, monkeypatch):
     assert hits >= 0.9 * len(got)
 
 
+def test_neighbours_of_many_visits_come_once(spark, monkeypatch):
+    """Where most leaves are visited, tiles are compared whole, twice for some queries: no neighbour takes two ranks."""
+    rnd = np.random.default_rng(11)
+    x = rnd.normal(size=(4000, 32)).astype(np.float32)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "LEAF", 60)
+    got = neighbours.search(df, "vec_id % 20 = 0", 20).toPandas()
+    assert len(got) == 200 * 20 and not got.duplicated(["query_id", "vec_id"]).any()
+    score = x[::20].astype(float) @ x.T.astype(float)
+    score[np.arange(200), np.arange(0, 4000, 20)] = -np.inf
+    best = {(20 * q, v) for q, row in enumerate(np.argsort(-score)[:, :20].tolist()) for v in row}
+    assert len(best & set(zip(got.query_id, got.vec_id))) >= 0.94 * len(best)
+
+
 def test_best_of_equal_vectors_in_pieces(monkeypatch):
     monkeypatch.setattr(neighbours, "PIECE_VALUES", 40)
     x = np.vstack([np.ones((50, 4)), np.full((3, 4), 2.0)])

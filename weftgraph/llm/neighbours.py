@@ -275,8 +275,7 @@ def search(
     radius2 = x.mapInArrow(norms, "r double").agg(F.max("r")).first()[0]
     bound = min(SAMPLE, SAMPLE_VALUES // dim)
     u = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 40))
-    lowest = lambda df, want, of: df.filter(_share(u, want, F.lit(of)))
-    rows = sorted((r["vec_id"], bytes(r["v"])) for r in lowest(x, bound, n).collect())
+    rows = sorted((r["vec_id"], bytes(r["v"])) for r in x.filter(_share(u, bound, F.lit(n))).collect())
     sample = np.array([np.frombuffer(v, kind) for _, v in rows], np.float64).reshape(-1, dim)
     tree = grow(sample, radius2, max(1, min(leaves, n // LEAF))) if len(sample) else Tree(radius2, np.zeros((1, dim + 1)), [[]], [0], 1)
 
@@ -321,7 +320,9 @@ def search(
         indexed = indexed.withColumn("leaf", flat)
     asking = indexed.filter(queries).select("vec_id", "v")
     n_queries = asking.count()
-    few = sorted((r["vec_id"], bytes(r["v"])) for r in lowest(asking, CALIBRATE, n_queries).collect())
+    # centres lie close to the vectors that they were fitted on, so those that calibrate are drawn by a hash of their own
+    u = F.pmod(F.xxhash64("vec_id", F.lit(7)), F.lit(1 << 40))
+    few = sorted((r["vec_id"], bytes(r["v"])) for r in asking.filter(_share(u, CALIBRATE, F.lit(n_queries))).collect())
     few_id = np.array([i for i, _ in few], np.int64)
     few_v = np.array([np.frombuffer(v, kind) for _, v in few], np.float64).reshape(-1, dim)
 
@@ -467,4 +468,6 @@ def search(
     first = settle(best(met_by(routed.filter(F.octet_length("early") > 0).select("query_id", "q", none.alias("least"), "early"))))
     known = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).otherwise(none).alias("least"))
     later = routed.filter(F.octet_length("late") > 0).join(known, "query_id", "left").select("query_id", "q", F.coalesce("least", none).alias("least"), "late")
-    return best(first.drop("rank").unionByName(met_by(later)))
+    # where queries visit most leaves of a tile, all of it is compared: what was found first can come again
+    both = first.drop("rank").unionByName(met_by(later)).repartition("query_id")
+    return best(both.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
