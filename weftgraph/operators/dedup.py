@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fuzzy_merge_blocked, has_meaningful_entropy, jaro_winkler, lsh_bands, make_id, minhash, shingles
-from .base import settle
+from .base import few, settle
 from .merge import rewrite_edges
 from .traverse import components
 
@@ -30,10 +30,22 @@ def exact_pairs(prepared: DataFrame) -> DataFrame:
 def fuzzy_pairs(prepared: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """(a, b) of labels that are near: candidates share a band of their MinHash or a community.
 
-    Labels, not nodes, are banded and compared, each distinct pair once; the
-    nodes of a pair of labels meet afterwards under the rules for places.
+    Labels, not nodes, are banded and compared, each distinct pair once.  Nodes
+    that the rules for places can't tell apart make a class, and classes meet
+    under those rules: a pair of classes is told by the first node of either,
+    and a class with any pair by its first node with each of the others, as
+    all of it hangs together then.
     """
-    ok = settle(prepared.filter(has_meaningful_entropy(F.col("norm"), ENTROPY)))
+    telling = settle(prepared.select("norm").distinct().filter(has_meaningful_entropy(F.col("norm"), ENTROPY)))
+    ok = prepared.join(few(telling), "norm", "left_semi")
+    if scope is not None:
+        ok = ok.join(scope.select("ord").distinct().withColumn("_in", F.lit(True)), "ord", "left").withColumn("hit", F.coalesce("_in", F.lit(False)))
+    else:
+        ok = ok.withColumn("hit", F.lit(True))
+    alike = ["norm", "kind", "source_file", "site", "community", "hit"]
+    ok = settle(ok.select("ord", *alike))
+    classes = settle(ok.groupBy(*alike).agg(F.min("ord").alias("first"), F.count("*").alias("n")))
+    nodes, ok = ok, classes  # from here on a class stands for its nodes
     labels = ok.select("norm").distinct()
     banded = labels.select("norm", F.posexplode(lsh_bands(minhash(shingles(F.col("norm"))))).alias("k", "band"))
     l, r = (banded.select(F.col("norm").alias(c), "k", "band") for c in ("x", "y"))
@@ -44,11 +56,9 @@ def fuzzy_pairs(prepared: DataFrame, scope: DataFrame | None = None) -> DataFram
     scored = scored.filter(~fuzzy_merge_blocked(F.col("x"), F.col("y"), F.col("jw")))
     # equal labels merge too, unless a source says that they are two
     same = labels.select(F.col("norm").alias("x"), F.col("norm").alias("y"), F.lit(1.0).alias("jw"))
-    side = lambda c: ok.select(*[F.col(k).alias(f"{k}_{c}") for k in ("norm", "ord", "kind", "source_file", "site", "community")])
-    p = scored.unionByName(same).join(side("a"), F.col("x") == F.col("norm_a")).join(side("b"), F.col("y") == F.col("norm_b")).filter("ord_a <> ord_b and (x <> y or ord_a < ord_b)")
-    if scope is not None:
-        s = scope.select("ord").withColumn("hit", F.lit(True))
-        p = p.join(s.select(F.col("ord").alias("ord_a"), F.col("hit").alias("ha")), "ord_a", "left").join(s.select(F.col("ord").alias("ord_b"), F.col("hit").alias("hb")), "ord_b", "left").filter("ha or hb")
+    side = lambda c: ok.select(*[F.col(k).alias(f"{k}_{c}") for k in (*alike, "first", "n")])
+    p = scored.unionByName(same).join(side("a"), F.col("x") == F.col("norm_a")).join(side("b"), F.col("y") == F.col("norm_b"))
+    p = p.filter("(hit_a or hit_b) and (x <> y or first_a < first_b or first_a = first_b and n_a > 1)")
     together = (F.col("community_a") == F.col("community_b")) & (F.col("community_a") != "")
     sourced = lambda c: F.col(f"source_file_{c}") != ""
     prose = F.lower("kind_a").isin("document", "media") | F.lower("kind_b").isin("document", "media")
@@ -58,7 +68,11 @@ def fuzzy_pairs(prepared: DataFrame, scope: DataFrame | None = None) -> DataFram
         | ((F.col("site_a") != "") & (F.col("site_b") != "") & ((F.col("source_file_a") != F.col("source_file_b")) | (F.col("site_a") != F.col("site_b"))))
     )
     p = p.filter((F.col("jw") >= F.when(together, TOGETHER).otherwise(APART)) & ~blocked)
-    return p.select(F.least("ord_a", "ord_b").alias("a"), F.greatest("ord_a", "ord_b").alias("b")).distinct()
+    p = settle(p.select("first_a", "first_b"))
+    linked = p.select(F.explode(F.array("first_a", "first_b")).alias("first")).distinct()
+    many = classes.filter("n > 1").join(linked, "first", "left_semi").select("first", *[F.col(c).alias(f"_{c}") for c in alike])
+    within = nodes.join(many, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]).select(F.col("first").alias("first_a"), F.col("ord").alias("first_b"))
+    return p.union(within).filter("first_a <> first_b").select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")).distinct()
 
 
 def deduplicate(nodes: DataFrame, edges: DataFrame, scope: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
