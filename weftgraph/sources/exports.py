@@ -6,11 +6,12 @@ import json
 import os
 import posixpath
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cypher_escape, html_escape, script_escape
 from ..operators.analyze import MEMORY
+from ..operators.merge import renumber
 
 
 def node_lines(nodes: DataFrame) -> DataFrame:
@@ -28,8 +29,8 @@ def edge_lines(edges: DataFrame) -> DataFrame:
 def svg_rows(nodes: DataFrame) -> DataFrame:
     """(ord, x, y, svg): nodes on a circle around (240, 180) of radius 120, in order."""
     n = nodes.agg(F.count("*")).scalar()
-    k = F.row_number().over(Window.orderBy("ord")) - 1
-    at = nodes.select("ord", "label", (k * (2 * 3.141592653589793) / n).alias("a"))
+    placed = renumber(nodes.select("ord", F.col("ord").alias("_ord"), "label")).select(F.col("_ord").alias("ord"), "label", F.col("ord").alias("k"))
+    at = placed.select("ord", "label", (F.col("k") * (2 * 3.141592653589793) / n).alias("a"))
     at = at.select("ord", "label", (240 + 120 * F.cos("a")).alias("x"), (180 + 120 * F.sin("a")).alias("y"))
     return at.select("ord", "x", "y", F.format_string('<circle cx="%.2f" cy="%.2f" r="6"/><text x="%.2f" y="%.2f">%s</text>', F.col("x"), F.col("y"), F.col("x") + 8, F.col("y"), html_escape(F.col("label"))).alias("svg"))
 
