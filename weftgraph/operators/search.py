@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ascii_lower, bounded_edit_distance, contains_ci, label_symbol, lexical_terms, stem_term
 from .analyze import is_enrichment, is_memory
-from .base import first_by, top_by
+from .base import few, first_by, settle, top_by
 
 
 @dataclass(frozen=True)
@@ -70,19 +70,19 @@ def resolve(nodes: DataFrame, names: DataFrame) -> DataFrame:
 
     An exact id, else the first with that exact label, else among those whose
     label or symbol (label up to a bracket or blank) is the name without regard
-    to case the most central, then by label, then the first.  Each tier is an
-    equi-join.
+    to case the most central, then by label, then the first.  Nodes and names
+    meet by tier and key in one equi-join.
     """
-    n = nodes.select("id", "label", "ord", "centrality", ascii_lower(label_symbol(F.col("label"))).alias("sym"), ascii_lower(F.col("label")).alias("low"))
-    q = names.select("name").distinct()
-    zero = F.lit(0.0)
-    cols = ["name", "id", "label", "ord"]
-    by_id = q.join(n, F.col("name") == F.col("id")).select(*cols, F.lit(1).alias("tier"), zero.alias("c"), F.lit("").alias("l"))
-    by_label = q.join(n, F.col("name") == F.col("label")).select(*cols, F.lit(2).alias("tier"), zero.alias("c"), F.lit("").alias("l"))
-    low = q.withColumn("k", ascii_lower(F.col("name")))
-    either = n.select("id", "label", "ord", "centrality", F.explode(F.array_distinct(F.array("sym", "low"))).alias("k"))
-    by_symbol = low.join(either, "k").select(*cols, F.lit(3).alias("tier"), (-F.col("centrality")).alias("c"), F.col("label").alias("l"))
-    return first_by(by_id.unionByName(by_label).unionByName(by_symbol), ["name"], F.col("tier"), F.col("c"), F.col("l"), F.col("ord")).select("name", "id", "tier")
+    at = lambda tier, key: F.struct(F.lit(tier).alias("tier"), key.alias("k"))
+    label = F.col("label")
+    keys = F.array(at(1, F.col("id")), at(2, label), at(3, ascii_lower(label_symbol(label))), at(3, ascii_lower(label)))
+    name = F.col("name")
+    asked = names.select("name").distinct().select("name", F.explode(F.array(at(1, name), at(2, name), at(3, ascii_lower(name)))).alias("x")).select("name", "x.*")
+    n = nodes.select("id", "label", "ord", "centrality", F.explode(F.array_distinct(keys)).alias("x")).select("id", "label", "ord", "centrality", "x.*")
+    met = n.join(few(settle(asked)), ["tier", "k"])
+    by_symbol = F.col("tier") == 3
+    c, l = F.when(by_symbol, -F.col("centrality")).otherwise(F.lit(0.0)), F.when(by_symbol, label).otherwise(F.lit(""))
+    return first_by(met, ["name"], F.col("tier"), c, l, F.col("ord")).select("name", "id", "tier")
 
 
 def substring_search(nodes: DataFrame, needle: str, kind: str | None = None, file: str | None = None, limit: int = 50) -> DataFrame:
@@ -126,21 +126,27 @@ def idf_search(nodes: DataFrame, queries: DataFrame, limit: int = 5) -> DataFram
     """Stemmed words of labels against those of each query (qid, query): (qid, id, score, rank).
 
     A term weighs ln(1 + N/(1 + df)); the score is the weight found over the
-    weight asked.  Memory and enrichment nodes take no part.
+    weight asked.  Memory and enrichment nodes take no part.  Queries of the
+    same terms are answered once, and nodes of one label score alike, so that
+    of each label only its first ``limit`` nodes are compared.
     """
     stems = lambda c: F.array_distinct(F.transform(lexical_terms(c), stem_term))
     n = nodes.filter(~is_memory(F.col("id")) & ~is_enrichment(F.col("id"))).select("id", "label", "centrality", "ord")
     total = n.agg(F.count("*")).scalar()
-    q = queries.select("qid", F.explode(stems(F.col("query"))).alias("term"))
-    wanted = q.select("term").distinct()
+    asking = settle(queries.select("qid", F.array_join(F.array_sort(stems(F.col("query"))), " ").alias("asked")).filter("qid is not null and asked <> ''"))
+    q = asking.select("asked").distinct().select("asked", F.explode(F.split("asked", " ")).alias("term"))
+    wanted = settle(q.select("term").distinct())
     # only terms that are asked for are ever grouped
-    has = n.select("id", F.explode(stems(F.col("label"))).alias("term")).join(wanted, "term", "left_semi")
+    has = settle(n.select("*", F.explode(stems(F.col("label"))).alias("term")).join(few(wanted), "term", "left_semi"))
     df = wanted.join(has.groupBy("term").agg(F.count("*").alias("df")), "term", "left")
-    weight = df.select("term", F.log(1 + total / (1 + F.coalesce("df", F.lit(0)))).alias("w"))
-    qw = q.join(weight, "term")
-    asked = qw.groupBy("qid").agg(F.sum("w").alias("all"))
-    score = qw.join(has, "term").groupBy("qid", "id").agg(F.sum("w").alias("got")).join(asked, "qid").select("qid", "id", F.round(F.col("got") / F.col("all"), 9).alias("score"))
-    return top_by(score.join(n, "id"), ["qid"], limit, F.desc("score"), F.desc("centrality"), F.col("label"), F.col("ord")).select("qid", "id", "score", "rank")
+    qw = q.join(df.select("term", F.log(1 + total / (1 + F.coalesce("df", F.lit(0)))).alias("w")), "term")
+    whole = qw.groupBy("asked").agg(F.sum("w").alias("all"))
+    first = settle(top_by(has, ["label", "term"], limit, F.desc("centrality"), F.col("ord")))
+    got = qw.join(first.select("label", "term").distinct(), "term").groupBy("asked", "label").agg(F.sum("w").alias("got"))
+    score = got.join(whole, "asked").select("asked", "label", F.round(F.col("got") / F.col("all"), 9).alias("score"))
+    met = score.join(first.select("label", "id", "centrality", "ord").distinct(), "label")
+    best = top_by(met, ["asked"], limit, F.desc("score"), F.desc("centrality"), F.col("label"), F.col("ord"))
+    return asking.join(best, "asked").select("qid", "id", "score", "rank")
 
 
 def suggest(nodes: DataFrame, names: DataFrame, limit: int = 5) -> DataFrame:
