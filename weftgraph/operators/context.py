@@ -13,18 +13,20 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ascii_lower, lexical_terms, query_term_overlap, slice_token_cost
 from .analyze import is_enrichment, is_memory
-from .base import first_by, settle, top_by
+from .base import few, first_by, settle, top_by
 from .search import idf_search, resolve
 from .traverse import adjacency
 
 #: Overlap from which a node beyond the first hop is expanded, and bounds of the packers.
 THETA, SIBLINGS, CAPACITY = 0.05, 5, 50_000
+#: Needles up to which each is looked for in every node.
+NEEDLES = 64
 
 
 def focal(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """(qid, id, ord_): the node a query (qid, query) names, else the most central whose label or id holds it, else three by lexical weight."""
     q = queries.select("qid", "query").distinct()
-    named = q.join(resolve(nodes, q.select(F.col("query").alias("name"))), F.col("query") == F.col("name")).select("qid", "id", F.lit(1).alias("tier"), F.lit(1).alias("ord_"))
+    named = settle(q.join(resolve(nodes, q.select(F.col("query").alias("name"))), F.col("query") == F.col("name")).select("qid", "id", F.lit(1).alias("tier"), F.lit(1).alias("ord_")))
     rest = q.join(named.select("qid"), "qid", "left_anti")
     holding = holders(nodes, rest.select(F.col("query").alias("needle")).distinct())
     holds = rest.join(first_by(holding, ["needle"], F.desc("centrality"), F.col("ord")), F.col("query") == F.col("needle")).select("qid", "id", F.lit(2).alias("tier"), F.lit(1).alias("ord_"))
@@ -40,10 +42,16 @@ def holders(nodes: DataFrame, needles: DataFrame) -> DataFrame:
     Enrichment and memory are left out, and nothing holds the empty needle.  What
     holds a needle holds its first three characters (all of a shorter one): nodes
     and needles meet by those in an equi-join, and the rest is checked there.
+    ``NEEDLES`` or fewer are looked for in each node instead.
     """
-    q = needles.filter("needle <> ''").select("needle", ascii_lower(F.col("needle")).alias("low"))
-    q = q.withColumn("gram", F.substring("low", 1, 3))
+    q = settle(needles.filter("needle <> ''").select("needle", ascii_lower(F.col("needle")).alias("low")))
     n = nodes.filter(~is_memory(F.col("id")) & ~is_enrichment(F.col("id"))).select("id", "centrality", "ord", ascii_lower(F.concat("label", F.lit("\0"), "id")).alias("both"))
+    rows = q.limit(NEEDLES + 1).collect()
+    if len(rows) <= NEEDLES:
+        asked = F.array(*[F.struct(F.lit(r.needle).alias("needle"), F.lit(r.low).alias("low")) for r in rows]) if rows else F.expr("cast(array() as array<struct<needle: string, low: string>>)")
+        met = n.withColumn("x", F.explode(F.filter(asked, lambda x: F.contains(F.col("both"), x["low"]))))
+        return met.select("x.needle", "id", "centrality", "ord")
+    q = q.withColumn("gram", F.substring("low", 1, 3))
     grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("both") - k + 1, F.lit(1))), lambda i: F.substring(F.col("both"), i, F.lit(k)))
     met = n.withColumn("gram", F.explode(F.array_distinct(F.flatten(F.array(grams(1), grams(2), grams(3))))))
     return met.join(q, "gram").filter(F.contains("both", "low")).select("needle", "id", "centrality", "ord")
@@ -57,26 +65,29 @@ def gather(nodes: DataFrame, edges: DataFrame, queries: DataFrame, seeds: DataFr
     the query's terms.  Then the best siblings in a reached node's file join at
     depth 2, if they share a term.
     """
-    terms = queries.select("qid", lexical_terms(F.col("query")).alias("terms"))
-    n = nodes.filter(~is_memory(F.col("id")) & ~is_enrichment(F.col("id"))).select("id", "label", "source_file", "centrality", lexical_terms(F.col("label")).alias("words"))
-    n, terms = settle(n), settle(terms)
-    adj = settle(adjacency(edges, "both").select("id", "nid").distinct())
-    front = seeds.select("qid", "id").distinct()
+    terms = settle(queries.select("qid", lexical_terms(F.col("query")).alias("terms")))
+    n = nodes.filter(~is_memory(F.col("id")) & ~is_enrichment(F.col("id"))).select("id", "source_file", "centrality", lexical_terms(F.col("label")).alias("words"))
+    # edges and nodes are read for each hop and kept only where a front touches them
+    at = lambda df: n.join(few(settle(df.select("id").distinct())), "id", "left_semi")
+    adj = adjacency(edges, "both").select("id", "nid")
+    front = settle(seeds.select("qid", "id").distinct())
     reached = front.select("qid", "id", F.lit(0).alias("depth"))
+    here = None
     for hop in range(1, depth + 1):
         if adaptive and hop > 1:
-            front = front.join(n.select("id", "words"), "id").join(terms, "qid").filter(query_term_overlap(F.col("terms"), F.col("words")) >= THETA).select("qid", "id")
-        met = front.join(adj, "id").select("qid", F.col("nid").alias("id")).distinct().join(n.select("id"), "id", "left_semi")
-        front = settle(met.join(reached, ["qid", "id"], "left_anti").select("qid", "id"))
+            front = settle(front.join(here.select("id", "words"), "id").join(terms, "qid").filter(query_term_overlap(F.col("terms"), F.col("words")) >= THETA).select("qid", "id"))
+        step = settle(adj.join(few(settle(front.select("id").distinct())), "id", "left_semi").distinct())
+        met = settle(front.join(step, "id").select("qid", F.col("nid").alias("id")).distinct())
+        here = settle(at(met))
+        front = settle(met.join(here.select("id"), "id", "left_semi").join(reached, ["qid", "id"], "left_anti"))
         reached = reached.unionByName(front.select("qid", "id", F.lit(hop).alias("depth")))
-    reached = reached.withColumn("via", F.lit("edge"))
-    scored = n.select("id", "source_file", "words", "centrality")
+    reached = settle(reached.withColumn("via", F.lit("edge")))
     if adaptive:
-        files = reached.join(scored.select("id", "source_file"), "id").filter("source_file <> ''").select("qid", "source_file").distinct()
-        near = files.join(scored, "source_file").join(terms.filter("size(terms) > 0"), "qid").withColumn("overlap", query_term_overlap(F.col("terms"), F.col("words"))).filter("overlap > 0").join(reached.select("qid", "id"), ["qid", "id"], "left_anti")
-        few = top_by(near, ["qid", "source_file"], SIBLINGS, F.desc("overlap"), F.desc("centrality"), F.col("id"))
-        reached = reached.unionByName(few.select("qid", "id", F.lit(2).alias("depth"), F.lit("same_file").alias("via")))
-    return reached.join(n.select("id", "words"), "id").join(terms, "qid").select("qid", "id", "depth", "via", query_term_overlap(F.col("terms"), F.col("words")).alias("overlap"))
+        files = settle(reached.join(at(reached).select("id", "source_file"), "id").filter("source_file <> ''").select("qid", "source_file").distinct().join(terms.filter("size(terms) > 0"), "qid"))
+        near = n.join(few(files), "source_file").withColumn("overlap", query_term_overlap(F.col("terms"), F.col("words"))).filter("overlap > 0").join(few(settle(reached.select("qid", "id"))), ["qid", "id"], "left_anti")
+        best = top_by(near.select("qid", "id", "source_file", "overlap", "centrality"), ["qid", "source_file"], SIBLINGS, F.desc("overlap"), F.desc("centrality"), F.col("id"))
+        reached = settle(reached.unionByName(best.select("qid", "id", F.lit(2).alias("depth"), F.lit("same_file").alias("via"))))
+    return reached.join(at(reached).select("id", "words"), "id").join(terms, "qid").select("qid", "id", "depth", "via", query_term_overlap(F.col("terms"), F.col("words")).alias("overlap"))
 
 
 def entry(row: dict, brief: bool = False, snippet: int = 0) -> str:
@@ -190,6 +201,8 @@ def pack(nodes: DataFrame, gathered: DataFrame, budget: int, packer: str = "gree
     else:
         start, end, column = (F.lit(None).cast("int"),) * 3
     n = nodes.select("id", "label", "kind", "source_file", "centrality", start.alias("start_line"), slice_token_cost(F.col("label"), start, end, column).alias("cost"))
+    gathered = settle(gathered)
+    n = n.join(few(settle(gathered.select("id").distinct())), "id", "left_semi")
     c = top_by(gathered.join(n, "id"), ["qid"], 0, F.col("depth"), F.desc("centrality"), F.col("label"), F.col("id"), rank="place")
     if packer == "knapsack":
         weight = F.greatest(F.col("cost").cast("int"), F.lit(1))
